@@ -168,10 +168,9 @@ def shingle_sets(column: pa.Array, words: int) -> Iterator[tuple[int, np.ndarray
                 if len(own) > 1:
                     own = own[np.concatenate(([True], own[1:] != own[:-1]))]
             elif j > i:
-                short = np.uint64(j - i)
+                own = np.array([j - i], dtype=np.uint64)
                 for x in keys[i:j]:
-                    short = mix(np.array([short * np.uint64(5) + x], dtype=np.uint64))[0]
-                own = np.array([short], dtype=np.uint64)
+                    own = mix(own * np.uint64(5) + x)
             else:
                 own = np.empty(0, np.uint64)
             yield first + k, own
