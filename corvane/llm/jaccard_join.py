@@ -164,10 +164,14 @@ def similarity_components(docs: DataFrame, words: int = 5, percent: int = 80, id
 
     entries = members.groupBy("g", "comp").agg(F.min("id").alias("id"))
     mixed = posted.join(entries, "g").groupBy("s").agg(F.count_distinct("comp").alias("k")).where("k > 1").select("s")
-    lists = materialize(posted.join(mixed, "s", "left_semi").join(entries, "g").select("s", "pos", "n", "g", "comp"), "lists")
-    x, y = lists.toDF("s", "xpos", "xn", "xg", "xc"), lists.toDF("s", "ypos", "yn", "yg", "yc")
-    fits = F.expr(f"(least(xpos, ypos) + 1 + least(xn - xpos, yn - ypos) - 1) * {100 + percent} >= {percent} * (xn + yn)")
-    across = x.join(y, "s").where(F.expr("xc < yc") & _similar_sizes("xn", "yn", percent) & fits).select("xg", "xc", "yg", "yc")
+    # a group of one class has that class's bitmap; groups of several are held back by their sizes and places only
+    single = heads.groupBy("g").agg(F.when(F.count("*") == 1, F.first("bits")).alias("bits"))
+    lists = posted.join(mixed, "s", "left_semi").join(entries.join(single, "g"), "g")
+    lists = materialize(lists.select("s", "pos", "n", "g", "comp", "bits"), "lists")
+    x, y = lists.toDF("s", "xpos", "an", "xg", "xc", "abits"), lists.toDF("s", "ypos", "bn", "yg", "yc", "bbits")
+    fits = F.expr(f"(least(xpos, ypos) + 1 + least(an - xpos, bn - ypos) - 1) * {100 + percent} >= {percent} * (an + bn)")
+    near = F.expr("abits is null or bbits is null") | _bitmaps_allow(percent)
+    across = x.join(y, "s").where(F.expr("xc < yc") & _similar_sizes("an", "bn", percent) & fits & near).select("xg", "xc", "yg", "yc")
     own = entries.select("g", "comp")
     inside = own.toDF("xg", "xc").join(own.toDF("yg", "yc"), F.expr("xg = yg and xc < yc"))
     grouped = across.union(inside).distinct()
