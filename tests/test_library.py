@@ -1,4 +1,5 @@
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 
 def rows(frame):
     show = lambda v: f"{v:.6g}" if isinstance(v, float) else str(v)
-    return sorted(tuple("" if v is None or v != v else show(float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else v) for v in r) for r in frame.astype(object)[sorted(frame.columns)].itertuples(index=False))
+    return sorted(tuple("" if pd.isna(v) else show(float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else v) for v in r) for r in frame.astype(object)[sorted(frame.columns)].itertuples(index=False))
 
 
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))
