@@ -3,10 +3,13 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from corvane.operators import dedup, grading, text
+from corvane.operators import assessment, dedup, grading, items, text
+from corvane.plans import assessment as assessment_queries
 from corvane.plans import catalog
 
 SF = "/root/testdata/sf0.001"
+QUERIES = catalog.QUERIES | assessment_queries.QUERIES
+SQL = catalog.SQL | assessment_queries.SQL
 
 
 def rows(frame):
@@ -14,12 +17,12 @@ def rows(frame):
     return sorted(tuple("" if pd.isna(v) else show(float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else v) for v in r) for r in frame.astype(object)[sorted(frame.columns)].itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("lineitem", "events", "documents", "benchmark", "labels"):
+    for t in ("lineitem", "orders", "part", "customer", "supplier", "events", "documents", "benchmark", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    assert rows(catalog.QUERIES[name](spark, SF).toPandas()) == rows(con.execute(catalog.SQL[name]).fetchdf())
+    assert rows(QUERIES[name](spark, SF).toPandas()) == rows(con.execute(SQL[name]).fetchdf())
 
 
 def test_suffixes(spark):
@@ -31,3 +34,29 @@ def test_small_cases(spark):
     frame = spark.createDataFrame([(None, " b "), ("a b", "B. x"), ("", None)], "t string, k string")
     got = frame.select(F.size(dedup.word_shingles(F.col("t"))).alias("n"), grading.choice_points(F.lit("b"), F.col("k")).alias("p")).collect()
     assert [(r.n, r.p) for r in got] == [(0, 1), (2, 1), (0, 0)]
+
+
+def test_chunks_equal_a_plain_loop(spark):
+    def plain(text, most):
+        out, cur = [], None
+        for p in filter(None, (text or "").split("\n")):
+            if cur is not None and len(cur) + 1 + len(p) <= most:
+                cur += "\n" + p
+            else:
+                out, cur = (out if cur is None else [*out, cur]), p
+        return out if cur is None else [*out, cur]
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(-1, None), (-2, ""), (-3, "a\n\nb\n" + "c" * 900)], "doc_id long, text string"))
+    got = {}
+    for r in items.greedy_chunks(docs, "doc_id", "text", "\n", 500).orderBy("doc_id", "chunk_no").collect():
+        got.setdefault(r.doc_id, []).append(r.chunk)
+    assert got == {r.doc_id: c for r in docs.collect() if (c := plain(r.text, 500))}
+
+
+def test_overlay_and_window_keep_nulls(spark):
+    base, none = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), spark.createDataFrame([], "k int, v string")
+    out = assessment.overlay_rows(base, "k", base.where("k = 1"), spark.createDataFrame([(2, "x"), (1, "y")], "k int, v string"))
+    assert sorted(map(tuple, out.collect())) == [(1, "y"), (2, "b")]
+    assert assessment.overlay_rows(none, "k", none, none).count() == 0
+    credit = spark.sql("SELECT map('1', 'A', '2', 'B', '3', 'C') AS k, map('1', 'A', '2', 'C') AS p").select(assessment.matching_credit(F.col("k"), F.col("p"), 3.0)).first()[0]
+    assert credit == 1.0
