@@ -154,8 +154,8 @@ def decode(encoded: DataFrame, model_file: str, ids_col: str = "ids") -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = lattice(model_file).processor
         for batch in batches:
-            ids = [None if x is None else np.frombuffer(x, dtype="<i4").tolist() for x in batch.column(at).to_pylist()]
-            texts = [None if x is None else own.decode(x) for x in ids]
+            # a row at a time: a batch's ids as Python integers would be ten times its size
+            texts = [own.decode(np.frombuffer(x.as_buffer(), dtype="<i4").tolist()) if x.is_valid else None for x in batch.column(at)]
             yield pa.record_batch([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema) + ", decoded string")
