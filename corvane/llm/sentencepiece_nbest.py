@@ -27,6 +27,7 @@ class Lattice:
         self.pieces = {sp.id_to_piece(k): (k, sp.get_score(k)) for k in normal}
         self.bytes = {int(sp.id_to_piece(k)[1:-1], 16): k for k in range(len(sp)) if sp.is_byte(k)}
         self.unknown = sp.unk_id()
+        self.openings = {p[:k] for p in self.pieces for k in range(1, len(p) + 1)}
         self.longest = max(map(len, self.pieces), default=1)
         self.least = min((s for _, s in self.pieces.values()), default=0.0) - 10
         #: Pieces never run from a word into the next space, so spaces after other characters are cuts of the lattice.
@@ -51,7 +52,9 @@ class Lattice:
         for start in range(len(unit)):
             covered = False
             for end in range(start + 1, min(len(unit), start + self.longest) + 1):
-                if (found := self.pieces.get(unit[start:end])) is not None:
+                if (part := unit[start:end]) not in self.openings:
+                    break
+                if (found := self.pieces.get(part)) is not None:
                     into[end].append((start, (found[0],), found[1]))
                     covered = covered or end == start + 1
             if not covered:
