@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import hashlib
 import html
-import json
 import re
 from collections.abc import Iterator
 
@@ -26,30 +27,19 @@ _NO_WORDS = frozenset(
     "ad ads advert adverts advertisement sponsor sponsored promo banner sidebar comment comments disqus cookie cookies consent notice menu nav navbar navigation breadcrumb breadcrumbs"
     " footer header masthead share sharing social related newsletter subscribe popup modal complementary contentinfo search".split()
 )
-#: Texts that so many pages of a host share in one place belong to its template.
+_MARKS = {"article": 1, "main": 2}
+#: Texts that so many distinct pages of a host share in one place belong to its template.
 TEMPLATE_PAGES = 5
 
 
 class Node:
-    """An element, or a text where label is '#'. optional, repeated and slot are what inference found."""
+    """An element, or a text where label is '#'."""
 
-    __slots__ = ("label", "children", "text", "optional", "repeated", "pages", "drop")
+    __slots__ = ("label", "children", "text", "drop")
 
     def __init__(self, label: str, text: str | None = None, drop: bool = False):
         self.label, self.text, self.drop = label, text, drop
         self.children: list[Node] = []
-        self.optional = self.repeated = False
-        self.pages = 1
-
-    def to_list(self) -> list:
-        return [self.label, self.text, int(self.optional), int(self.repeated), self.pages, [c.to_list() for c in self.children]]
-
-    @staticmethod
-    def from_list(x: list) -> Node:
-        node = Node(x[0], x[1])
-        node.optional, node.repeated, node.pages = bool(x[2]), bool(x[3]), x[4]
-        node.children = [Node.from_list(c) for c in x[5]]
-        return node
 
 
 def parse(page: str) -> Node:
@@ -113,81 +103,38 @@ def _words(attributes: str) -> set[str]:
     return {w for groups in _NAMES.findall(attributes) for value in groups for w in re.split(r"[^a-z]+", value.lower()) if w}
 
 
-def fold(node: Node) -> Node:
-    """Runs of equal siblings become one repeated group."""
-    out: list[Node] = []
-    for child in map(fold, node.children):
-        if out and out[-1].label == child.label:
-            out[-1] = merge(out[-1], child, same_page=True)
-            out[-1].repeated = True
-        else:
-            out.append(child)
-    new = Node(node.label, node.text if node.text is None else node.text[:200])
-    new.children, new.optional, new.repeated, new.pages = out, node.optional, node.repeated, node.pages
-    return new
-
-
-def merge(a: Node, b: Node, same_page: bool = False) -> Node:
-    """The expression of both: a mismatch of texts is a slot, of elements an optional group."""
-    out = Node(a.label, a.text if a.text == b.text else None)
-    out.optional, out.repeated = a.optional or b.optional, a.repeated or b.repeated
-    out.pages = max(a.pages, b.pages) if same_page else a.pages + b.pages
-    x, y, i = a.children, b.children, 0
-    labels = [c.label for c in y]
-    for child in x:
-        if child.label in labels[i:]:
-            j = labels.index(child.label, i)
-            for extra in y[i:j]:
-                extra.optional = True
-                out.children.append(extra)
-            out.children.append(merge(child, y[j], same_page))
-            i = j + 1
-        else:
-            child.optional = True
-            out.children.append(child)
-    for extra in y[i:]:
-        extra.optional = True
-        out.children.append(extra)
-    del out.children[400:]  # structure beyond this is extracted without a template
-    return out
+def _hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
-def main_text(tree: Node, wrapper: Node | None) -> str:
-    """The blocks of the page's article, in order."""
-    picked = _find(tree, "article") or _find(tree, "main")
-    if picked:
-        blocks = [t for node in picked for t in _texts(node, None)]
-    else:
-        blocks = list(_texts(tree, wrapper))
-    return "\n".join(blocks)
-
-
-def _find(node: Node, name: str) -> list[Node]:
-    out = []
-    for c in node.children:
-        if c.label.partition(".")[0] == name:
-            if not c.drop:
-                out.append(c)
-        elif not c.drop:
-            out += _find(c, name)
-    return out
+@functools.lru_cache(1 << 16)
+def _place(parent: int, label: str, run: int) -> int:
+    return _hash(f"{parent} {label} {run}")
 
 
-def _texts(node: Node, wrapper: Node | None) -> Iterator[str]:
-    mine = wrapper.children if wrapper else []
-    labels, i = [c.label for c in mine], 0
-    for c in node.children:
-        match = None
-        if mine:
-            start = max(0, i - 1) if i and labels[i - 1] == c.label and mine[i - 1].repeated else i
-            if c.label in labels[start:]:
-                i = labels.index(c.label, start) + 1
-                match = mine[i - 1]
-        if c.label == "#":
-            if not (match and match.text is not None and match.pages >= TEMPLATE_PAGES):
-                yield c.text
-        elif not c.drop:
-            yield from _texts(c, match)
+def blocks(tree: Node) -> list[tuple[int, str, int]]:
+    """(place, text, mark) of the texts outside _NO_TEXT and _NO_WORDS, in order.
+
+    The place is the path of labels; a run of equal siblings is one repeated group and shares its place, a later run of
+    the label has its own. mark has bit 1 within an article and bit 2 within a main.
+    """
+    out: list[tuple[int, str, int]] = []
+
+    def walk(node: Node, place: int, mark: int) -> None:
+        runs: dict[str, int] = {}
+        last = None
+        for c in node.children:
+            if c.label != last:
+                runs[c.label] = runs.get(c.label, -1) + 1
+                last = c.label
+            at = _place(place, c.label, runs[c.label])
+            if c.label == "#":
+                out.append((at, c.text, mark))
+            elif not c.drop:
+                walk(c, at, mark | _MARKS.get(c.label.partition(".")[0], 0))
+
+    walk(tree, 0, 0)
+    return out
 
 
 def _host(url: str) -> str:
@@ -195,42 +142,48 @@ def _host(url: str) -> str:
 
 
 def _infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[str, Node] = {}
-
-    def emit() -> pa.RecordBatch:
-        return pa.record_batch([pa.array(list(held), pa.string()), pa.array([json.dumps(w.to_list()) for w in held.values()], pa.string())], names=["host", "wrapper"])
-
     for batch in batches:
+        hosts, signs, places = [], [], []
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            own = fold(parse(page.as_py()))
-            held[host] = merge(held[host], own) if host in held else own
-            if len(held) >= 2000:  # more hosts than this go out as they are and are merged after the shuffle
-                yield emit()
-                held.clear()
-    yield emit()
-
-
-def _merge_hosts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    host, own = None, None
-    for batch in batches:
-        for h, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            node = Node.from_list(json.loads(text.as_py()))
-            if h == host:
-                own = merge(own, node)
-                continue
-            if own is not None:
-                yield pa.record_batch([pa.array([host]), pa.array([json.dumps(own.to_list())])], names=["host", "wrapper"])
-            host, own = h, node
-    if own is not None:
-        yield pa.record_batch([pa.array([host]), pa.array([json.dumps(own.to_list())])], names=["host", "wrapper"])
+            sign, own = hashlib.blake2b(digest_size=16), {}
+            for place, text, _ in blocks(parse(page.as_py())):
+                h = _hash(text)
+                sign.update(b"%d %d " % (place, h))
+                low, high, n = own.get(place, (h, h, 0))
+                own[place] = (min(low, h), max(high, h), n + 1)
+            hosts.append(host)
+            signs.append(sign.digest())
+            places.append([{"place": p, "low": v[0], "high": v[1], "n": v[2]} for p, v in own.items()])
+        kind = pa.list_(pa.struct([(name, pa.int64()) for name in ("place", "low", "high", "n")]))
+        yield pa.record_batch([pa.array(hosts, pa.string()), pa.array(signs, pa.binary()), pa.array(places, kind)], names=["host", "sign", "places"])
 
 
 def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, wrapper as JSON). Each task folds its pages of a host into one expression; these few are merged per host."""
+    """(host, place, pages, optional, repeated, slot): a row per text of the host's union-free expression.
+
+    A place is a slot where its whole texts differ (by their hash), optional where not all pages of the host have it,
+    repeated where a page has it several times. Pages with the same texts in the same places count once, so any two
+    that share a text differ elsewhere. All counts are Spark aggregates, combined before the shuffle.
+    """
     rows = pages.where(F.col(html_col).isNotNull()).select(F.expr(_host(f"`{url_col}`")).alias("host"), F.col(html_col).alias("page"))
-    part = rows.mapInArrow(_infer, "host string, wrapper string")
-    hosts = part.repartition(shuffle_partitions(pages.sparkSession), "host").sortWithinPartitions("host")
-    return hosts.mapInArrow(_merge_hosts, "host string, wrapper string")
+    own = rows.mapInArrow(_infer, "host string, sign binary, places array<struct<place: bigint, low: bigint, high: bigint, n: bigint>>")
+    # null stands for the page itself, so the host's pages are counted in the same pass
+    page = F.array(F.struct(*[F.lit(None).cast("long").alias(name) for name in ("place", "low", "high", "n")]))
+    distinct = own.groupBy("host", "sign").agg(F.first("places").alias("places")).select("host", F.explode(F.concat(page, "places")).alias("p"))
+    table = distinct.groupBy("host", "p.place").agg(F.count("*").alias("pages"), F.min("p.low").alias("low"), F.max("p.high").alias("high"), F.max("p.n").alias("n"))
+    total = table.where("place is null").select(F.col("host").alias("h"), F.col("pages").alias("of"))
+    held = table.where("place is not null").join(total, F.col("host") == F.col("h"))
+    return held.select("host", "place", "pages", (F.col("pages") < F.col("of")).alias("optional"), (F.col("n") > 1).alias("repeated"), (F.col("low") != F.col("high")).alias("slot"))
+
+
+def main_text(tree: Node, template: frozenset[int]) -> str:
+    """The texts that the wrapper leaves, in order; where some of them are in an article, or else in a main, only those."""
+    kept = [(text, mark) for place, text, mark in blocks(tree) if place not in template]
+    for bit in (1, 2):
+        marked = [text for text, mark in kept if mark & bit]
+        if marked:
+            return "\n".join(marked)
+    return "\n".join(text for text, _ in kept)
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -238,26 +191,21 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
 
     Elements that never hold article text (navigation, headers, footers, asides, forms, adverts, comments) go by
     name and class; where a page marks its article, that is the text, and elsewhere the slots of its host's wrapper
-    are: texts that TEMPLATE_PAGES pages or more share in one place are template. Null and empty pages have empty text,
-    a null url is the host ''. Repeated rows are extracted each; other columns are ignored.
+    are: a place where TEMPLATE_PAGES distinct pages or more, and no other of the host, have one text is template. Null
+    and empty pages have empty text, a null url is the host ''. Repeated rows are extracted each; other columns are ignored.
     """
-    table = materialize(wrappers(pages, url_col, html_col), "wrappers").toDF("h", "wrapper")
+    fixed = wrappers(pages, url_col, html_col).where(~F.col("slot") & (F.col("pages") >= TEMPLATE_PAGES))
+    table = materialize(fixed.groupBy("host").agg(F.collect_list("place").alias("template")), "wrappers").toDF("h", "template")
     rows = pages.select(F.col(id_col).alias("i"), F.col(url_col).alias("u"), F.coalesce(F.col(html_col), F.lit("")).alias("p"), F.expr(_host(f"`{url_col}`")).alias("host"))
     # a page that marks its article needs no wrapper, so only the others are shuffled to theirs
     marked = F.col("p").rlike("(?i)<(article|main)[ >]")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: tuple[str | None, Node | None] = (None, None)
         for batch in batches:
-            texts = []
-            for page, w in zip(batch.column(2), batch.column(3), strict=True):
-                w = w.as_py()
-                if w is not None and w != known[0]:
-                    known = (w, Node.from_list(json.loads(w)))
-                texts.append(main_text(parse(page.as_py()), known[1] if w is not None else None))
+            texts = [main_text(parse(page.as_py()), frozenset(t.as_py() or ())) for page, t in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["i", "u", "text"])
 
-    plain = rows.where(marked).select("i", "u", "p", F.lit(None).cast("string").alias("wrapper"))
-    other = rows.where(~marked).join(table, F.col("host") == F.col("h"), "left").select("i", "u", "p", "wrapper")
+    plain = rows.where(marked).select("i", "u", "p", F.lit(None).cast("array<bigint>").alias("template"))
+    other = rows.where(~marked).join(table, F.col("host") == F.col("h"), "left").select("i", "u", "p", "template")
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     return plain.union(other).mapInArrow(run, f"i {kinds['i']}, u {kinds['u']}, text string").toDF(id_col, url_col, "text")
