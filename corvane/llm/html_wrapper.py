@@ -190,22 +190,19 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     """id_col, url_col and text of every row.
 
     Elements that never hold article text (navigation, headers, footers, asides, forms, adverts, comments) go by
-    name and class; where a page marks its article, that is the text, and elsewhere the slots of its host's wrapper
-    are: a place where TEMPLATE_PAGES distinct pages or more, and no other of the host, have one text is template. Null
-    and empty pages have empty text, a null url is the host ''. Repeated rows are extracted each; other columns are ignored.
+    name and class; of the others the slots of the host's wrapper are the text, on every page: a place where TEMPLATE_PAGES
+    distinct pages or more, and no page of the host another, have one text is template. An article or main is a feature of
+    a slot: where a page has slots in one, those outside are left out. Null and empty pages have empty text, a null url is
+    the host ''. Repeated rows are extracted each; other columns are ignored.
     """
     fixed = wrappers(pages, url_col, html_col).where(~F.col("slot") & (F.col("pages") >= TEMPLATE_PAGES))
     table = materialize(fixed.groupBy("host").agg(F.collect_list("place").alias("template")), "wrappers").toDF("h", "template")
     rows = pages.select(F.col(id_col).alias("i"), F.col(url_col).alias("u"), F.coalesce(F.col(html_col), F.lit("")).alias("p"), F.expr(_host(f"`{url_col}`")).alias("host"))
-    # a page that marks its article needs no wrapper, so only the others are shuffled to theirs
-    marked = F.col("p").rlike("(?i)<(article|main)[ >]")
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [main_text(parse(page.as_py()), frozenset(t.as_py() or ())) for page, t in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["i", "u", "text"])
 
-    plain = rows.where(marked).select("i", "u", "p", F.lit(None).cast("array<bigint>").alias("template"))
-    other = rows.where(~marked).join(table, F.col("host") == F.col("h"), "left").select("i", "u", "p", "template")
+    wrapped = rows.join(table, F.col("host") == F.col("h"), "left").select("i", "u", "p", "template")
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    return plain.union(other).mapInArrow(run, f"i {kinds['i']}, u {kinds['u']}, text string").toDF(id_col, url_col, "text")
+    return wrapped.mapInArrow(run, f"i {kinds['i']}, u {kinds['u']}, text string").toDF(id_col, url_col, "text")

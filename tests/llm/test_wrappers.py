@@ -26,3 +26,16 @@ def test_wrapper_has_no_widest_node(spark):
     assert all(got[k].split("\n") == [f"{k} {j}" for j in range(300)] for k in range(6))
     table = html_wrapper.wrappers(spark.createDataFrame(rows, "page_id long, url string, html string"))
     assert table.count() == 1801 and table.where("not optional and not slot").count() == 1
+
+
+def test_wrapper_decides_every_page(spark):
+    # an article in use, dropped by its class, in a comment only, and in a script only
+    parts = [
+        "<article><div>Read later</div><p>text {}</p></article>",
+        "<p>text {}</p><article class='comment'>hi</article>",
+        "<p>text {}</p><!-- <article > -->",
+        "<p>text {}</p><script>'<main >'</script>",
+    ]
+    rows = [(10 * j + k, f"http://host{j}/{k}", f"<body><div>Home</div>{part.format(k)}</body>") for j, part in enumerate(parts) for k in range(6)]
+    got = texts(spark, rows)
+    assert all(got[10 * j + k] == f"text {k}" for j in range(4) for k in range(6))
