@@ -37,12 +37,12 @@ def features(text: bytes, compressors) -> list[float]:
     return [float((sizes[1] - sizes[0]) / sizes.max()), float(sizes.min() / n), float(abs(sizes[1] - sizes[0]) / n)]
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
     x = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (y - p) - ridge * w)
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (weight * (y - p)) - ridge * w)
         w += step
         if np.abs(step).max() < 1e-9:
             break
@@ -53,18 +53,21 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Dictionaries and calibration from a bounded sample: sample_rows labelled documents per class, by a hash of the id.
 
     The dictionaries are built from two thirds of the sample, text_bytes of each document at most, and the calibration
-    fitted on the rest; a sampled text counts up to 8 * text_bytes characters, so what the driver holds is bounded. Rows without label or text are left out; without both classes the model scores
-    0.5 throughout, or the one class's rate.
+    fitted on the rest; a sampled text counts up to 8 * text_bytes characters, so what the driver holds is bounded. A
+    calibration row weighs as many labelled documents as it stands for, so the prior is that of all labels at any size.
+    Rows without label or text are left out; without both classes the model scores 0.5 throughout, or the one class's rate.
     """
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(label_col).alias("y")).dropDuplicates(["i"])
+    texts_of = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where("t is not null and t != ''")
+    known = known.join(texts_of.select("i"), "i", "left_semi")
+    totals = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     order = F.xxhash64("i")
     picked = known.where("y = 1").orderBy(order).limit(sample_rows).union(known.where("y = 0").orderBy(order).limit(sample_rows))
-    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(picked), "i").where("t is not null and t != ''")
-    rows = rows.select("i", "y", F.substring("t", 1, 8 * text_bytes).alias("t")).orderBy("i").collect()
+    rows = texts_of.join(F.broadcast(picked), "i").select("i", "y", F.substring("t", 1, 8 * text_bytes).alias("t")).orderBy("i").collect()
     texts = [(r["t"].encode(), r["y"]) for r in rows]
     build = [x for k, x in enumerate(texts) if k % 3]
     rest = [x for k, x in enumerate(texts) if not k % 3]
-    share = (sum(y for _, y in texts) + 1) / (len(texts) + 2)
+    share = (totals.get(1, 0) + 1) / (sum(totals.values()) + 2)
     bias = float(np.log(share / (1 - share)))
     if len({y for _, y in build}) < 2 or len({y for _, y in rest}) < 2:
         return Model(b"", b"", (0.0, 0.0, 0.0, bias), level)
@@ -78,7 +81,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             dicts.append(b"\n".join(parts)[:dict_bytes])
     draft = Model(dicts[0], dicts[1], (), level)
     compressors = _compressors(draft)
-    w = _logistic(np.array([features(t, compressors) for t, _ in rest]), np.array([y for _, y in rest], dtype=float))
+    y = np.array([y for _, y in rest], dtype=float)
+    weight = np.where(y == 1, totals[1] / y.sum(), totals[0] / (1 - y).sum()) * (len(y) / sum(totals.values()))
+    w = _logistic(np.array([features(t, compressors) for t, _ in rest]), y, weight)
     return Model(dicts[0], dicts[1], tuple(w.tolist()), level)
 
 
