@@ -13,9 +13,13 @@ def first_per_key(rows: DataFrame, keys: list[Column], order: str) -> DataFrame:
     return packed.groupBy(*named).agg(F.min_by("row", "by").alias("row")).select("row.*")
 
 
-def word_shingles(text: Column, n: int = 3) -> Column:
+#: Runs of Unicode word characters, and runs of anything but white space.
+WORD, SPACED = r"[\p{L}\p{N}_]+", r"[^ \t\n\r]+"
+
+
+def word_shingles(text: Column, n: int = 3, word: str = WORD) -> Column:
     """The distinct runs of n lower-case words; with fewer words, the words."""
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[ \t\n\r]+"), lambda w: w != "")
+    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(word), F.lit(0))
 
     def runs(w: Column) -> Column:
         joined = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda k: F.array_join(F.slice(w, k, n), " "))
@@ -25,12 +29,12 @@ def word_shingles(text: Column, n: int = 3) -> Column:
     return F.transform(F.array(words), runs)[0]
 
 
-def duplicate_of_bank(docs: DataFrame, bank: DataFrame, threshold: float = 0.4, n: int = 3) -> DataFrame:
+def duplicate_of_bank(docs: DataFrame, bank: DataFrame, threshold: float = 0.4, n: int = 3, word: str = WORD) -> DataFrame:
     """doc_id, similarity, matched: the first bank item (by id) at the threshold or above, else the most similar one, if any
     shares a shingle. Pairs come from a join on shingles, never from all of docs and bank.
     """
-    d = docs.select("doc_id", word_shingles(F.col("text"), n).alias("s"))
-    b = bank.select("item_id", word_shingles(F.col("text"), n).alias("s"))
+    d = docs.select("doc_id", word_shingles(F.col("text"), n, word).alias("s"))
+    b = bank.select("item_id", word_shingles(F.col("text"), n, word).alias("s"))
     shared = d.select("doc_id", F.size("s").alias("nd"), F.explode("s").alias("g")).join(b.select("item_id", F.size("s").alias("nb"), F.explode("s").alias("g")), "g")
     pairs = shared.groupBy("doc_id", "item_id", "nd", "nb").agg(F.count("*").alias("k"))
     pairs = pairs.withColumn("sim", F.col("k") / (F.col("nd") + F.col("nb") - F.col("k")))

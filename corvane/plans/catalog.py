@@ -62,10 +62,18 @@ def d1_key_dedup(spark, sf_dir):
 
 
 def d2_shingles(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", F.size(dedup.word_shingles(F.col("text"), word=dedup.SPACED)).cast("long").alias("n_shingles"))
+
+
+def d2_word_shingles(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", F.size(dedup.word_shingles(F.col("text"))).cast("long").alias("n_shingles"))
 
 
 def d4_duplicate_of_bank(spark, sf_dir):
+    return dedup.duplicate_of_bank(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark"), word=dedup.SPACED)
+
+
+def d4_word_duplicate_of_bank(spark, sf_dir):
     return dedup.duplicate_of_bank(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark"))
 
 
@@ -105,7 +113,7 @@ def w4_limiter(spark, sf_dir):
     return rows.select("event_id", "recent", "blocked")
 
 
-QUERIES = {f.__name__: f for f in (a1_facets, a4_topic_counts, a5_classify, a7_score_totals, a11_usage_cost, a12_token_estimate, c2_content_lines, c8_repeat_suffix, d1_key_dedup, d2_shingles, d4_duplicate_of_bank, e6_patch_merge, g1_choice_grading, j3_as_of, j15_unknown_ids, p9_verdict, r3_newest, w4_limiter)}
+QUERIES = {f.__name__: f for f in (a1_facets, a4_topic_counts, a5_classify, a7_score_totals, a11_usage_cost, a12_token_estimate, c2_content_lines, c8_repeat_suffix, d1_key_dedup, d2_shingles, d2_word_shingles, d4_duplicate_of_bank, d4_word_duplicate_of_bank, e6_patch_merge, g1_choice_grading, j3_as_of, j15_unknown_ids, p9_verdict, r3_newest, w4_limiter)}
 
 _SCORES = ", ".join("(" + " + ".join(f"CASE WHEN contains(lower(coalesce(text, '')), '{p}') THEN {w} ELSE 0 END" for p, w in phrases) + f") AS s{k}" for k, (_, phrases) in enumerate(TAXONOMY))
 _TOPIC = "CASE WHEN greatest(s0, s1, s2, s3) = 0 THEN 'Other / General' " + " ".join(f"WHEN s{k} = greatest(s0, s1, s2, s3) THEN '{t}'" for k, (t, _) in enumerate(TAXONOMY)) + " END"
@@ -145,3 +153,6 @@ SQL = {
     "w4_limiter": """WITH c AS (SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS recent FROM events)
         SELECT event_id, recent, recent >= 5 AS blocked FROM c""",
 }
+# the same statements over Unicode words
+_SPLIT, _WORDS = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[ \\t\\n\\r]+'), lambda x: x <> '')", r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+')"
+SQL |= {"d2_word_shingles": SQL["d2_shingles"].replace(_SPLIT, _WORDS), "d4_word_duplicate_of_bank": SQL["d4_duplicate_of_bank"].replace(_SPLIT, _WORDS)}
