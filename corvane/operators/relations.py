@@ -6,10 +6,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def as_of(rows: DataFrame, key: str, order: list[str], is_anchor: Column, anchor_value: Column) -> DataFrame:
-    """rows with anchor: the value of the last anchor row at or before each; one sort per key, no join."""
-    window = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("anchor", F.last(F.when(is_anchor, anchor_value), ignorenulls=True).over(window))
+def as_of(rows: DataFrame, key: str, order: list[str], is_anchor: Column, anchor_value: Column, slice_of: Column | None = None) -> DataFrame:
+    """rows with anchor: the value of the last anchor row at or before each.
+
+    slice_of, which must not fall along order, cuts a key into slices that are sorted each; the last anchor of a slice, a row
+    of a small aggregate, is carried into the later ones. Without it a key is one sort.
+    """
+    value = F.when(is_anchor, anchor_value)
+    whole = rows.select(F.struct("*").alias("row"), F.col(key).alias("k"), (F.lit(0) if slice_of is None else slice_of).alias("slice"), F.struct(*order).alias("by"), value.alias("value"))
+    within = Window.partitionBy("k", "slice").orderBy("by").rowsBetween(Window.unboundedPreceding, 0)
+    own = whole.withColumn("own", F.last("value", ignorenulls=True).over(within))
+    if slice_of is None:
+        return own.select("row.*", F.col("own").alias("anchor"))
+    ends = whole.groupBy("k", "slice").agg(F.max_by("value", F.when(F.col("value").isNotNull(), F.col("by"))).alias("end"))
+    earlier = Window.partitionBy("k").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(F.col("k").alias("of"), F.col("slice").alias("at"), F.last("end", ignorenulls=True).over(earlier).alias("carried"))
+    joined = own.join(carried, F.col("k").eqNullSafe(F.col("of")) & F.col("slice").eqNullSafe(F.col("at")))
+    return joined.select("row.*", F.coalesce("own", "carried").alias("anchor"))
 
 
 def newest_per_key(rows: DataFrame, key: str, newest_first: list[Column], n: int) -> DataFrame:
@@ -37,7 +50,25 @@ def facets(rows: DataFrame, by: dict[str, Column]) -> DataFrame:
     return rows.select(F.explode(pairs).alias("f")).groupBy("f.facet", "f.value").agg(F.count("*").alias("n")).where("value is not null")
 
 
-def trailing_limit(rows: DataFrame, key: str, ts: str, seconds: int, limit: int) -> DataFrame:
-    """rows with recent (rows of the key in the trailing seconds, its own included) and blocked (recent >= limit)."""
-    window = Window.partitionBy(key).orderBy(F.unix_micros(F.col(ts).cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)
-    return rows.withColumn("recent", F.count("*").over(window)).withColumn("blocked", F.col("recent") >= limit)
+def trailing_limit(rows: DataFrame, key: str, ts: str, seconds: int, limit: int, is_failure: Column | None = None, is_success: Column | None = None) -> DataFrame:
+    """rows with recent (failures of the key in the trailing seconds since its last success, the row's own included) and
+    blocked (recent >= limit). A success clears the failures up to its own time; without the two columns every row is a failure.
+
+    A key is cut into slices of the window's width. Each slice takes its predecessor's failures and successes along, which
+    are all that its windows reach, so no success before them matters and a hot key is as many tasks as it has slices.
+    """
+    width = seconds * 1_000_000
+    failed = F.lit(1) if is_failure is None else F.coalesce(is_failure, F.lit(False)).cast("int")
+    cleared = F.lit(0) if is_success is None else F.coalesce(is_success, F.lit(False)).cast("int")
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    own = rows.select(F.struct("*").alias("row"), F.col(key).alias("k"), us.alias("us"), failed.alias("failed"), cleared.alias("cleared"))
+    own = own.withColumn("slice", F.floor(F.col("us") / width))
+    before = own.where("slice is not null and (failed = 1 or cleared = 1)").groupBy("k", "us", "slice").agg(F.sum("failed").alias("failed"), F.max("cleared").alias("cleared"))
+    before = before.withColumn("slice", F.col("slice") + 1)
+    both = own.withColumn("own", F.lit(True)).unionByName(before.withColumn("own", F.lit(False)), allowMissingColumns=True)
+    by = Window.partitionBy("k", "slice").orderBy("us")
+    upto = by.rangeBetween(Window.unboundedPreceding, 0)
+    both = both.withColumns({"trailing": F.sum("failed").over(by.rangeBetween(-width, 0)), "upto": F.sum("failed").over(upto)})
+    both = both.withColumn("at_success", F.max(F.when(F.col("cleared") == 1, F.col("upto"))).over(upto))
+    recent = F.least("trailing", F.col("upto") - F.coalesce("at_success", F.lit(0)))
+    return both.withColumn("recent", recent).where("own").select("row.*", "recent").withColumn("blocked", F.col("recent") >= limit)

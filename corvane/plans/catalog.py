@@ -91,7 +91,7 @@ def g1_choice_grading(spark, sf_dir):
 
 def j3_as_of(spark, sf_dir):
     events = _t(spark, sf_dir, "events")
-    return relations.as_of(events, "user_id", ["ts", "event_id"], F.col("event_type") == "click", F.col("event_id")).select("event_id", "anchor")
+    return relations.as_of(events, "user_id", ["ts", "event_id"], F.col("event_type") == "click", F.col("event_id"), F.to_date("ts")).select("event_id", "anchor")
 
 
 def j15_unknown_ids(spark, sf_dir):
@@ -113,7 +113,13 @@ def w4_limiter(spark, sf_dir):
     return rows.select("event_id", "recent", "blocked")
 
 
-QUERIES = {f.__name__: f for f in (a1_facets, a4_topic_counts, a5_classify, a7_score_totals, a11_usage_cost, a12_token_estimate, c2_content_lines, c8_repeat_suffix, d1_key_dedup, d2_shingles, d2_word_shingles, d4_duplicate_of_bank, d4_word_duplicate_of_bank, e6_patch_merge, g1_choice_grading, j3_as_of, j15_unknown_ids, p9_verdict, r3_newest, w4_limiter)}
+def w4_failure_limiter(spark, sf_dir):
+    kind = F.col("event_type")
+    rows = relations.trailing_limit(_t(spark, sf_dir, "events"), "user_id", "ts", 10 * 86_400, 3, kind == "click", kind == "purchase")
+    return rows.select("event_id", "recent", "blocked")
+
+
+QUERIES = {f.__name__: f for f in (a1_facets, a4_topic_counts, a5_classify, a7_score_totals, a11_usage_cost, a12_token_estimate, c2_content_lines, c8_repeat_suffix, d1_key_dedup, d2_shingles, d2_word_shingles, d4_duplicate_of_bank, d4_word_duplicate_of_bank, e6_patch_merge, g1_choice_grading, j3_as_of, j15_unknown_ids, p9_verdict, r3_newest, w4_limiter, w4_failure_limiter)}
 
 _SCORES = ", ".join("(" + " + ".join(f"CASE WHEN contains(lower(coalesce(text, '')), '{p}') THEN {w} ELSE 0 END" for p, w in phrases) + f") AS s{k}" for k, (_, phrases) in enumerate(TAXONOMY))
 _TOPIC = "CASE WHEN greatest(s0, s1, s2, s3) = 0 THEN 'Other / General' " + " ".join(f"WHEN s{k} = greatest(s0, s1, s2, s3) THEN '{t}'" for k, (t, _) in enumerate(TAXONOMY)) + " END"
@@ -152,6 +158,10 @@ SQL = {
     "r3_newest": "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rank FROM events QUALIFY rank <= 5",
     "w4_limiter": """WITH c AS (SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS recent FROM events)
         SELECT event_id, recent, recent >= 5 AS blocked FROM c""",
+    "w4_failure_limiter": """WITH s AS (SELECT *, max(CASE WHEN event_type = 'purchase' THEN ts END) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS cleared FROM events),
+        f AS (SELECT user_id, ts FROM events WHERE event_type = 'click'),
+        c AS (SELECT s.event_id, count(f.ts) AS recent FROM s LEFT JOIN f ON f.user_id = s.user_id AND f.ts BETWEEN s.ts - INTERVAL 10 DAY AND s.ts AND (s.cleared IS NULL OR f.ts > s.cleared) GROUP BY s.event_id)
+        SELECT event_id, recent, recent >= 3 AS blocked FROM c""",
 }
 # the same statements over Unicode words
 _SPLIT, _WORDS = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[ \\t\\n\\r]+'), lambda x: x <> '')", r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+')"
