@@ -34,10 +34,17 @@ def content_lines(docs: DataFrame, id_col: str, text_col: str, boilerplate: list
 
 
 def repeat_suffix(n: Column) -> Column:
-    """'' for the first occurrence, then b, c, ..., z, aa, ab, ... for the second and later ones."""
-    letter = lambda k: F.chr(97 + k)
-    k = (n - 1).cast("int")
-    return F.when(k < 1, "").when(k < 26, letter(k)).otherwise(F.concat(letter(F.floor(k / 26) - 1), letter(k % 26)))
+    """'' for the first occurrence, then b, c, ..., z, aa, ab, ..., zz, aaa, ... for the second and later ones."""
+
+    def digit(state: Column, _: Column) -> Column:
+        m = state["m"] - 1
+        more = F.struct(F.floor(m / 26).cast("long").alias("m"), F.concat(F.chr(97 + m % 26), state["out"]).alias("out"))
+        return F.when(state["m"] > 0, more).otherwise(state)
+
+    # bijective base 26; 26^14 is above the largest long
+    start = F.struct(n.cast("long").alias("m"), F.lit("").alias("out"))
+    letters = F.aggregate(F.sequence(F.lit(1), F.lit(14)), start, digit, lambda s: s["out"])
+    return F.when(n <= 1, "").when(n > 1, letters)
 
 
 def token_estimate(text: Column, assumed_output: int) -> Column:
