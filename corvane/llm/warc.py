@@ -84,19 +84,22 @@ class Damage(Exception):
 
 def _parse(data: bytes, start: int) -> tuple[int, dict[str, str], bytes]:
     """(end, headers, block) of the uncompressed record at start, after all its checks."""
-    head_end = data.find(b"\r\n\r\n", start, start + (1 << 20))
-    if not data.startswith(_VERSION, start) or head_end < 0:
+    line_end = data.find(b"\r\n", start)
+    if not data.startswith(_VERSION, start) or line_end < 0:
         raise Damage("no record header")
     headers: dict[str, str] = {}
-    for line in data[start:head_end].decode("utf-8", "replace").split("\r\n")[1:]:
-        name, colon, value = line.partition(":")
+    while not data.startswith(b"\r\n", line_end + 2):
+        at, line_end = line_end + 2, data.find(b"\r\n", line_end + 2)
+        if line_end < 0:
+            raise Damage("no record header")
+        name, colon, value = data[at:line_end].decode("utf-8", "replace").partition(":")
         if not colon:
             raise Damage("bad header line")
         headers[name.strip().lower()] = value.strip()
     length = headers.get("content-length", "")
-    if not length.isascii() or not length.isdigit():
+    if not length.isascii() or not length.isdigit() or len(length) > 18:
         raise Damage("no content length")
-    begin, end = head_end + 4, head_end + 4 + int(length)
+    begin, end = line_end + 4, line_end + 4 + int(length)
     if data[end : end + 4] != b"\r\n\r\n":
         raise Damage("record is cut or its length is wrong")
     block = data[begin:end]
@@ -106,50 +109,94 @@ def _parse(data: bytes, start: int) -> tuple[int, dict[str, str], bytes]:
     return end + 4, headers, block
 
 
-def _member(data: memoryview, start: int) -> tuple[int, bytes]:
-    """(end, content) of the gzip member at start; zlib checks its CRC and size."""
+def _member(data: memoryview, start: int) -> tuple[int, bytes, str | None]:
+    """(end, content, reason) of the gzip member at start; zlib checks its CRC and size. With a reason the member is
+    damaged, content is what decodes before the damage and end is where it was met."""
     gz, parts, at = zlib.decompressobj(31), [], start
     try:
         while not gz.eof and at < len(data):
             parts.append(gz.decompress(data[at : at + _BLOCK]))
             at += _BLOCK
     except zlib.error as e:
-        raise Damage(f"gzip: {e}") from e
-    if not gz.eof:
-        raise Damage("gzip member is cut")
-    return min(at, len(data)) - len(gz.unused_data), b"".join(parts)
+        # the block is read again by bytes, for what it holds before the damage
+        gz, bad = zlib.decompressobj(31), at
+        for k in range(start, bad, _BLOCK):
+            gz.decompress(data[k : k + _BLOCK])
+        try:
+            while at < len(data):
+                parts.append(gz.decompress(data[at : at + 1]))
+                at += 1
+        except zlib.error:
+            pass
+        return at, b"".join(parts), f"gzip: {e}"
+    return min(at, len(data)) - len(gz.unused_data), b"".join(parts), None if gz.eof else "gzip member is cut"
+
+
+def _content(content: bytes, damaged: bool) -> Iterator[tuple[str, object]]:
+    """("record", (headers, block)) and ("gap", reason) of a member's content, in order; after a failed check it goes on at
+    the next version line. What a damaged member holds counts only with a block digest of its own."""
+    at, gap = 0, None
+    while at < len(content):
+        try:
+            end, headers, block = _parse(content, at)
+            if damaged and not headers.get("warc-block-digest", "").startswith("sha1:"):
+                raise Damage("no digest in a damaged member")
+        except Damage as e:
+            gap = gap or (at, str(e))
+            at = content.find(_VERSION, at + 1)
+            if at < 0:
+                break
+            continue
+        if gap:
+            yield "gap", f"{gap[1]}, bytes {gap[0]} to {at} of the member's content"
+            gap = None
+        yield "record", (headers, block)
+        at = end
+    if gap:
+        yield "gap", f"{gap[1]}, bytes {gap[0]} to {len(content)} of the member's content"
 
 
 def salvage(data: bytes) -> Iterator[tuple[str, int, int, object]]:
     """("record", start, end, (headers, block)) and ("gap", start, end, reason), in order, covering data.
 
-    After a failed check it goes on at the next gzip magic or version line from which a record passes all checks.
+    After a failed check it goes on at the next gzip magic or version line from which a record passes all checks. Within
+    a member it goes on at the next version line of the content, a damaged member's decoded part included; records and
+    gaps of one member all have its start and end.
     """
     view, at, n = memoryview(data), 0, len(data)
     gap: tuple[int, str] | None = None
+    # where the last damaged member was met, and what it gave: a stored member's records are also found as raw bytes
+    upto, given = 0, []
     while at < n:
+        found, reason = [], None
         try:
             if data.startswith(_MAGIC, at):
-                end, content = _member(view, at)
-                found, inner = [], 0
-                while inner < len(content):
-                    inner, headers, block = _parse(content, inner)
-                    found.append((headers, block))
+                end, content, reason = _member(view, at)
+                found = list(_content(content, reason is not None))
+                if reason and not any(kind == "record" for kind, _ in found):
+                    raise Damage(reason)
             elif data.startswith(_VERSION, at):
                 end, headers, block = _parse(data, at)
-                found = [(headers, block)]
+                found = [("record", (headers, block))]
             else:
                 raise Damage("neither a gzip member nor a version line")
         except Damage as e:
             gap = gap or (at, str(e))
-            nexts = [k for k in (data.find(_MAGIC, at + 1), data.find(_VERSION, at + 1)) if k >= 0]
-            at = min(nexts, default=n)
-            continue
+            end = None
+        if end is None or reason:
+            after = min([k for k in (data.find(_MAGIC, at + 1), data.find(_VERSION, at + 1)) if k >= 0], default=n)
+            if end is None:
+                at = after
+                continue
+            upto, given, end = end, [one for kind, one in found if kind == "record"], after
+            found = [*(x for x in found if x[0] == "record"), ("gap", reason)]
+        elif at < upto:
+            found = [x for x in found if x[1] not in given]
         if gap:
             yield "gap", gap[0], at, gap[1]
             gap = None
-        for one in found:
-            yield "record", at, end, one
+        for kind, what in found:
+            yield kind, at, end, what
         at = end
     if gap:
         yield "gap", gap[0], n, gap[1]
