@@ -89,6 +89,12 @@ def g1_choice_grading(spark, sf_dir):
     return line.groupBy("l_orderkey").agg(F.sum(grading.choice_points(F.lower("l_returnflag"), F.concat(F.lit(" "), "l_returnflag", "l_linestatus"))).alias("points"), F.count("*").alias("answers"))
 
 
+def g1_key_grading(spark, sf_dir):
+    key = F.concat(F.lit(" "), F.when(F.col("l_linestatus") == "F", "a").otherwise("n"), "l_linestatus")
+    points = grading.choice_points(F.lower("l_returnflag"), key)
+    return _t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sum(points).alias("points"), F.count("*").alias("answers"))
+
+
 def j3_as_of(spark, sf_dir):
     events = _t(spark, sf_dir, "events")
     return relations.as_of(events, "user_id", ["ts", "event_id"], F.col("event_type") == "click", F.col("event_id"), F.to_date("ts")).select("event_id", "anchor")
@@ -119,7 +125,7 @@ def w4_failure_limiter(spark, sf_dir):
     return rows.select("event_id", "recent", "blocked")
 
 
-QUERIES = {f.__name__: f for f in (a1_facets, a4_topic_counts, a5_classify, a7_score_totals, a11_usage_cost, a12_token_estimate, c2_content_lines, c8_repeat_suffix, d1_key_dedup, d2_shingles, d2_word_shingles, d4_duplicate_of_bank, d4_word_duplicate_of_bank, e6_patch_merge, g1_choice_grading, j3_as_of, j15_unknown_ids, p9_verdict, r3_newest, w4_limiter, w4_failure_limiter)}
+QUERIES = {f.__name__: f for f in (a1_facets, a4_topic_counts, a5_classify, a7_score_totals, a11_usage_cost, a12_token_estimate, c2_content_lines, c8_repeat_suffix, d1_key_dedup, d2_shingles, d2_word_shingles, d4_duplicate_of_bank, d4_word_duplicate_of_bank, e6_patch_merge, g1_choice_grading, g1_key_grading, j3_as_of, j15_unknown_ids, p9_verdict, r3_newest, w4_limiter, w4_failure_limiter)}
 
 _SCORES = ", ".join("(" + " + ".join(f"CASE WHEN contains(lower(coalesce(text, '')), '{p}') THEN {w} ELSE 0 END" for p, w in phrases) + f") AS s{k}" for k, (_, phrases) in enumerate(TAXONOMY))
 _TOPIC = "CASE WHEN greatest(s0, s1, s2, s3) = 0 THEN 'Other / General' " + " ".join(f"WHEN s{k} = greatest(s0, s1, s2, s3) THEN '{t}'" for k, (t, _) in enumerate(TAXONOMY)) + " END"
@@ -152,6 +158,7 @@ SQL = {
         q AS (SELECT l_orderkey, CASE WHEN l_quantity <= 45 THEN l_quantity END AS quantity FROM lineitem WHERE l_quantity > 10 QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_partkey DESC, l_suppkey DESC, l_quantity DESC) = 1)
         SELECT l_orderkey, status, quantity FROM a LEFT JOIN s USING (l_orderkey) LEFT JOIN q USING (l_orderkey)""",
     "g1_choice_grading": "SELECT l_orderkey, count(*) AS points, count(*) AS answers FROM lineitem GROUP BY 1",
+    "g1_key_grading": "SELECT l_orderkey, count(*) FILTER (l_returnflag = CASE l_linestatus WHEN 'F' THEN 'A' ELSE 'N' END) AS points, count(*) AS answers FROM lineitem GROUP BY 1",
     "j3_as_of": """SELECT event_id, last_value(CASE WHEN event_type = 'click' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS anchor FROM events""",
     "j15_unknown_ids": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "p9_verdict": "SELECT doc_id, CASE WHEN trim(coalesce(text, '')) = '' THEN 'unavailable' WHEN quality = 1 THEN 'correct' WHEN quality = 0 THEN 'incorrect' ELSE 'uncertain' END AS verdict FROM documents LEFT JOIN labels USING (doc_id)",
