@@ -63,9 +63,8 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = sentencepiece_nbest.encode_nbest(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
-    back = sentencepiece_nbest.decode(out, public_tokenizers.path("piece_bpe_32k.model"))
-    return back.select("doc_id", "rank", "n_pieces", "score", F.sha2(F.col("ids"), 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
+    found = sentencepiece_nbest.encode_nbest(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), decoded=True)
+    return found.select("doc_id", "rank", "n_pieces", "score", F.sha2(F.col("ids"), 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
 
 
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,104 +12,311 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-CACHED_UNITS = 200_000
-Path = tuple[float, tuple[int, ...]]
+#: Bytes that a worker keeps of segmented units; beyond them it starts anew.
+CACHE_BYTES = 32 << 20
+#: Units of at most so many characters are searched side by side in arrays, longer ones alone with a heap.
+SIDE_BY_SIDE = 32
+#: Text, in characters, that is segmented at once.
+SLICE_CHARS = 1 << 18
+_CHAR = 21  # bits of a code point
+_BYTES = -2  # the edge of a character without a piece of its own
 
 
 class Lattice:
-    """The pieces of a model file with their scores. A character that no piece covers becomes its byte pieces."""
+    """The pieces of a model file as a trie in arrays. A character that no piece covers becomes its byte pieces."""
 
     def __init__(self, model_file: str):
         import sentencepiece
 
         self.processor = sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
         normal = [k for k in range(len(sp)) if not (sp.is_control(k) or sp.is_unknown(k) or sp.is_byte(k) or sp.is_unused(k))]
-        self.pieces = {sp.id_to_piece(k): (k, sp.get_score(k)) for k in normal}
         self.bytes = {int(sp.id_to_piece(k)[1:-1], 16): k for k in range(len(sp)) if sp.is_byte(k)}
         self.unknown = sp.unk_id()
-        self.openings = {p[:k] for p in self.pieces for k in range(1, len(p) + 1)}
-        self.longest = max(map(len, self.pieces), default=1)
-        self.least = min((s for _, s in self.pieces.values()), default=0.0) - 10
+        pieces = {sp.id_to_piece(k): (k, sp.get_score(k)) for k in normal}
         #: Pieces never run from a word into the next space, so spaces after other characters are cuts of the lattice.
-        self.cuts = not any(SPACE in p.lstrip(SPACE) for p in self.pieces)
-        self.known: dict[tuple[str, int], list[Path]] = {}
+        self.cuts = not any(SPACE in p.lstrip(SPACE) for p in pieces)
+        self.longest = max(map(len, pieces), default=1)
+        self.least = min((s for _, s in pieces.values()), default=0.0) - 10
+        self.steps: dict[int, int] = {}
+        ids, scores = [-1], [0.0]
+        for piece, (k, score) in pieces.items():
+            node = 0
+            for c in piece:
+                key = node << _CHAR | ord(c)
+                if (after := self.steps.get(key)) is None:
+                    after = self.steps[key] = len(ids)
+                    ids.append(-1)
+                    scores.append(0.0)
+                node = after
+            ids[node], scores[node] = k, score
+        self.ids, self.scores = np.array(ids, np.int32), np.array(scores)
+        self.keys = np.array(sorted(self.steps), np.int64)
+        self.after = np.array([self.steps[k] for k in self.keys.tolist()], np.int32)
 
     def units(self, text: str) -> list[str]:
+        """The parts of a normalised text between cuts, in order."""
         if not self.cuts:
             return [text] if text else []
-        out: list[str] = []
-        spaces = ""
-        for k, word in enumerate(text.split(SPACE)):
-            spaces += SPACE if k else ""
-            if word:
-                out.append(spaces + word)
+        first, *words = text.split(SPACE)
+        if all(words):
+            return ([first] if first else []) + [SPACE + w for w in words]
+        out, spaces = [first] if first else [], ""
+        for w in words:
+            spaces += SPACE
+            if w:
+                out.append(spaces + w)
                 spaces = ""
         return [*out, spaces] if spaces else out
 
-    def edges(self, unit: str) -> list[list[tuple[int, tuple[int, ...], float]]]:
-        """For each end, the (start, ids, score) of the pieces that end there."""
+    def spelled(self, char: str) -> list[int]:
+        return [self.bytes.get(b, self.unknown) for b in char.encode("utf-8", "surrogatepass")] if self.bytes else [self.unknown]
+
+    def edges(self, unit: str) -> list[list[tuple[int, int, float]]]:
+        """For each end, the (start, id, score) of the pieces that end there; the id _BYTES stands for a character's bytes."""
         into: list[list] = [[] for _ in range(len(unit) + 1)]
         for start in range(len(unit)):
-            covered = False
-            for end in range(start + 1, min(len(unit), start + self.longest) + 1):
-                if (part := unit[start:end]) not in self.openings:
+            node, own = 0, False
+            for end in range(start + 1, len(unit) + 1):
+                if (node := self.steps.get(node << _CHAR | ord(unit[end - 1]), -1)) < 0:
                     break
-                if (found := self.pieces.get(part)) is not None:
-                    into[end].append((start, (found[0],), found[1]))
-                    covered = covered or end == start + 1
-            if not covered:
-                raw = tuple(self.bytes.get(b, self.unknown) for b in unit[start].encode()) if self.bytes else (self.unknown,)
-                into[start + 1].append((start, raw, self.least))
+                if self.ids[node] >= 0:
+                    into[end].append((start, int(self.ids[node]), float(self.scores[node])))
+                    own = own or end == start + 1
+            if not own:
+                into[start + 1].append((start, _BYTES, self.least))
         return into
 
-    def nbest(self, unit: str, n: int) -> list[Path]:
-        """The n best (score, ids) of a unit, best first; equal scores come in the order of their ids."""
-        if (have := self.known.get((unit, n))) is not None:
-            return have
+    def nbest(self, unit: str, n: int) -> list[tuple[float, list[int]]]:
+        """The n best (score, ids) of one unit, best first.
+
+        No place of the lattice is expanded more than n times, as only the n best ways from it to the end can count;
+        among equal totals the place nearest the start goes first, so ties are not searched breadth first.
+        """
         into = self.edges(unit)
         forward = [0.0] + [-np.inf] * len(unit)
         for end in range(1, len(unit) + 1):
             forward[end] = max((forward[start] + score for start, _, score in into[end]), default=-np.inf)
-        # (-(score behind + best score ahead), position, score behind, ids behind as linked cells)
-        heap: list = [(-forward[-1], 0, len(unit), 0.0, None)]
-        order, out = 1, []
+        # (-(score behind + best score ahead), place, order, score behind, pieces behind as linked cells)
+        heap: list = [(-forward[-1], len(unit), 0, 0.0, None)]
+        order, out, seen = 1, [], [0] * (len(unit) + 1)
         while heap and len(out) < n:
-            _, _, at, behind, cell = heapq.heappop(heap)
+            _, at, _, behind, cell = heapq.heappop(heap)
+            seen[at] += 1
+            if seen[at] > n:
+                continue
             if at == 0:
                 ids: list[int] = []
+                place = 0
                 while cell is not None:
-                    ids.extend(cell[0])
-                    cell = cell[1]
-                out.append((behind, tuple(ids)))
+                    piece, width, cell = cell
+                    ids.extend(self.spelled(unit[place]) if piece == _BYTES else (piece,))
+                    place += width
+                out.append((behind, ids))
                 continue
             for start, piece, score in into[at]:
-                heapq.heappush(heap, (-(behind + score + forward[start]), order, start, behind + score, (piece, cell)))
+                heapq.heappush(heap, (-(behind + score + forward[start]), start, order, behind + score, (piece, at - start, cell)))
                 order += 1
-        out.sort(key=lambda p: (-p[0], p[1]))
-        if len(self.known) >= CACHED_UNITS:
-            self.known.clear()
-        if len(unit) <= 64:
-            self.known[(unit, n)] = out
         return out
 
-    def encode(self, text: str, n: int) -> list[tuple[float, np.ndarray]]:
-        """The n best (score, ids) of a whole text, from those of its units.
+    def nbest_many(self, units: list[str], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(scores [unit, n] with -inf where fewer exist, ids of segmentation unit * n + rank end to end, their bounds)."""
+        size = len(units)
+        length = np.fromiter(map(len, units), np.int64, size)
+        chars = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        begins = np.cumsum(length) - length
+        scores = np.full((size, n), -np.inf)
+        owner, rank, flat = [], [], []
+        order = np.argsort(length, kind="stable")
+        short = order[length[order] <= SIDE_BY_SIDE]
+        for at in range(0, len(short), 4096):
+            rows = short[at : at + 4096]
+            width = int(length[rows[-1]])
+            cells = begins[rows][:, None] + np.arange(width)
+            inside = np.arange(width) < length[rows][:, None]
+            text = np.where(inside, chars[np.minimum(cells, len(chars) - 1)], 0)
+            got, who, nth, ids = self._search(text, length[rows], n)
+            scores[rows] = got
+            owner.append(rows[who])
+            rank.append(nth)
+            flat.append(ids)
+        for row in order[length[order] > SIDE_BY_SIDE].tolist():
+            for k, (score, ids) in enumerate(self.nbest(units[row], n)):
+                scores[row, k] = score
+                owner.append(np.full(len(ids), row))
+                rank.append(np.full(len(ids), k))
+                flat.append(np.array(ids, np.int32))
+        segment = np.concatenate([np.zeros(0, np.int64), *(o * n + r for o, r in zip(owner, rank, strict=True))])
+        ids = np.concatenate([np.zeros(0, np.int32), *flat])
+        ids = ids[np.argsort(segment, kind="stable")]
+        return scores, ids, np.concatenate(([0], np.cumsum(np.bincount(segment, minlength=size * n))))
+
+    def _pieces(self, text: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, scores) [width of piece - 1, unit, start]: the trie is walked from all starts of all units at once."""
+        units, width = text.shape
+        most = min(self.longest, width)
+        ids, scores = np.full((most, units, width), -1, np.int32), np.full((most, units, width), -np.inf)
+        row, start = np.nonzero(np.arange(width) < length[:, None])
+        node = np.zeros(len(row), np.int64)
+        for k in range(most):
+            if k:
+                on = start + k < length[row]
+                row, start, node = row[on], start[on], node[on]
+            key = node << _CHAR | text[row, start + k]
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            on = self.keys[at] == key
+            row, start, node = row[on], start[on], self.after[at[on]].astype(np.int64)
+            done = self.ids[node] >= 0
+            ids[k, row[done], start[done]] = self.ids[node[done]]
+            scores[k, row[done], start[done]] = self.scores[node[done]]
+            if not len(row):
+                break
+        bare = (ids[0] < 0) & (np.arange(width) < length[:, None])
+        ids[0][bare], scores[0][bare] = _BYTES, self.least
+        return ids, scores
+
+    def _search(self, text: np.ndarray, length: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """nbest for many short units side by side: (scores, and unit, rank and id of every piece in order)."""
+        units, width = text.shape
+        pieces, score = self._pieces(text, length)
+        most = len(pieces)
+        forward = np.full((units, width + 1), -np.inf)
+        forward[:, 0] = 0
+        for end in range(1, width + 1):
+            for k in range(min(most, end)):
+                np.maximum(forward[:, end], forward[:, end - k - 1] + score[k][:, end - k - 1], out=forward[:, end])
+        every = np.arange(units)
+        room = 4 * most
+        total = np.full((units, room), -np.inf)  # of an entry that is still open: its score behind and the best ahead
+        place, step, before = (np.zeros((units, room), np.int16) for _ in range(3))
+        behind = np.zeros((units, room))
+        total[:, 0], place[:, 0], before[:, 0] = forward[every, length], length, -1
+        used = np.ones(units, np.int64)
+        seen = np.zeros((units, width + 1), np.int16)
+        scores, ends, found = np.full((units, n), -np.inf), np.full((units, n), -1), np.zeros(units, np.int64)
+        live = every[length > 0]
+        scores[length == 0, 0] = 0.0
+        while len(live):
+            high = int(used[live].max())
+            open_ = total[live, :high]
+            best = open_.max(axis=1)
+            live, open_, best = (x[best > -np.inf] for x in (live, open_, best))
+            if not len(live):
+                break
+            # the nearest to the start among equal totals, then the earliest entry
+            pick = np.where(open_ == best[:, None], place[live, :high], np.int16(width + 1)).argmin(axis=1)
+            total[live, pick] = -np.inf
+            at = place[live, pick].astype(np.int64)
+            seen[live, at] += 1
+            fresh = seen[live, at] <= n
+            done = fresh & (at == 0)
+            rows, entry = live[done], pick[done]
+            scores[rows, found[rows]], ends[rows, found[rows]] = behind[rows, entry], entry
+            found[rows] += 1
+            on = fresh & (at > 0)
+            rows, entry, at = live[on], pick[on], at[on]
+            if len(rows) and int(used[rows].max()) + most > room:
+                grown = np.full((units, room), -np.inf)
+                total = np.hstack([total, grown])
+                behind = np.hstack([behind, np.zeros((units, room))])
+                place, step, before = (np.hstack([x, np.zeros((units, room), np.int16)]) for x in (place, step, before))
+                room *= 2
+            for k in range(most):
+                start = at - k - 1
+                here = start >= 0
+                here[here] = pieces[k][rows[here], start[here]] != -1
+                r, s, e = rows[here], start[here], entry[here]
+                new = used[r]
+                own = behind[r, e] + score[k][r, s]
+                behind[r, new], total[r, new] = own, own + forward[r, s]
+                place[r, new], step[r, new], before[r, new] = s, k, e
+                used[r] = new + 1
+            live = live[found[live] < n]
+        # from the start to the end along the entries; every entry knows the piece that follows its place
+        who, nth = np.nonzero(ends >= 0)
+        entry = ends[who, nth]
+        owner, rank, ids = [], [], []
+        while len(who):
+            at, k = place[who, entry], step[who, entry]
+            follows = before[who, entry]
+            on = follows >= 0
+            who, nth, at, k, entry = who[on], nth[on], at[on], k[on], follows[on].astype(np.int64)
+            owner.append(who)
+            rank.append(nth)
+            found_ids = pieces[k, who, at].astype(np.int64)
+            bare = found_ids == _BYTES
+            found_ids[bare] = -2 - text[who[bare], at[bare]]
+            ids.append(found_ids)
+        if not owner:
+            return scores, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        who, nth, flat = (np.concatenate(x) for x in (owner, rank, ids))
+        turn = np.repeat(np.arange(len(owner)), [len(x) for x in owner])
+        order = np.lexsort((turn, nth, who))
+        who, nth, flat = who[order], nth[order], flat[order]
+        bare = np.flatnonzero(flat < 0)
+        if len(bare):
+            spelled = {c: self.spelled(chr(-2 - c)) for c in set(flat[bare].tolist())}
+            times = np.ones(len(flat), np.int64)
+            times[bare] = [len(spelled[c]) for c in flat[bare].tolist()]
+            goes = np.cumsum(times) - times
+            who, nth, full = np.repeat(who, times), np.repeat(nth, times), np.repeat(flat, times)
+            for k in bare.tolist():
+                full[goes[k] : goes[k] + times[k]] = spelled[int(flat[k])]
+            flat = full
+        return scores, who, nth, flat.astype(np.int32)
+
+
+class Units:
+    """Segmented units of one worker, in arrays: their scores, and the ids of all their segmentations end to end."""
+
+    def __init__(self, own: Lattice, n: int):
+        self.own, self.n = own, n
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[str, int] = {}
+        self.scores, self.ids, self.bounds = np.zeros((0, self.n)), np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.held = 0
+
+    def add(self, units: list[str]) -> None:
+        """Segment those units that are not known; what a worker holds stays within CACHE_BYTES and this call's units."""
+        new = list(dict.fromkeys(u for u in units if u not in self.known))
+        if not new:
+            return
+        if self.held > CACHE_BYTES:
+            self.clear()
+            new = list(dict.fromkeys(units))
+        scores, ids, bounds = self.own.nbest_many(new, self.n)
+        at = len(self.scores)
+        self.known.update(zip(new, range(at, at + len(new)), strict=True))
+        self.bounds = np.concatenate((self.bounds, bounds[1:] + len(self.ids)))
+        self.ids, self.scores = np.concatenate((self.ids, ids)), np.concatenate((self.scores, scores))
+        self.held = self.ids.nbytes + self.scores.nbytes + self.bounds.nbytes + sum(map(len, new)) + 150 * len(self.known)
+
+    def of_text(self, at: np.ndarray) -> list[tuple[float, np.ndarray]]:
+        """The n best (score, ids) of a text whose units are numbered at, from those of its units.
 
         Only the n - 1 units with the cheapest second choice can differ from their best within the n best of the text.
         """
-        units = self.units(self.processor.normalize(text))
-        choices = [self.nbest(u, n) for u in units]
-        best = sum(c[0][0] for c in choices)
-        costs = heapq.nsmallest(n - 1, ((c[0][0] - c[1][0], k) for k, c in enumerate(choices) if len(c) > 1))
+        n = self.n
+        choices = self.scores[at]
+        best = float(choices[:, 0].sum())
         plans: list[tuple[float, tuple[tuple[int, int], ...]]] = [(0.0, ())]
-        for _, k in sorted(costs, key=lambda x: x[1]):
-            grown = ((cost + choices[k][0][0] - c[0], (*p, (k, j)) if j else p) for cost, p in plans for j, c in enumerate(choices[k]))
-            plans = heapq.nsmallest(n, grown)
+        if n > 1 and len(at):
+            cost = choices[:, 0] - choices[:, 1]
+            worst = np.partition(cost, n - 2)[n - 2] if len(cost) >= n else np.inf
+            near = np.concatenate((np.flatnonzero(cost < worst), np.flatnonzero(cost == worst)))[: n - 1]
+            for k in sorted(near.tolist()):
+                costs = [float(choices[k, 0] - s) for s in choices[k] if s > -np.inf]
+                plans = heapq.nsmallest(n, ((c + own, (*p, (k, j)) if j else p) for c, p in plans for j, own in enumerate(costs)))
         out = []
         for cost, plan in plans:
-            picked = dict(plan)
-            ids = [i for k, c in enumerate(choices) for i in c[picked.get(k, 0)][1]]
-            out.append((best - cost, np.array(ids, dtype="<i4")))
+            segment = at * n
+            for k, j in plan:
+                segment[k] += j
+            begin = self.bounds[segment]
+            length = self.bounds[segment + 1] - begin
+            cells = np.repeat(begin - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
+            out.append((best - cost, self.ids[cells].astype("<i4")))
         return out
 
 
@@ -118,40 +325,77 @@ def lattice(model_file: str) -> Lattice:
     return Lattice(model_file)
 
 
-def encode_nbest(docs: DataFrame, model_file: str, n: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, rank (1 is best), score, n_pieces, ids (binary, little-endian 32-bit) of the n best segmentations of every whole text.
+@cache
+def _units(model_file: str, n: int) -> Units:
+    return Units(lattice(model_file), n)
+
+
+def encode_texts(model_file: str, texts: list[str], n: int) -> Iterator[list[tuple[float, np.ndarray]]]:
+    """For each text the n best (score, ids); texts are taken together up to SLICE_CHARS characters."""
+    cache_, first = _units(model_file, n), 0
+    own = cache_.own
+    while first < len(texts):
+        last, size = first, 0
+        while last < len(texts) and (last == first or size + len(texts[last]) <= SLICE_CHARS):
+            size += len(texts[last])
+            last += 1
+        parts = [own.units(own.processor.normalize(t)) for t in texts[first:last]]
+        every = [u for p in parts for u in p]
+        cache_.add(every)
+        numbers = np.fromiter(map(cache_.known.__getitem__, every), np.int64, len(every))
+        at = 0
+        for p in parts:
+            yield cache_.of_text(numbers[at : at + len(p)])
+            at += len(p)
+        first = last
 
-    Fewer rows come where fewer segmentations exist; null and empty texts have one, without pieces. Repeated rows are encoded
-    each; other columns are ignored; nothing is shuffled. A segmentation's score is the sum of its pieces' scores in
-    the model file; characters without a piece become byte pieces at a score below every piece's.
+
+def encode_nbest(docs: DataFrame, model_file: str, n: int = 3, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """id_col, rank (1 is best), score, n_pieces, ids (binary, little-endian 32-bit) of the n best segmentations of every whole text;
+    with decoded also the text that these ids give back.
+
+    Fewer rows come where fewer segmentations exist; null and empty texts have one, without pieces. An empty table gives no rows.
+    Repeated rows are encoded each; other columns are ignored; nothing is shuffled. A segmentation's score is the sum of its
+    pieces' scores in the model file; characters without a piece become byte pieces at a score below every piece's. Which of several
+    segmentations of equal score come within the n best follows from the text alone.
     """
+    kinds = [("i", pa.int64()), ("rank", pa.int32()), ("score", pa.float64()), ("n_pieces", pa.int64()), ("ids", pa.binary())]
+    kinds += [("decoded", pa.string())] if decoded else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = lattice(model_file)
-        kinds = (pa.int64(), pa.int32(), pa.float64(), pa.int64(), pa.binary())
+        back = lattice(model_file).processor
 
         def flush() -> pa.RecordBatch:
-            return pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["i", "rank", "score", "n_pieces", "ids"])
+            return pa.record_batch([pa.array(c, t) for c, (_, t) in zip(cols, kinds, strict=True)], names=[k for k, _ in kinds])
 
-        cols: tuple[list, ...] = ([], [], [], [], [])
+        cols: list[list] = [[] for _ in kinds]
         size = 0
         for batch in batches:
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                for rank, (score, ids) in enumerate(own.encode(text.as_py() or "", n), 1):
-                    for col, value in zip(cols, (i, rank, score, len(ids), ids.tobytes()), strict=True):
-                        col.append(value)
-                    size += ids.nbytes
-                if size > 8 << 20:
-                    yield flush()
-                    cols, size = ([], [], [], [], []), 0
+            for at in range(0, len(batch), 256):
+                part = batch.slice(at, 256)
+                texts = [t or "" for t in part.column(1).to_pylist()]
+                for i, found in zip(part.column(0).to_pylist(), encode_texts(model_file, texts, n), strict=True):
+                    for rank, (score, ids) in enumerate(found, 1):
+                        row = (i, rank, score, len(ids), ids.tobytes(), *([back.decode(ids.tolist())] if decoded else []))
+                        for col, value in zip(cols, row, strict=True):
+                            col.append(value)
+                        size += 2 * ids.nbytes
+                    if size > 4 << 20:
+                        yield flush()
+                        cols, size = [[] for _ in kinds], 0
         yield flush()
 
     rows = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
-    return rows.mapInArrow(run, "i long, rank int, score double, n_pieces long, ids binary").withColumnRenamed("i", id_col)
+    schema = "i long, rank int, score double, n_pieces long, ids binary" + (", decoded string" if decoded else "")
+    return rows.mapInArrow(run, schema).withColumnRenamed("i", id_col)
 
 
 def decode(encoded: DataFrame, model_file: str, ids_col: str = "ids") -> DataFrame:
-    """encoded with a column decoded: the text of ids_col. Null ids decode to null, no ids to the empty text."""
+    """encoded with a column decoded: the text of ids_col. Null ids decode to null, no ids to the empty text.
+
+    Other columns pass through, a column named decoded is replaced; an empty table stays empty.
+    """
+    encoded = encoded.drop("decoded")
     at = encoded.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

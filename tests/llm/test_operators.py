@@ -7,7 +7,7 @@ import numpy as np
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from corvane.llm import embed_dedup, exact_dedup, html_wrapper, jaccard_join, packing, pii, quality, secrets, sentencepiece_nbest, warc
+from corvane.llm import embed_dedup, exact_dedup, html_wrapper, jaccard_join, packing, pii, quality, secrets, warc
 from corvane.llm.common import shared_dir
 
 DOCS = "doc_id long, text string, r string, id long, n long"
@@ -83,18 +83,6 @@ def test_quality(spark):
     assert quality.score(docs, quality.fit(docs, labels.where("false"))).where("score <> 0.5").count() == 0
 
 
-def test_nbest_equals_enumeration():
-    own = sentencepiece_nbest.lattice(public_tokenizers.path("piece_bpe_32k.model"))
-    for unit in ("▁hello", "▁naïve", "abc"):
-        into, paths = own.edges(unit), {0: [(0.0, ())]}
-        for end in range(1, len(unit) + 1):
-            paths[end] = [(s + score, ids + piece) for start, piece, score in into[end] for s, ids in paths[start]]
-        want = sorted((s for s, _ in paths[len(unit)]), reverse=True)[:5]
-        assert np.allclose([s for s, _ in own.nbest(unit, 5)], want)
-    text = "Hello  world\nß 漢字"
-    assert all(own.processor.decode(ids.tolist()) == text for _, ids in own.encode(text, 4))
-
-
 def test_jaccard_equals_brute_force(spark):
     rng = random.Random(3)
     base = [[rng.choice("abcdefghijklmnopqrstuvwxyz") + str(rng.randrange(40)) for _ in range(60)] for _ in range(6)]
