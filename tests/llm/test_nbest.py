@@ -68,6 +68,17 @@ def test_texts_equal_the_product_of_their_units(spark):
     assert [r.decoded for r in nbest.decode(nothing, MODEL).collect()] == [None]
 
 
+def test_decoding_equals_the_library():
+    own, rng = nbest.lattice(MODEL), np.random.default_rng(3)
+    for _ in range(300):
+        ids = rng.integers(0, len(own.processor), rng.integers(1, 9)).astype("<i4")
+        if not any(own.processor.is_byte(int(k)) for k in ids):  # loose bytes: how many U+FFFD a broken run gives is the library's own
+            assert own.text(ids) == own.processor.decode(ids.tolist())
+    for text in ("Hello  world\nß 漢字🙂", " x", "", "a\tb"):
+        ids = np.array(own.processor.encode(text), "<i4")
+        assert own.text(ids) == own.processor.decode(ids.tolist()) == text
+
+
 def test_cache_starts_anew(spark, monkeypatch):
     texts = [" ".join(f"w{k}x{j}" for j in range(20)) for k in range(30)]
     whole = [[(s, i.tolist()) for s, i in found] for found in nbest.encode_texts(MODEL, texts, 3)]
