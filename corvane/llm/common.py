@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -39,21 +40,28 @@ def remove(spark: SparkSession, *frames: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def clean(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished queries now: Spark deletes them once the driver's collector has seen their plans go."""
+    gc.collect()
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component): the smallest id reachable from every id that occurs in edges.
 
     Alternating large-star and small-star contraction (Kiveris et al., 2014), all joins and
-    aggregations; each round is a table in the shared folder. Self-loops and null ends are ignored.
+    aggregations; each round is a table in the shared folder. Self-loops and null ends are ignored. It ends when
+    a round changes nothing, after about the logarithm of the largest component's size in rounds.
     """
     spark = edges.sparkSession
     u, v = F.greatest(a, b), F.least(a, b)
     now = materialize(edges.where(F.col(a) != F.col(b)).select(u.alias("u"), v.alias("v")).distinct(), "edges")
     before = None
-    for _ in range(max_rounds):
+    while True:
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen[0] == 0 or seen == before:
             break
@@ -69,8 +77,6 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         after = materialize(small.distinct(), "edges")
         remove(spark, now)
         now = after
-    else:
-        raise RuntimeError(f"components did not settle within {max_rounds} rounds")
     roots = now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import reduce
 
@@ -10,13 +11,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import connected_components, materialize, mix, remove, shingle_sets
+from corvane.llm.common import clean, connected_components, materialize, mix, remove, shingle_sets
 
 #: Shingles are counted in so many buckets: the table of counts, 2 MB, is the same size for any corpus.
 BUCKETS = 1 << 18
 #: 64-bit words of the parity bitmap of a set.
 BITMAP_WORDS = 4
-_HEADS = "doc_id long, n long, fp binary, prefix array<long>, bits array<long>"
+_HEADS = "doc_id long, n long, fp binary, h binary, prefix array<long>, bits array<long>, sketch binary"
 
 
 def _count_buckets(words: int):
@@ -46,26 +47,57 @@ def bucket_counts(texts: DataFrame, words: int) -> np.ndarray:
     return counts
 
 
+def _parity(places: np.ndarray, size: int) -> np.ndarray:
+    """The parity bitmap of size bits, packed: a bit is set where an odd number of members fall on it."""
+    return np.packbits((np.bincount((places & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8))
+
+
 def _heads(words: int, percent: int, counts):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
-
         table = counts.value
+        digest = lambda x: hashlib.blake2b(x.tobytes(), digest_size=16).digest()
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
+        names = ["doc_id", "n", "fp", "h", "prefix", "bits", "sketch"]
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            out: tuple[list, ...] = ([], [], [], [], [])
+            out: list[list] = [[] for _ in names]
             for row, keys in shingle_sets(batch.column(1), words):
                 n = len(keys)
                 take = n - -(-percent * n // 100) + 1 if n else 0
                 # any total order of the shingles is right; rare buckets first keeps the postings short
                 order = np.lexsort((keys, table[(keys % np.uint64(BUCKETS)).astype(np.int64)]))[:take]
-                places = (mix(keys) % np.uint64(64 * BITMAP_WORDS)).astype(np.int64)
-                parity = (np.bincount(places, minlength=64 * BITMAP_WORDS) & 1).astype(np.uint8)
-                bits = np.packbits(parity).view(np.int64)
-                for col, value in zip(out, (ids[row], n, hashlib.blake2b(keys.tobytes(), digest_size=16).digest(), keys[order].view(np.int64), bits), strict=True):
+                places = mix(keys)
+                # four bits a member, so the sketch tells the sizes of differences for sets of any size
+                sketch = _parity(places, max(64 * BITMAP_WORDS, 1 << max(n - 1, 1).bit_length() + 2))
+                bits = _parity(places, 64 * BITMAP_WORDS).view(np.int64)
+                for col, value in zip(out, (ids[row], n, digest(keys), digest(keys[order]), keys[order].view(np.int64), bits, sketch.tobytes()), strict=True):
                     col.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["doc_id", "n", "fp", "prefix", "bits"])
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=names)
+
+    return run
+
+
+def _folded(sketch: np.ndarray, size: int) -> np.ndarray:
+    while len(sketch) > size:
+        half = len(sketch) // 2
+        sketch = sketch[:half] ^ sketch[half:]
+    return sketch
+
+
+def _sketches_allow(percent: int):
+    """Pairs (a, b, an, bn, x, y) whose sketches, of one size once the larger is folded, differ in no more bits than two linked
+    sets can differ in members."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            keep = np.zeros(len(batch), dtype=bool)
+            for k, (x, y) in enumerate(zip(batch.column(4), batch.column(5), strict=True)):
+                one, two = (np.frombuffer(v.as_buffer(), dtype=np.uint8) for v in (x, y))
+                size = min(len(one), len(two))
+                differing = int(np.bitwise_count(_folded(one, size) ^ _folded(two, size)).sum())
+                keep[k] = differing * (100 + percent) <= int(sizes[k]) * (100 - percent)
+            yield batch.select([0, 1]).filter(pa.array(keep))
 
     return run
 
@@ -97,17 +129,25 @@ def _bitmaps_allow(percent: int) -> Column:
     return differing * (100 + percent) <= (F.col("an") + F.col("bn")) * (100 - percent)
 
 
-def _linked(pairs: DataFrame, heads: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Of pairs (a, b) of ids, those whose complete sets link."""
-    facts = heads.select("id", "n", "bits")
+def _linked(pairs: DataFrame, rows: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Of pairs (a, b) of ids, those whose complete sets link.
+
+    Small bitmaps, then sketches of a sixteenth of a set's size hold nearly all others back, both exactly; so complete sets are
+    sent for about as many pairs as there are links.
+    """
+    facts, spark = rows.select("doc_id", "n", "bits"), texts.sparkSession
     pairs = pairs.distinct().join(facts.toDF("a", "an", "abits"), "a").join(facts.toDF("b", "bn", "bbits"), "b")
-    pairs = materialize(pairs.where(_similar_sizes("an", "bn", percent) & _bitmaps_allow(percent)).select("a", "b"), "pairs")
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    pairs = materialize(pairs.where(_similar_sizes("an", "bn", percent) & _bitmaps_allow(percent)).select("a", "b", "an", "bn"), "pairs")
+    sketches = rows.select("doc_id", "sketch")
+    near = pairs.join(sketches.toDF("b", "y"), "b").join(sketches.toDF("a", "x"), "a").select("a", "b", "an", "bn", "x", "y")
+    near = materialize(near.mapInArrow(_sketches_allow(percent), "a long, b long"), "near")
+    remove(spark, pairs)
+    wanted = near.select(F.col("a").alias("id")).union(near.select("b")).distinct()
     sets = materialize(texts.join(wanted, "id", "left_semi").select("id", "text").mapInArrow(_sets(words), "id long, keys array<long>"), "sets")
-    both = pairs.join(sets.toDF("b", "y"), "b").join(sets.toDF("a", "x"), "a")
+    both = near.join(sets.toDF("b", "y"), "b").join(sets.toDF("a", "x"), "a")
     shared = F.size(F.array_intersect("x", "y"))
     out = materialize(both.where(100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b"), "links")
-    remove(texts.sparkSession, pairs, sets)
+    remove(spark, near, sets)
     return out
 
 
@@ -136,15 +176,16 @@ def similarity_components(docs: DataFrame, words: int = 5, percent: int = 80, id
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     counts = spark.sparkContext.broadcast(bucket_counts(texts, words))
     rows = materialize(texts.select(F.col("id").alias("doc_id"), "text").mapInArrow(_heads(words, percent, counts), _HEADS), "heads")
-    classes = rows.where("n > 0 and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("id"))
-    heads = rows.join(classes.withColumnRenamed("fp", "f"), (F.col("f") == F.col("fp")) & (F.col("id") == F.col("doc_id")), "left_semi")
-    heads = heads.select(F.col("doc_id").alias("id"), "fp", "n", "prefix", "bits", F.md5(F.concat_ws(",", F.col("prefix").cast("array<string>"))).alias("h")).dropDuplicates(["id", "fp"])
-    groups = heads.groupBy("h", "n").agg(F.min("id").alias("g"))
-    heads = materialize(heads.join(groups, ["h", "n"]).drop("h"), "classes")
-    posted = heads.where("id = g").select("g", "n", F.posexplode("prefix").alias("pos", "s"))
+    filled = rows.where("n > 0 and doc_id is not null")
+    # size and prefix follow from the set, so they only ride along as keys
+    classes = materialize(filled.groupBy("fp", "n", "h").agg(F.min("doc_id").alias("id")), "classes")
+    groups = classes.groupBy("h", "n").agg(F.min("id").alias("g"))
+    members = materialize(classes.join(groups, ["h", "n"]).select("id", "g", F.col("id").alias("comp")).distinct(), "members")
+    first = filled.select("doc_id", "n", "h", "prefix").join(groups.withColumnRenamed("g", "doc_id"), ["doc_id", "n", "h"], "left_semi").dropDuplicates(["doc_id", "n", "h"])
+    posted = first.select(F.col("doc_id").alias("g"), "n", F.posexplode("prefix").alias("pos", "s"))
     often = posted.groupBy("s").agg(F.count("*").alias("k")).where("k > 1").select("s")
     posted = materialize(posted.join(often, "s", "left_semi"), "postings")
-    members = materialize(heads.select("id", "g", F.col("id").alias("comp")), "members")
+    clean(spark)
 
     for r in range(star_rounds):
         entries = members.groupBy("g", "comp").agg(F.min("id").alias("id"))
@@ -153,19 +194,23 @@ def similarity_components(docs: DataFrame, words: int = 5, percent: int = 80, id
         inside = entries.join(inside, "g").where("comp != ca").select("a", F.col("id").alias("b"))
         # bands of size, shifted each round, keep pivots comparable with what they are paired with
         band = F.floor(F.log("n") / F.lit(float(np.log(100 / percent))) + F.lit(r / 2))
-        lists = posted.join(entries, "g").withColumn("band", band)
-        pivot = lists.groupBy("s", "band").agg(F.min_by(F.struct("id", "comp", "n"), rank).alias("p"), F.count_distinct("comp").alias("k") if r else F.count("*").alias("k"))
-        star = lists.join(pivot.where("k > 1"), ["s", "band"]).where(F.expr("p.comp != comp") & _similar_sizes("n", "p.n", percent))
+        # in the first round every class is its own component, and a group's first one stands for it
+        lists = posted.withColumns({"id": F.col("g"), "comp": F.col("g")}) if r == 0 else posted.join(entries, "g")
+        lists = lists.withColumn("band", band)
+        pivot = lists.groupBy("s", "band").agg(F.min_by(F.struct("id", "comp", "n"), rank).alias("p"), F.min("comp").alias("least"), F.max("comp").alias("most"))
+        star = lists.join(pivot.where("least != most"), ["s", "band"]).where(F.expr("p.comp != comp") & _similar_sizes("n", "p.n", percent))
         pairs = star.select(F.col("p.id").alias("a"), F.col("id").alias("b")).union(inside)
-        links = _linked(pairs, heads, texts, words, percent)
+        links = _linked(pairs, rows, texts, words, percent)
         after = _merged(members, links)
         remove(spark, members, links)
         members = after
+        clean(spark)
 
     entries = members.groupBy("g", "comp").agg(F.min("id").alias("id"))
-    mixed = posted.join(entries, "g").groupBy("s").agg(F.count_distinct("comp").alias("k")).where("k > 1").select("s")
+    mixed = posted.join(entries, "g").groupBy("s").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least != most").select("s")
     # a group of one class has that class's bitmap; groups of several are held back by their sizes and places only
-    single = heads.groupBy("g").agg(F.when(F.count("*") == 1, F.first("bits")).alias("bits"))
+    single = members.groupBy("g").agg(F.count("*").alias("k")).join(rows.select(F.col("doc_id").alias("g"), "bits").dropDuplicates(["g"]), "g")
+    single = single.select("g", F.when(F.col("k") == 1, F.col("bits")).alias("bits"))
     lists = posted.join(mixed, "s", "left_semi").join(entries.join(single, "g"), "g")
     lists = materialize(lists.select("s", "pos", "n", "g", "comp", "bits"), "lists")
     x, y = lists.toDF("s", "xpos", "an", "xg", "xc", "abits"), lists.toDF("s", "ypos", "bn", "yg", "yc", "bbits")
@@ -177,21 +222,20 @@ def similarity_components(docs: DataFrame, words: int = 5, percent: int = 80, id
     grouped = across.union(inside).distinct()
     pairs = grouped.join(members.select(F.col("g").alias("xg"), F.col("comp").alias("xc"), F.col("id").alias("a")), ["xg", "xc"])
     pairs = pairs.join(members.select(F.col("g").alias("yg"), F.col("comp").alias("yc"), F.col("id").alias("b")), ["yg", "yc"]).select("a", "b")
-    members = _merged(members, _linked(pairs, heads, texts, words, percent))
+    links = _linked(pairs, rows, texts, words, percent)
+    merged = _merged(members, links)
+    remove(spark, members, links, posted, lists)
+    clean(spark)
 
-    found = classes.join(members.select("id", "comp").groupBy("id").agg(F.min("comp").alias("comp")), "id").select(F.col("fp").alias("f"), "comp")
-    out = rows.join(found, F.col("f") == F.col("fp"), "left")
+    found = classes.join(merged.groupBy("id").agg(F.min("comp").alias("comp")), "id").select(F.col("fp").alias("f"), "comp")
+    out = rows.select("doc_id", "n", "fp").join(found, F.col("f") == F.col("fp"), "left")
     return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("comp")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one_per_component(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, whose id is the smallest of their component; rows with a null id stay."""
-    best = similarity_components(docs, words, percent, id_col, text_col).where(F.col(id_col) == F.col("component_id"))
+    best = similarity_components(docs, words, percent, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("component_id")))
     best = best.select(F.col(id_col).alias("kept_id")).distinct()
     rows = docs.select(F.struct("*").alias("r"))
-    same = F.col("r")[id_col].cast("long") == F.col("kept_id")
-    return rows.join(best, same | F.col("r")[id_col].isNull(), "left_semi").select("r.*") if _nullable_ids(docs, id_col) else rows.join(best, same, "left_semi").select("r.*")
-
-
-def _nullable_ids(docs: DataFrame, id_col: str) -> bool:
-    return bool(docs.where(F.col(id_col).isNull()).limit(1).count())
+    kept = rows.where(F.col("r")[id_col].isNotNull()).join(best, F.col("r")[id_col].cast("long") == F.col("kept_id"), "left_semi")
+    return kept.union(rows.where(F.col("r")[id_col].isNull())).select("r.*")
