@@ -1 +1 @@
-"""See the modules."""
+"""Helpers that operators share."""

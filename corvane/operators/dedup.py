@@ -29,13 +29,22 @@ def word_shingles(text: Column, n: int = 3, word: str = WORD) -> Column:
     return F.transform(F.array(words), runs)[0]
 
 
+#: A bank of at most so many shingles goes to every executor, so that documents' shingles are not shuffled; beyond, both sides are.
+BROADCAST_SHINGLES = 1_000_000
+
+
 def duplicate_of_bank(docs: DataFrame, bank: DataFrame, threshold: float = 0.4, n: int = 3, word: str = WORD) -> DataFrame:
     """doc_id, similarity, matched: the first bank item (by id) at the threshold or above, else the most similar one, if any
-    shares a shingle. Pairs come from a join on shingles, never from all of docs and bank.
+    shares a shingle. Pairs come from a join on shingles, never from all of docs and bank. Shingles meet by 64-bit hash and are compared
+    whole. Counts the bank's shingles when called, to choose between sending them everywhere and shuffling.
     """
     d = docs.select("doc_id", word_shingles(F.col("text"), n, word).alias("s"))
     b = bank.select("item_id", word_shingles(F.col("text"), n, word).alias("s"))
-    shared = d.select("doc_id", F.size("s").alias("nd"), F.explode("s").alias("g")).join(b.select("item_id", F.size("s").alias("nb"), F.explode("s").alias("g")), "g")
+    theirs = b.select("item_id", F.size("s").alias("nb"), F.explode("s").alias("other")).withColumn("h", F.xxhash64("other"))
+    if theirs.count() <= BROADCAST_SHINGLES:
+        theirs = F.broadcast(theirs)
+    mine = d.select("doc_id", F.size("s").alias("nd"), F.explode("s").alias("g")).withColumn("h", F.xxhash64("g"))
+    shared = mine.join(theirs, "h").where("g = other")
     pairs = shared.groupBy("doc_id", "item_id", "nd", "nb").agg(F.count("*").alias("k"))
     pairs = pairs.withColumn("sim", F.col("k") / (F.col("nd") + F.col("nb") - F.col("k")))
     over = F.col("sim") >= threshold

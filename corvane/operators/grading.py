@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def choice_points(pick: Column, key: Column) -> Column:
-    """1 where the trimmed upper-case pick is the first character of the trimmed upper-case key, else 0."""
-    return F.when(F.upper(F.trim(pick)) == F.substring(F.upper(F.trim(key)), 1, 1), 1).otherwise(0)
+    """1 where the trimmed upper-case pick is the first character of the trimmed upper-case key, else 0; an empty pick or key gives 0."""
+    return F.when((F.upper(F.trim(pick)) == F.substring(F.upper(F.trim(key)), 1, 1)) & (F.trim(pick) != ""), 1).otherwise(0)
 
 
 def score_totals(grades: DataFrame, keys: list[str], auto: Column, manual: Column, possible: Column) -> DataFrame:

@@ -44,15 +44,23 @@ def prefix_price(model: Column, prices: list[tuple[str, float]], default: float)
     return F.lit(default) if out is None else out.otherwise(default)
 
 
+def new_only(batch: DataFrame, bank: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(rows of the batch whose key the bank does not have, how many were skipped); rows without a key always pass."""
+    known = bank.select(F.col(key).alias("known")).distinct()
+    fresh = batch.join(known, F.col(key) == F.col("known"), "left_anti")
+    return fresh, batch.join(known, F.col(key) == F.col("known"), "left_semi").agg(F.count("*").alias("skipped"))
+
+
 def facets(rows: DataFrame, by: dict[str, Column]) -> DataFrame:
     """(facet, value, n) of several columns at once: one pass over the rows, partial counts before the shuffle."""
     pairs = F.array(*[F.struct(F.lit(name).alias("facet"), column.cast("string").alias("value")) for name, column in by.items()])
     return rows.select(F.explode(pairs).alias("f")).groupBy("f.facet", "f.value").agg(F.count("*").alias("n")).where("value is not null")
 
 
-def trailing_limit(rows: DataFrame, key: str, ts: str, seconds: int, limit: int, is_failure: Column | None = None, is_success: Column | None = None) -> DataFrame:
+def trailing_limit(rows: DataFrame, key: str, ts: str, seconds: int, limit: int, is_failure: Column | None = None, is_success: Column | None = None, exclusive: bool = False) -> DataFrame:
     """rows with recent (failures of the key in the trailing seconds since its last success, the row's own included) and
-    blocked (recent >= limit). A success clears the failures up to its own time; without the two columns every row is a failure.
+    blocked (recent >= limit). A success clears the failures up to its own time; without the two columns every row is a failure. A failure just
+    seconds old counts, unless exclusive.
 
     A key is cut into slices of the window's width. Each slice takes its predecessor's failures and successes along, which
     are all that its windows reach, so no success before them matters and a hot key is as many tasks as it has slices.
@@ -68,7 +76,7 @@ def trailing_limit(rows: DataFrame, key: str, ts: str, seconds: int, limit: int,
     both = own.withColumn("own", F.lit(True)).unionByName(before.withColumn("own", F.lit(False)), allowMissingColumns=True)
     by = Window.partitionBy("k", "slice").orderBy("us")
     upto = by.rangeBetween(Window.unboundedPreceding, 0)
-    both = both.withColumns({"trailing": F.sum("failed").over(by.rangeBetween(-width, 0)), "upto": F.sum("failed").over(upto)})
+    both = both.withColumns({"trailing": F.sum("failed").over(by.rangeBetween(int(exclusive) - width, 0)), "upto": F.sum("failed").over(upto)})
     both = both.withColumn("at_success", F.max(F.when(F.col("cleared") == 1, F.col("upto"))).over(upto))
     recent = F.least("trailing", F.col("upto") - F.coalesce("at_success", F.lit(0)))
     return both.withColumn("recent", recent).where("own").select("row.*", "recent").withColumn("blocked", F.col("recent") >= limit)

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: The topic of what no phrase claims, and a bare option marker.
 OTHER = "Other / General"
+MARKER = r"^[A-Ea-e][.)]$"
 
 
 def classify(text: Column, taxonomy: list[tuple[str, list[tuple[str, int]]]]) -> Column:
@@ -24,7 +26,7 @@ def classify(text: Column, taxonomy: list[tuple[str, list[tuple[str, int]]]]) ->
     return F.when(best["score"] > 0, best["topic"]).otherwise(OTHER)
 
 
-def content_lines(docs: DataFrame, id_col: str, text_col: str, boilerplate: list[str], marker: str = r"^[A-Ea-e][.)]$") -> DataFrame:
+def content_lines(docs: DataFrame, id_col: str, text_col: str, boilerplate: list[str], marker: str = MARKER) -> DataFrame:
     """(id, line_no, line): trimmed lines of three characters or more that no boilerplate prefix opens; option markers stay."""
     lines = docs.select(id_col, F.posexplode(F.split(F.coalesce(text_col, F.lit("")), "\n")).alias("line_no", "line")).withColumn("line", F.trim("line"))
     noise = F.length("line") < 3

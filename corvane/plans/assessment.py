@@ -112,7 +112,7 @@ def u3_intersect(spark, sf_dir):
 
 
 def u4_except(spark, sf_dir):
-    return _t(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation")).exceptAll(_t(spark, sf_dir, "supplier").select("s_nationkey")).distinct()
+    return _t(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation")).subtract(_t(spark, sf_dir, "supplier").select("s_nationkey"))
 
 
 def w3_start_once(spark, sf_dir):
@@ -151,6 +151,6 @@ SQL = {
     "u2_ordered_union": """WITH a AS (SELECT s_nationkey AS nation, 0 AS source, s_suppkey AS ord FROM supplier UNION ALL SELECT c_nationkey, 1, c_custkey FROM customer)
         SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY nation ORDER BY source, ord) = 1""",
     "u3_intersect": "SELECT c_nationkey AS nation FROM customer INTERSECT SELECT s_nationkey FROM supplier",
-    "u4_except": "SELECT c_nationkey AS nation FROM (SELECT c_nationkey, row_number() OVER (PARTITION BY c_nationkey) AS k FROM customer) WHERE k > (SELECT count(*) FROM supplier WHERE s_nationkey = c_nationkey) GROUP BY 1",
+    "u4_except": "SELECT c_nationkey AS nation FROM customer EXCEPT SELECT s_nationkey FROM supplier",
     "w3_start_once": "SELECT user_id, event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1",
 }

@@ -1 +1 @@
-"""See the modules."""
+"""Sources and sinks; bank has them all."""

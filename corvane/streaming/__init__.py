@@ -1 +1 @@
-"""See the modules."""
+"""Structured Streaming operators; feeds has them all."""
