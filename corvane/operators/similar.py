@@ -69,9 +69,11 @@ def dedup_greedy(cands: DataFrame, bank: DataFrame, percent: int = 40, least: in
 
 def take_kept(judged: DataFrame, types: Column, count: int) -> tuple[DataFrame, DataFrame]:
     """(taken, rejected): the first count kept rows by type and doc_id, and the duplicates that come before the last of them; all, where there are
-    fewer. Both limits are the feature."""
+    fewer. Both limits are the feature. The last taken row is fetched when called."""
     rows = judged.withColumn("by", F.struct(types.alias("type"), F.col("doc_id").alias("doc_id")))
     taken = rows.where("kept").orderBy("by").limit(count)
-    ends = taken.agg(F.max("by").alias("end"), F.count("*").alias("n"))
-    rejected = rows.where("not kept and reason != 'too short'").join(F.broadcast(ends), F.expr(f"n < {count}") | (F.col("by") < F.col("end")))
+    last = taken.agg(F.max("by").alias("end"), F.count("*").alias("n")).first()
+    rejected = rows.where("not kept and reason != 'too short'")
+    if last.n == count:
+        rejected = rejected.where(F.col("by") < F.struct(F.lit(last.end[0]).alias("type"), F.lit(last.end[1]).alias("doc_id")))
     return taken.drop("by"), rejected.select(*judged.columns)

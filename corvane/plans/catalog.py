@@ -132,12 +132,20 @@ def w4_strict_limiter(spark, sf_dir):
     return rows.select("event_id", "recent", "blocked")
 
 
+def _new_ids(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents").withColumn("doc_id", F.when(F.col("doc_id") % 10 > 0, F.col("doc_id")))
+    return relations.new_only(docs, _t(spark, sf_dir, "labels"), "doc_id")
+
+
 def j15_new_ids(spark, sf_dir):
-    fresh, skipped = relations.new_only(_t(spark, sf_dir, "documents").withColumn("doc_id", F.when(F.col("doc_id") % 10 > 0, F.col("doc_id"))), _t(spark, sf_dir, "labels"), "doc_id")
-    return fresh.groupBy("lang").agg(F.count("*").alias("fresh")).crossJoin(F.broadcast(skipped))
+    return _new_ids(spark, sf_dir)[0].groupBy("lang").agg(F.count("*").alias("fresh"))
+
+
+def j15_skipped(spark, sf_dir):
+    return _new_ids(spark, sf_dir)[1]
 
 
-QUERIES = {f.__name__: f for f in (w4_strict_limiter, j15_new_ids, a1_facets, a4_topic_counts, a5_classify, a7_score_totals, a11_usage_cost, a12_token_estimate, c2_content_lines, c8_repeat_suffix, d1_key_dedup, d2_shingles, d2_word_shingles, d4_duplicate_of_bank, d4_word_duplicate_of_bank, e6_patch_merge, g1_choice_grading, g1_key_grading, j3_as_of, j15_unknown_ids, p9_verdict, r3_newest, w4_limiter, w4_failure_limiter)}
+QUERIES = {f.__name__: f for f in (w4_strict_limiter, j15_new_ids, j15_skipped, a1_facets, a4_topic_counts, a5_classify, a7_score_totals, a11_usage_cost, a12_token_estimate, c2_content_lines, c8_repeat_suffix, d1_key_dedup, d2_shingles, d2_word_shingles, d4_duplicate_of_bank, d4_word_duplicate_of_bank, e6_patch_merge, g1_choice_grading, g1_key_grading, j3_as_of, j15_unknown_ids, p9_verdict, r3_newest, w4_limiter, w4_failure_limiter)}
 
 _SCORES = ", ".join("(" + " + ".join(f"CASE WHEN contains(lower(coalesce(text, '')), '{p}') THEN {w} ELSE 0 END" for p, w in phrases) + f") AS s{k}" for k, (_, phrases) in enumerate(TAXONOMY))
 _TOPIC = "CASE WHEN greatest(s0, s1, s2, s3) = 0 THEN 'Other / General' " + " ".join(f"WHEN s{k} = greatest(s0, s1, s2, s3) THEN '{t}'" for k, (t, _) in enumerate(TAXONOMY)) + " END"
@@ -181,8 +189,8 @@ SQL = {
         s AS (SELECT *, max(CASE WHEN event_type = 'purchase' THEN ts END) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS cleared FROM h),
         c AS (SELECT s.event_id, count(f.ts) AS recent FROM s LEFT JOIN h f ON f.event_type = 'click' AND f.user_id = s.user_id AND f.ts > s.ts - INTERVAL 10 DAY AND f.ts <= s.ts AND (s.cleared IS NULL OR f.ts > s.cleared) GROUP BY s.event_id)
         SELECT event_id, recent, recent >= 3 AS blocked FROM c""",
-    "j15_new_ids": """SELECT lang, count(*) AS fresh, (SELECT count(*) FROM documents WHERE doc_id % 10 > 0 AND doc_id IN (SELECT doc_id FROM labels)) AS skipped FROM documents
-        WHERE doc_id % 10 = 0 OR doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY 1""",
+    "j15_new_ids": "SELECT lang, count(*) AS fresh FROM documents WHERE doc_id % 10 = 0 OR doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY 1",
+    "j15_skipped": "SELECT count(*) AS skipped FROM documents WHERE doc_id % 10 > 0 AND doc_id IN (SELECT doc_id FROM labels)",
     "w4_failure_limiter": """WITH s AS (SELECT *, max(CASE WHEN event_type = 'purchase' THEN ts END) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS cleared FROM events),
         f AS (SELECT user_id, ts FROM events WHERE event_type = 'click'),
         c AS (SELECT s.event_id, count(f.ts) AS recent FROM s LEFT JOIN f ON f.user_id = s.user_id AND f.ts BETWEEN s.ts - INTERVAL 10 DAY AND s.ts AND (s.cleared IS NULL OR f.ts > s.cleared) GROUP BY s.event_id)

@@ -108,8 +108,12 @@ def s11_restore(spark, sf_dir):
 
 
 def s12_expire(spark, sf_dir):
-    kept, counts = overlay.expire(_snapshots(spark, sf_dir), "saved_at", 1000, F.lit("1999-06-01").cast("timestamp"))
-    return kept.groupBy("saved_at").agg(F.count("*").alias("n")).crossJoin(F.broadcast(counts))
+    kept, _ = overlay.expire(_snapshots(spark, sf_dir), "saved_at", 1000, F.lit("1999-06-01").cast("timestamp"))
+    return kept.groupBy("saved_at").agg(F.count("*").alias("n"))
+
+
+def s12_counts(spark, sf_dir):
+    return overlay.expire(_snapshots(spark, sf_dir), "saved_at", 1000, F.lit("1999-06-01").cast("timestamp"))[1]
 
 
 def p8_backfill_audit(spark, sf_dir):
@@ -118,7 +122,7 @@ def p8_backfill_audit(spark, sf_dir):
     return overlay.backfill_audit(items, meta, "c_custkey", "by", "at", F.lit("admin"), F.lit("2024-01-01").cast("timestamp")).select("o_orderkey", "by", "at")
 
 
-QUERIES = {f.__name__: f for f in (e1_deletes, e2_first_adds, e3_overrides, e4_images, e5_verdicts, e6_patch_state, e7_delete_document, e8_changed_items, e9_change_summary, j2_effective_meta, u1_replace_docs, s11_list_snapshots, s11_restore, s12_expire, p8_backfill_audit)}
+QUERIES = {f.__name__: f for f in (e1_deletes, e2_first_adds, e3_overrides, e4_images, e5_verdicts, e6_patch_state, e7_delete_document, e8_changed_items, e9_change_summary, j2_effective_meta, u1_replace_docs, s11_list_snapshots, s11_restore, s12_expire, s12_counts, p8_backfill_audit)}
 
 _ITEMS = "i AS (SELECT o_custkey AS doc, o_orderkey AS number, o_orderpriority AS topic, o_orderstatus AS answer FROM orders)"
 SQL = {
@@ -156,8 +160,8 @@ SQL = {
         SELECT *, row_number() OVER (PARTITION BY doc ORDER BY saved_at DESC) AS rank FROM s""",
     "s11_restore": """WITH s AS (SELECT o_custkey AS doc, o_orderkey AS number FROM orders WHERE o_custkey = 7 AND year(o_orderdate) = 1996)
         SELECT o_custkey AS doc, o_orderkey AS number FROM orders WHERE o_custkey NOT IN (SELECT doc FROM s) UNION ALL SELECT * FROM s""",
-    "s12_expire": """WITH s AS (SELECT date_trunc('year', o_orderdate)::TIMESTAMP AS saved_at, date_trunc('year', o_orderdate) >= TIMESTAMP '1999-06-01' - INTERVAL 1000 DAY AS fresh FROM orders)
-        SELECT saved_at, count(*) AS n, (SELECT count(*) FROM s WHERE NOT fresh) AS removed, (SELECT count(*) FROM s WHERE fresh) AS kept FROM s WHERE fresh GROUP BY 1""",
+    "s12_expire": "SELECT date_trunc('year', o_orderdate)::TIMESTAMP AS saved_at, count(*) AS n FROM orders WHERE date_trunc('year', o_orderdate) >= TIMESTAMP '1999-06-01' - INTERVAL 1000 DAY GROUP BY 1",
+    "s12_counts": "SELECT count(*) FILTER (date_trunc('year', o_orderdate) < TIMESTAMP '1999-06-01' - INTERVAL 1000 DAY) AS removed, count(*) FILTER (date_trunc('year', o_orderdate) >= TIMESTAMP '1999-06-01' - INTERVAL 1000 DAY) AS kept FROM orders",
     "p8_backfill_audit": """SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'someone' ELSE 'admin' END AS by,
         CASE WHEN o_orderstatus = 'P' THEN o_orderdate WHEN c_nationkey < 12 THEN TIMESTAMP '2001-02-03' ELSE TIMESTAMP '2024-01-01' END AS at FROM orders LEFT JOIN customer ON c_custkey = o_custkey""",
 }
