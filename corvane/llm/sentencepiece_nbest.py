@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 #: Bytes that a worker keeps of segmented units; beyond them it starts anew.
-CACHE_BYTES = 96 << 20
+CACHE_BYTES = 160 << 20
 #: Units of at most so many characters are searched side by side in arrays, longer ones alone with a heap.
 SIDE_BY_SIDE = 32
 #: Text, in characters, that is segmented at once.
@@ -173,8 +173,8 @@ class Lattice:
         owner, rank, flat = [], [], []
         order = np.argsort(length, kind="stable")
         short = order[length[order] <= SIDE_BY_SIDE]
-        for at in range(0, len(short), 4096):
-            rows = short[at : at + 4096]
+        for at in range(0, len(short), 8192):
+            rows = short[at : at + 8192]
             width = int(length[rows[-1]])
             cells = begins[rows][:, None] + np.arange(width)
             inside = np.arange(width) < length[rows][:, None]
@@ -243,8 +243,8 @@ class Lattice:
         every = np.arange(units)
         room = 32
         total = np.full((units, room), -np.inf)  # of an entry that is still open: its score behind and the best ahead
-        place, before = (np.zeros((units, room), np.int16) for _ in range(2))
-        via = np.zeros((units, room), np.int32)
+        place = np.zeros((units, room), np.int16)
+        via, before = (np.zeros((units, room), np.int32) for _ in range(2))
         behind = np.zeros((units, room))
         total[:, 0], place[:, 0], before[:, 0] = forward[every, length], length, -1
         used = np.ones(units, np.int64)
@@ -278,13 +278,18 @@ class Lattice:
                 behind = np.hstack([behind, np.zeros((units, room))])
                 via, place, before = (np.hstack([x, np.zeros((units, room), x.dtype)]) for x in (via, place, before))
                 room *= 2
-            each = np.repeat(np.arange(len(rows)), degree)
-            nth = np.arange(len(each)) - np.repeat(np.cumsum(degree) - degree, degree)
-            edge, r, e = begin[each] + nth, rows[each], entry[each]
-            new, s = used[r] + nth, start_of[edge]
-            own = behind[r, e] + score_of[edge]
-            behind[r, new], total[r, new] = own, own + forward[r, s]
-            place[r, new], via[r, new], before[r, new] = s, edge, e
+            # what each open end leads to; one flat number tells an entry's cell in all arrays
+            first = np.cumsum(degree) - degree
+            nth = np.arange(int(degree.sum())) - np.repeat(first, degree)
+            edge = np.repeat(begin, degree) + nth
+            cell = np.repeat(rows * room + used[rows], degree) + nth
+            s = start_of.take(edge)
+            own = np.repeat(behind.ravel().take(rows * room + entry), degree) + score_of.take(edge)
+            behind.ravel()[cell] = own
+            total.ravel()[cell] = own + forward.ravel().take(np.repeat(rows * (width + 1), degree) + s)
+            place.ravel()[cell] = s
+            via.ravel()[cell] = edge
+            before.ravel()[cell] = np.repeat(entry, degree)
             used[rows] += degree
             live = live[found[live] < n] if done.any() else live
         # from the start to the end along the entries; every entry knows the edge that follows its place
