@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from itertools import product
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm.common import materialize
@@ -27,9 +27,23 @@ MORE_PATTERNS = {
 }
 PATTERNS = BASE_PATTERNS | MORE_PATTERNS
 #: Words that go before personal data.
-CUES = r"(?i)(?:mail|tel|phone|call|fax|mobile|card|visa|iban|account|ssn|contact|reach|address|host|server|login)[^0-9A-Za-z]{0,3}(?:[a-z]{1,8} ){0,2}$"
+CUES = r"(?i)(?:mail|tel|phone|call|fax|mobile|card|visa|iban|account|ssn|contact|reach|address|host|server|login)[^0-9A-Za-z]{0,3}(?:[a-z]{1,8}[^0-9A-Za-z]{1,3}){0,2}$"
+#: Words that go before numbers that are no personal data.
+ANTI_CUES = r"(?i)(?:order|part|serial|version|page|lot|build|item|invoice|score|total|batch|section|figure|table|no|nr|id)[^0-9A-Za-z]{0,3}(?:[a-z]{1,8}[^0-9A-Za-z]{0,2}){0,1}$"
 #: Upper ends of the bins of each feature; a value above all of them is in the last bin.
-BINS = {"digits": (0, 8, 12, 15, 19), "letters": (0, 3, 12), "marks": (0, 2, 5), "distinct": (1, 3, 6), "before": (0, 1), "cue": (0,)}
+BINS = {"digits": (0, 8, 12, 15, 19), "letters": (0, 3, 12), "marks": (0, 2, 5), "distinct": (1, 3, 6), "before": (0, 1), "cue": (0,), "anti": (0,)}
+#: What planted examples are made of. {1} to {4} are digits from a hash, a, b, c stand for words.
+PLANTED = {
+    "email_spelled": ("abc [at] cab [dot] com", "b.a (at) abc (dot) org", "cab [at] b.net"),
+    "phone_local": ("({1}) {2}-{4}", "{1}-{2}-{4}", "{1}.{2}.{4}"),
+    "national_id": ("{1}-{3}-{4}",),
+    "iban": ("DE{3} {4} {4} {4} {4} {3}", "FR{3}{4}{4}{4}{4}{4}"),
+}
+#: What goes before planted personal data, and before look-alikes of the same forms.
+PLANTED_CUES = ("call me at ", "phone: ", "my mobile ", "contact ", "mail me: ", "reach us at ", "ssn ", "IBAN: ", "account ", "tel. ", "fax ")
+PLANTED_ANTI = ("order no. ", "part ", "serial ", "version ", "see page ", "lot ", "build ", "invoice ", "score ", "total ", "item ", "the ", "and ", "of ")
+#: Planted examples, a bound of the training sample; every fifth is held out for the threshold.
+PLANTED_ROWS = 6000
 
 
 def _digits(text: str) -> str:
@@ -79,7 +93,7 @@ def candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     features = (
         "length(s.d) as digits, length(regexp_replace(s.text, '[^A-Za-z]', '')) as letters, length(regexp_replace(s.text, '[A-Za-z0-9]', '')) as marks, "
         "size(array_distinct(split(s.d, ''))) as distinct, case when s.before rlike '[A-Za-z0-9]$' then 2 when s.before rlike '[^ \\n]$' then 1 else 0 end as before, "
-        f"if(s.before rlike '{CUES}', 1, 0) as cue"
+        f"if(s.before rlike '{CUES}', 1, 0) as cue, if(s.before rlike '{ANTI_CUES}', 1, 0) as anti"
     )
     return rows.withColumn("spans", F.expr(f"transform(spans, s -> struct(s.kind, s.start, s.end, {_valid(F.col('spans'))} as valid, {features}))"))
 
@@ -148,22 +162,55 @@ def threshold(cells: list, bias: float, trees: list[Tree], precision: float) ->
     return best
 
 
-def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", precision: float = 0.95) -> DataFrame:
+def planted(spark: SparkSession, rows: int = PLANTED_ROWS) -> DataFrame:
+    """(i, held, good, t): texts with one example each, personal data behind a cue or a look-alike of the same form behind another word.
+
+    Forms, cues and digits follow from the number of the row, so the sample is the same on every run.
+    """
+    forms = [form for kind in PLANTED.values() for form in kind]
+    h = lambda salt, n: F.pmod(F.xxhash64("i", F.lit(salt)), F.lit(n)).cast("int")
+    text = F.element_at(F.array(*[F.lit(f) for f in forms]), h(1, len(forms)) + 1)
+    for length, digits in (("{1}", 3), ("{2}", 3), ("{3}", 2), ("{4}", 4)):
+        # look-alikes repeat their digits more often than personal data does
+        number = F.when((F.col("good") == 0) & (h(7, 3) == 0), F.repeat(h(2, 10).cast("string"), digits)).otherwise(F.lpad(h(int(length[1]) + 2, 10**digits).cast("string"), digits, "7"))
+        text = F.replace(text, F.lit(length), number)
+    pick = lambda words, salt: F.element_at(F.array(*[F.lit(w) for w in words]), h(salt, len(words)) + 1)
+    # a tenth of the cues mislead, as they do in texts
+    cue = F.when((F.col("good") == 1) == (h(8, 10) > 0), pick(PLANTED_CUES, 9)).otherwise(pick(PLANTED_ANTI, 10))
+    base = spark.range(rows).select(F.col("id").alias("i")).withColumn("good", h(0, 2))
+    return base.select("i", (F.col("i") % 5 == 0).alias("held"), "good", F.concat(F.lit("so "), cue, text, F.lit(" then")).alias("t"))
+
+
+def _cells(rows: DataFrame) -> list[tuple[tuple[int, ...], float, float]]:
+    """(bins, candidates, valid ones) of rows (s, n, good): one row per combination of bins, of which there are a few thousand at most."""
+    found = rows.groupBy(*[F.expr(_bin(f, "s")).alias(f) for f in BINS]).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("good")).alias("good")).collect()
+    return sorted((tuple(int(c[f]) for f in BINS), float(c["n"]), float(c["good"])) for c in found)
+
+
+def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", precision: float = 0.85) -> DataFrame:
     """id_col and spans: an array of (kind, start, end) in the order of PATTERNS, then by start; code points, end exclusive.
 
-    Base kinds that pass their check are always spans. The trees learn from the base candidates of all documents,
-    valid ones against failing ones, on format and context; a proposal of another generator becomes a span where its score
-    reaches the calibrated threshold and no base span overlaps it. Null and empty texts have no spans, an empty
-    table no rows; repeated rows are scanned each; other columns are ignored.
+    Base kinds that pass their check are always spans. The trees learn on format and context: from planted examples and look-alikes of the further
+    kinds, and from the base candidates of all documents, valid ones against failing ones, which weigh as much together as the planted ones. The
+    threshold is the least score at which planted examples that were held out reach the precision. A proposal of a further generator becomes a span
+    where its score reaches the threshold, no base span overlaps it and no better proposal does (the earlier, then the longer of equals). Null and empty texts
+    have no spans, an empty table no rows; repeated rows are scanned each; other columns are ignored. Runs jobs when called.
     """
+    spark = docs.sparkSession
     rows = materialize(candidates(docs, id_col, text_col), "candidates")
-    seen = rows.select(F.explode("spans").alias("s")).where("s.valid is not null")
-    # one row per combination of bins, of which there are a few thousand at most
-    cells = seen.groupBy(*[F.expr(_bin(f, "s")).alias(f) for f in BINS]).agg(F.count("*").alias("n"), F.sum(F.col("s.valid").cast("int")).alias("good")).collect()
-    table = sorted((tuple(int(c[f]) for f in BINS), float(c["n"]), float(c["good"])) for c in cells)
-    bias, trees = boost(table)
-    least = threshold(table, bias, trees, precision)
+    seen = rows.select(F.explode("spans").alias("s")).where("s.valid is not null").select("s", F.lit(1).alias("n"), F.col("s.valid").cast("int").alias("good"))
+    base_cells = _cells(seen)
+    made = planted(spark)
+    examples = candidates(made, "i", "t").join(made.select("i", "held", "good"), "i").select("held", "good", F.explode("spans").alias("s"))
+    examples = examples.where(F.col("s.kind").isin(*MORE_PATTERNS)).withColumn("n", F.lit(1))
+    learn, held = _cells(examples.where("not held")), _cells(examples.where("held"))
+    share = sum(c[1] for c in learn) / max(1.0, sum(c[1] for c in base_cells))
+    bias, trees = boost(learn + [(b, n * min(1.0, share), g * min(1.0, share)) for b, n, g in base_cells])
+    least = threshold(held, bias, trees, precision)
     base = F.expr("filter(spans, s -> coalesce(s.valid, false))")
-    rows = rows.select("i", base.alias("base"), F.expr(f"filter(spans, s -> s.valid is null and ({_score(bias, trees, 's')}) >= {least!r}D)").alias("more"))
-    rows = rows.withColumn("more", F.expr("filter(more, m -> not exists(base, b -> b.start < m.end and m.start < b.end))"))
-    return rows.select(F.col("i").alias(id_col), F.expr("transform(concat(base, more), s -> struct(s.kind, s.start, s.end))").alias("spans"))
+    scored = F.expr(f"transform(filter(spans, s -> s.valid is null), s -> struct(s.kind, s.start, s.end, {_score(bias, trees, 's')} as score))")
+    rows = rows.select("i", base.alias("base"), scored.alias("more"))
+    rows = rows.withColumn("more", F.expr(f"filter(more, m -> m.score >= {least!r}D and not exists(base, b -> b.start < m.end and m.start < b.end))"))
+    better = "o.score > m.score or (o.score = m.score and (o.start < m.start or (o.start = m.start and (o.end > m.end or (o.end = m.end and o.kind < m.kind)))))"
+    rows = rows.withColumn("more", F.expr(f"filter(more, m -> not exists(more, o -> o.start < m.end and m.start < o.end and ({better})))"))
+    return rows.select(F.col("i").alias(id_col), F.expr("concat(transform(base, s -> struct(s.kind, s.start, s.end)), transform(more, s -> struct(s.kind, s.start, s.end)))").alias("spans"))
