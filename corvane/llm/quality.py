@@ -49,41 +49,53 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = 1500, text_bytes: int = 8192, dict_bytes: int = 65536, level: int = 3) -> Model:
+def _measured(batches: Iterator[pa.RecordBatch], compressors) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = (t.as_buffer().to_pybytes() if t.is_valid else b"" for t in batch.column(2))
+        x = np.array([features(t, compressors) for t in texts]).reshape(-1, 3)
+        yield pa.record_batch([batch.column(0), batch.column(1), *(pa.array(x[:, k]) for k in range(3))], names=["i", "y", "difference", "size", "saved"])
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = 1500, slices: int = 8, slice_chars: int = 1024, dict_bytes: int = 65536, level: int = 3) -> Model:
     """Dictionaries and calibration from a bounded sample: sample_rows labelled documents per class, by a hash of the id.
 
-    The dictionaries are built from two thirds of the sample, text_bytes of each document at most, and the calibration
-    fitted on the rest; a sampled text counts up to 8 * text_bytes characters, so what the driver holds is bounded. A
-    calibration row weighs as many labelled documents as it stands for, so the prior is that of all labels at any size.
-    Rows without label or text are left out; without both classes the model scores 0.5 throughout, or the one class's rate.
+    The dictionaries are built from two thirds of the sample, of each document up to slices runs of slice_chars characters spread evenly
+    over its whole text; the calibration is fitted on the rest, whose whole texts are measured in Spark tasks, so the driver holds slices and three
+    numbers a document. A calibration row weighs as many labelled documents as it stands for, so the prior is that of all labels at
+    any size. An id with both labels counts as 1. Rows without label or text are left out; without both classes the model scores the
+    labels' rate throughout. Runs jobs when called.
     """
-    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(label_col).alias("y")).dropDuplicates(["i"])
+    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("i")).agg(F.max(label_col).alias("y"))
     texts_of = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where("t is not null and t != ''")
     known = known.join(texts_of.select("i"), "i", "left_semi")
     totals = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     order = F.xxhash64("i")
     picked = known.where("y = 1").orderBy(order).limit(sample_rows).union(known.where("y = 0").orderBy(order).limit(sample_rows))
-    rows = texts_of.join(F.broadcast(picked), "i").select("i", "y", F.substring("t", 1, 8 * text_bytes).alias("t")).orderBy("i").collect()
-    texts = [(r["t"].encode(), r["y"]) for r in rows]
-    build = [x for k, x in enumerate(texts) if k % 3]
-    rest = [x for k, x in enumerate(texts) if not k % 3]
+    sample = texts_of.join(F.broadcast(picked), "i")
+    builds = F.pmod(F.xxhash64("i", F.lit(1)), F.lit(3)) > 0
+    n, k = F.length("t"), F.least(F.lit(slices), F.ceil(F.length("t") / slice_chars)).cast("int")
+    starts = F.transform(F.sequence(F.lit(0), k - 1), lambda j: F.floor(j * (n - slice_chars) / F.greatest(k - 1, F.lit(1))).cast("int"))
+    parts = F.transform(starts, lambda at: F.substring(F.col("t"), F.greatest(at, F.lit(0)) + 1, F.lit(slice_chars)))
+    build = [([x.encode() for x in r["parts"]], r["y"]) for r in sample.where(builds).select("i", "y", parts.alias("parts")).orderBy("i").collect()]
     share = (totals.get(1, 0) + 1) / (sum(totals.values()) + 2)
-    bias = float(np.log(share / (1 - share)))
-    if len({y for _, y in build}) < 2 or len({y for _, y in rest}) < 2:
-        return Model(b"", b"", (0.0, 0.0, 0.0, bias), level)
+    flat = Model(b"", b"", (0.0, 0.0, 0.0, float(np.log(share / (1 - share)))), level)
+    if len({y for _, y in build}) < 2:
+        return flat
     dicts = []
     for y in (1, 0):
-        parts = [t[:text_bytes] for t, own in build if own == y]
-        pieces = [t[a : a + 1024] for t in parts for a in range(0, len(t), 1024)]
+        pieces = [x for ps, own in build if own == y for x in ps]
         try:
             dicts.append(zstd.train_dictionary(dict_bytes, pieces).as_bytes())
         except zstd.ZstdError:  # too few samples to train on: their own text serves as a dictionary
-            dicts.append(b"\n".join(parts)[:dict_bytes])
+            dicts.append(b"\n".join(pieces)[:dict_bytes])
     draft = Model(dicts[0], dicts[1], (), level)
-    compressors = _compressors(draft)
-    y = np.array([y for _, y in rest], dtype=float)
+    rest = sample.where(~builds).select("i", F.col("y").cast("int").alias("y"), "t")
+    measured = rest.mapInArrow(lambda batches: _measured(batches, _compressors(draft)), f"i {rest.schema['i'].dataType.simpleString()}, y int, difference double, size double, saved double").orderBy("i").toPandas()
+    y = measured["y"].to_numpy(dtype=float)
+    if len(set(y)) < 2:
+        return flat
     weight = np.where(y == 1, totals[1] / y.sum(), totals[0] / (1 - y).sum()) * (len(y) / sum(totals.values()))
-    w = _logistic(np.array([features(t, compressors) for t, _ in rest]), y, weight)
+    w = _logistic(measured[["difference", "size", "saved"]].to_numpy(), y, weight)
     return Model(dicts[0], dicts[1], tuple(w.tolist()), level)
 
 
