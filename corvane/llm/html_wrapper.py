@@ -25,8 +25,10 @@ _ENDS_P = frozenset("address article aside blockquote div dl fieldset footer for
 _NO_TEXT = frozenset("nav header footer aside form script style head menu dialog".split())
 _NO_WORDS = frozenset(
     "ad ads advert adverts advertisement sponsor sponsored promo banner sidebar comment comments disqus cookie cookies consent notice menu nav navbar navigation breadcrumb breadcrumbs"
-    " footer header masthead share sharing social related newsletter subscribe popup modal complementary contentinfo search".split()
+    " footer header masthead share sharing social newsletter subscribe popup modal complementary contentinfo search".split()
 )
+#: A fixed pattern: names of lists of other pages; other words that begin so, such as related-work, are no such lists.
+_RELATED = re.compile(r"^related(?:[-_]?(?:posts?|articles?|links?|stories|story|content|items?|news|pages?))?$")
 _MARKS = {"article": 1, "main": 2}
 #: Texts that so many distinct pages of a host share in one place belong to its template.
 TEMPLATE_PAGES = 5
@@ -35,15 +37,19 @@ TEMPLATE_PAGES = 5
 class Node:
     """An element, or a text where label is '#'."""
 
-    __slots__ = ("label", "children", "text", "drop")
+    __slots__ = ("label", "children", "text", "drop", "before")
 
-    def __init__(self, label: str, text: str | None = None, drop: bool = False):
-        self.label, self.text, self.drop = label, text, drop
+    def __init__(self, label: str, text: str | None = None, drop: bool = False, before: list[str] | None = None):
+        self.label, self.text, self.drop, self.before = label, text, drop, before
         self.children: list[Node] = []
 
 
 def parse(page: str) -> Node:
-    """The block structure of a page: inline elements melt into the texts around them, broken nesting is closed."""
+    """The block structure of a page: inline elements melt into the texts around them, broken nesting is closed.
+
+    An inline element whose names tell an advert, say, goes with all it holds, and the text around it stays one block: it
+    keeps the text before it in before, which goes on when the element ends or is cut off by the end of its block.
+    """
     root = Node("root")
     stack, parts = [root], []
 
@@ -54,6 +60,17 @@ def parse(page: str) -> Node:
             if text:
                 stack[-1].children.append(Node("#", text))
 
+    def close(depth: int) -> None:
+        while len(stack) > depth:
+            if stack[-1].before is None:
+                flush()
+            else:
+                parts[:] = stack[-1].before
+            stack.pop()
+
+    def name_of(k: int) -> str:
+        return stack[k].label.partition(".")[0]
+
     at, n = 0, len(page)
     while at < n:
         m = _TOKEN.match(page, at)
@@ -70,33 +87,55 @@ def parse(page: str) -> Node:
             at = end.end() if end else n
             continue
         if name in _INLINE:
-            if name in ("br", "img", "wbr"):
+            if name in ("br", "img"):
                 parts.append(" ")
-            if not _NO_WORDS.intersection(_words(m[3])) or closing:
-                continue
-        flush()
+            if closing:
+                # an inline element ends within its block only
+                k = len(stack) - 1
+                while k and stack[k].before is not None and name_of(k) != name:
+                    k -= 1
+                if k and stack[k].before is not None:
+                    close(k)
+            elif name not in _VOID and not m[3].endswith("/") and _unwanted(m[3]):
+                stack.append(Node(name, drop=True, before=list(parts)))
+                parts.clear()
+            continue
         if closing:
             for k in range(len(stack) - 1, 0, -1):
-                if stack[k].label.partition(".")[0] == name:
-                    del stack[k:]
+                if name_of(k) == name:
+                    close(k)
                     break
+            else:
+                flush()
             continue
-        if name in _INLINE or name in _VOID:
-            continue
+        # an advert that its paragraph's end cuts off must not take the next paragraph along
+        top = len(stack) - 1
+        while top and stack[top].before is not None:
+            top -= 1
         closes = _CLOSES.get(name, ("p",) if name in _ENDS_P else ())
-        while closes and len(stack) > 1 and stack[-1].label.partition(".")[0] in closes:
-            stack.pop()
-        if len(stack) > 200:  # deeper nesting is kept flat
+        if closes and top and name_of(top) in closes:
+            close(top)
+            while len(stack) > 1 and name_of(len(stack) - 1) in closes:
+                close(len(stack) - 1)
+        flush()
+        if name in _VOID:
             continue
-        words = _words(m[3])
-        node = Node(".".join([name, *sorted(words)[:2]]), drop=name in _NO_TEXT or bool(_NO_WORDS & words))
+        node = Node(".".join([name, *sorted(_words(m[3]))]), drop=name in _NO_TEXT or _unwanted(m[3]))
         stack[-1].children.append(node)
         if not m[3].endswith("/"):
             stack.append(node)
+    close(1)
     flush()
     return root
 
 
+def _unwanted(attributes: str) -> bool:
+    """Whether class, id or role name what is no article text."""
+    if not attributes or "=" not in attributes:
+        return False
+    return bool(_NO_WORDS & _words(attributes)) or any(_RELATED.match(t) for groups in _NAMES.findall(attributes) for value in groups for t in value.lower().split())
+
+
 def _words(attributes: str) -> set[str]:
     if not attributes or "=" not in attributes:
         return set()
@@ -119,21 +158,23 @@ def blocks(tree: Node) -> list[tuple[int, str, int]]:
     the label has its own. mark has bit 1 within an article and bit 2 within a main.
     """
     out: list[tuple[int, str, int]] = []
-
-    def walk(node: Node, place: int, mark: int) -> None:
-        runs: dict[str, int] = {}
-        last = None
-        for c in node.children:
-            if c.label != last:
-                runs[c.label] = runs.get(c.label, -1) + 1
-                last = c.label
-            at = _place(place, c.label, runs[c.label])
-            if c.label == "#":
-                out.append((at, c.text, mark))
-            elif not c.drop:
-                walk(c, at, mark | _MARKS.get(c.label.partition(".")[0], 0))
-
-    walk(tree, 0, 0)
+    # an explicit stack of (children left, place, mark, runs of labels, last label), as pages nest to any depth
+    walk: list[list] = [[iter(tree.children), 0, 0, {}, None]]
+    while walk:
+        level = walk[-1]
+        c = next(level[0], None)
+        if c is None:
+            walk.pop()
+            continue
+        _, place, mark, runs, last = level
+        if c.label != last:
+            runs[c.label] = runs.get(c.label, -1) + 1
+            level[4] = c.label
+        at = _place(place, c.label, runs[c.label])
+        if c.label == "#":
+            out.append((at, c.text, mark))
+        elif not c.drop:
+            walk.append([iter(c.children), at, mark | _MARKS.get(c.label.partition(".")[0], 0), {}, None])
     return out
 
 
