@@ -17,6 +17,7 @@ SEPARATOR = bytes.fromhex("1f8b08000000000000ff") + b"\x03\x00" + b"\x00" * 8
 _MAGIC = b"\x1f\x8b\x08"
 _VERSION = b"WARC/1."
 _BLOCK = 1 << 16
+ROW_BYTES = 1 << 20
 RECORDS = (
     "archive string, start long, end long, kind string, reason string, record_type string, record_id string, target_uri string,"
     " refers_to string, payload_bytes long, payload_digest string, payload binary"
@@ -47,27 +48,31 @@ def record(page_id: int | None, url: str | None, html: bytes, digest: str, refer
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of about ROW_BYTES of gzip members, one member a record, so that rows bound an archive's bytes and not its records."""
+    held, size = [], 0
     for batch in batches:
-        out, size = [], 0
         for page_id, url, html, first in zip(*(batch.column(k) for k in range(4)), strict=True):
             payload, page_id, first = html.as_buffer().to_pybytes(), page_id.as_py(), first.as_py()
             raw = record(page_id, url.as_py(), payload, base32_sha1(payload), first, first is not None and first != page_id)
             gz = zlib.compressobj(5, zlib.DEFLATED, 31)
-            out.append(gz.compress(raw) + gz.flush())
-            size += len(out[-1])
-            if size > 4 << 20:
-                yield pa.record_batch([pa.array(out, pa.binary())], names=["member"])
-                out, size = [], 0
-        yield pa.record_batch([pa.array(out, pa.binary())], names=["member"])
+            held.append(gz.compress(raw) + gz.flush())
+            size += len(held[-1])
+            if size > ROW_BYTES:
+                yield pa.record_batch([pa.array([b"".join(held)], pa.binary())], names=["member"])
+                held, size = [], 0
+    if held:
+        yield pa.record_batch([pa.array([b"".join(held)], pa.binary())], names=["member"])
 
 
-def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0, records_per_file: int = 20_000) -> None:
+def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0, rows_per_file: int = 64) -> None:
     """Write one record per row into archives below path, each record a gzip member of its own.
 
     Of rows with equal payloads of at least min_bytes, the one with the smallest id is a response and the
     others revisit it; a null html is an empty payload. Payloads are told apart by SHA-1 and size; ids without
     a smaller one, null ids of a payload that has none other included, are responses. Copies are counted per digest before
-    the join back, where adaptive execution splits a payload that many rows share. records_per_file bounds an archive.
+    the join back, where adaptive execution splits a payload that many rows share. An archive has at most rows_per_file
+    runs of members, each of ROW_BYTES or the one larger record that ended it: about 64 MB, where records are smaller than a run.
+    The text sink takes binary rows as ISO-8859-1 strings, which maps every byte to itself. Runs a job when called.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("html"))
     rows = rows.withColumns({"digest": F.sha1("html"), "bytes": F.octet_length("html")})
@@ -75,7 +80,7 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     first = first.where("n > 1").drop("n")
     members = rows.join(first, ["digest", "bytes"], "left").select("page_id", "url", "html", "first").mapInArrow(_members, "member binary")
     sink = members.select(F.col("member").cast("string")).write.option("encoding", "ISO-8859-1").option("lineSep", SEPARATOR.decode("latin-1"))
-    sink.option("maxRecordsPerFile", records_per_file).text(path)
+    sink.option("maxRecordsPerFile", rows_per_file).text(path)
 
 
 class Damage(Exception):
