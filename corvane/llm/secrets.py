@@ -89,8 +89,8 @@ def _node(kind, value) -> tuple[set[str] | None, Query]:
             return {chr(v) for _, v in value}, ANY
         return None, ANY
     if kind is op.SUBPATTERN:
-        strings, query = _walk(value[3])
-        return strings, query
+        # beyond ASCII, letters have cases that the index does not fold, such as the long s
+        return (None, ANY) if _folds_beyond_ascii(value[1]) else _walk(value[3])
     if kind is op.BRANCH:
         found = [_walk(x) for x in value[1]]
         if all(s is not None for s, _ in found) and len(union := set().union(*(s for s, _ in found))) <= MOST_EXACT:
@@ -111,9 +111,14 @@ def _node(kind, value) -> tuple[set[str] | None, Query]:
     return None, ANY
 
 
+def _folds_beyond_ascii(flags: int) -> bool:
+    return bool(flags & re.IGNORECASE) and not flags & re.ASCII
+
+
 def trigram_query(pattern: str) -> Query:
     """A Boolean query over lower-cased UTF-8 trigrams that holds of every text in which the pattern matches."""
-    return _walk(parser.parse(pattern))[1]
+    parsed = parser.parse(pattern)
+    return ANY if _folds_beyond_ascii(parsed.state.flags) else _walk(parsed)[1]
 
 
 def grams_of(query: Query) -> set[bytes]:
