@@ -16,9 +16,11 @@ _own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder below spark.checkpoint.dir; a private temporary one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """A fresh folder below spark.checkpoint.dir, or the context's checkpoint folder; a temporary one only in local mode where neither is set."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         base = _own_dirs.setdefault(app, "file://" + tempfile.mkdtemp(prefix="spark-corvane-"))
     return f"{base.rstrip('/')}/corvane/{name}-{uuid.uuid4().hex}"

@@ -61,8 +61,13 @@ def _heads(words: int, percent: int, counts):
         for batch in batches:
             ids = batch.column(0).to_pylist()
             out: list[list] = [[] for _ in names]
+            size = 0
             for row, keys in shingle_sets(batch.column(1), words):
+                if size > 1 << 18:  # members of the sets behind out, whose prefixes and sketches are a part of them
+                    yield pa.record_batch([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=names)
+                    out, size = [[] for _ in names], 0
                 n = len(keys)
+                size += n + 64
                 take = n - -(-percent * n // 100) + 1 if n else 0
                 # any total order of the shingles is right; rare buckets first keeps the postings short
                 order = np.lexsort((keys, table[(keys % np.uint64(BUCKETS)).astype(np.int64)]))[:take]

@@ -29,7 +29,7 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,8 +43,10 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark, "warc")
     warc.write_warc(_table(spark, sf_dir, "pages"), path)
-    read = warc.read_warc(spark, path).where("kind = 'record'")
-    return read.select(
+    read = warc.read_warc(spark, path)
+    # what was just written must come back whole: a gap here would be a lost page
+    sound = F.when(F.col("kind") == "record", True).otherwise(F.raise_error(F.concat_ws(" ", F.lit("gap in"), F.col("archive"), F.col("start"), F.col("reason"))).cast("boolean"))
+    return read.where(sound).select(
         warc.page_number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.page_number("refers_to").alias("refers_to")
     )
 
