@@ -30,8 +30,11 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by their kind; n_chars follows the new text."""
-    return secrets.redact_secrets(docs).withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast("long")))
+    """Secrets are replaced by their kind; n_chars, where there is one, follows the new text."""
+    out = secrets.redact_secrets(docs)
+    if "n_chars" not in docs.columns:
+        return out
+    return out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast("long")))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,6 +46,8 @@ STAGES = [("quality", quality_stage), ("exact_dedup", exact_stage), ("jaccard_de
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of documents.parquet after all stages. Null and empty texts score, count and pack as empty ones; rows of equal id and text are one
+    after exact dedup; rows with a null id stay; an empty table gives no pieces. Runs jobs when called: each stage's result is a table."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
