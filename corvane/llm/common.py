@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -52,12 +53,17 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Edges, 16 bytes each, that one task contracts without a shuffle.
+FEW_EDGES = 400_000
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component): the smallest id reachable from every id that occurs in edges.
 
     Alternating large-star and small-star contraction (Kiveris et al., 2014), all joins and
     aggregations; each round is a table in the shared folder. Self-loops and null ends are ignored. It ends when
-    a round changes nothing, after about the logarithm of the largest component's size in rounds.
+    a round changes nothing, after about the logarithm of the largest component's size in rounds. Up to FEW_EDGES the rounds
+    run in one task, beyond them in as many as the session's shuffles have.
     """
     spark = edges.sparkSession
     u, v = F.greatest(a, b), F.least(a, b)
@@ -68,7 +74,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         if seen[0] == 0 or seen == before:
             break
         before = seen
-        both = now.union(now.select("v", "u")).toDF("u", "v")
+        # a bounded table needs no shuffle: its rounds are one task each
+        edges_now = now.coalesce(1) if seen[0] <= FEW_EDGES else now
+        both = edges_now.union(edges_now.select("v", "u")).toDF("u", "v")
         low = both.groupBy("u").agg(F.min("v").alias("m"))
         large = (
             both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
@@ -92,6 +100,7 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[str, np.ndarray] = {}
 SLICE_BYTES = 1 << 20
+LONG_WORD = 256
 
 
 def _power_table(base: int, n: int) -> np.ndarray:
@@ -165,6 +174,9 @@ def shingle_sets(column: pa.Array, words: int) -> Iterator[tuple[int, np.ndarray
         sums[0] = 0
         np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _power_table(_BASE, n)[:n], dtype=np.uint64, out=sums[1:])
         keys = mix((sums[ends] - sums[starts]) * _power_table(_INVERSE, n)[starts] + (ends - starts).astype(np.uint64))
+        # sums mod 2^64 collide by construction for some words of thousands of bytes, so long ones are hashed alone
+        for k in np.flatnonzero(ends - starts > LONG_WORD):
+            keys[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]], digest_size=8).digest(), "little")
         at = np.searchsorted(starts, offsets)  # the first word of each document
         rolled = np.zeros(max(0, len(keys) - words + 1), dtype=np.uint64)
         for k in range(words):

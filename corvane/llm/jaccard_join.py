@@ -16,8 +16,8 @@ from corvane.llm.common import clean, connected_components, materialize, mix, re
 #: Shingles are counted in so many buckets: the table of counts, 2 MB, is the same size for any corpus.
 BUCKETS = 1 << 18
 #: 64-bit words of the parity bitmap of a set.
-BITMAP_WORDS = 4
-_HEADS = "doc_id long, n long, fp binary, h binary, prefix array<long>, bits array<long>, sketch binary"
+BITMAP_WORDS = 8
+_HEADS = "doc_id long, n long, fp binary, h binary, prefix array<long>, bits array<long>, sketch array<long>"
 
 
 def _count_buckets(words: int):
@@ -48,15 +48,15 @@ def bucket_counts(texts: DataFrame, words: int) -> np.ndarray:
 
 
 def _parity(places: np.ndarray, size: int) -> np.ndarray:
-    """The parity bitmap of size bits, packed: a bit is set where an odd number of members fall on it."""
-    return np.packbits((np.bincount((places & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8))
+    """The parity bitmap of size bits, 64 a number: a bit is set where an odd number of members fall on it."""
+    return np.packbits((np.bincount((places & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8)).view(np.int64)
 
 
 def _heads(words: int, percent: int, counts):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = counts.value
         digest = lambda x: hashlib.blake2b(x.tobytes(), digest_size=16).digest()
-        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), *[pa.list_(pa.int64())] * 3)
         names = ["doc_id", "n", "fp", "h", "prefix", "bits", "sketch"]
         for batch in batches:
             ids = batch.column(0).to_pylist()
@@ -74,39 +74,14 @@ def _heads(words: int, percent: int, counts):
                 places = mix(keys)
                 # four bits a member, so the sketch tells the sizes of differences for sets of any size
                 sketch = _parity(places, max(64 * BITMAP_WORDS, 1 << max(n - 1, 1).bit_length() + 2))
-                bits = _parity(places, 64 * BITMAP_WORDS).view(np.int64)
-                for col, value in zip(out, (ids[row], n, digest(keys), digest(keys[order]), keys[order].view(np.int64), bits, sketch.tobytes()), strict=True):
+                bits = _parity(places, 64 * BITMAP_WORDS)
+                for col, value in zip(out, (ids[row], n, digest(keys), digest(keys[order]), keys[order].view(np.int64), bits, sketch), strict=True):
                     col.append(value)
             yield pa.record_batch([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=names)
 
     return run
 
 
-def _folded(sketch: np.ndarray, size: int) -> np.ndarray:
-    while len(sketch) > size:
-        half = len(sketch) // 2
-        sketch = sketch[:half] ^ sketch[half:]
-    return sketch
-
-
-def _sketches_allow(percent: int):
-    """Pairs (a, b, an, bn, x, y) whose sketches, of one size once the larger is folded, differ in no more bits than two linked
-    sets can differ in members."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes = batch.column(2).to_numpy() + batch.column(3).to_numpy()
-            keep = np.zeros(len(batch), dtype=bool)
-            for k, (x, y) in enumerate(zip(batch.column(4), batch.column(5), strict=True)):
-                one, two = (np.frombuffer(v.as_buffer(), dtype=np.uint8) for v in (x, y))
-                size = min(len(one), len(two))
-                differing = int(np.bitwise_count(_folded(one, size) ^ _folded(two, size)).sum())
-                keep[k] = differing * (100 + percent) <= int(sizes[k]) * (100 - percent)
-            yield batch.select([0, 1]).filter(pa.array(keep))
-
-    return run
-
-
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,6 +109,20 @@ def _bitmaps_allow(percent: int) -> Column:
     return differing * (100 + percent) <= (F.col("an") + F.col("bn")) * (100 - percent)
 
 
+def _sketches_allow(percent: int) -> Column:
+    """False only where the sketches x and y differ in more bits than two linked sets can differ in members. The larger sketch is folded to the
+    size of the smaller first: sizes are powers of two, and those of linked sets are equal or one step apart from 50 percent on; others pass."""
+
+    def fold(long: Column, other: Column) -> Column:
+        half = (F.size(long) / 2).cast("int")
+        folded = F.zip_with(F.slice(long, F.lit(1), half), F.slice(long, half + 1, half), lambda p, q: p.bitwiseXOR(q))
+        return F.when(F.size(long) > F.size(other), folded).otherwise(long)
+
+    x, y = fold(F.col("x"), F.col("y")), fold(F.col("y"), F.col("x"))
+    differing = F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda total, k: total + F.coalesce(k, F.lit(0)))
+    return (F.size(x) != F.size(y)) | (differing * (100 + percent) <= (F.col("an") + F.col("bn")) * (100 - percent))
+
+
 def _linked(pairs: DataFrame, rows: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Of pairs (a, b) of ids, those whose complete sets link.
 
@@ -144,8 +133,8 @@ def _linked(pairs: DataFrame, rows: DataFrame, texts: DataFrame, words: int, per
     pairs = pairs.distinct().join(facts.toDF("a", "an", "abits"), "a").join(facts.toDF("b", "bn", "bbits"), "b")
     pairs = materialize(pairs.where(_similar_sizes("an", "bn", percent) & _bitmaps_allow(percent)).select("a", "b", "an", "bn"), "pairs")
     sketches = rows.select("doc_id", "sketch")
-    near = pairs.join(sketches.toDF("b", "y"), "b").join(sketches.toDF("a", "x"), "a").select("a", "b", "an", "bn", "x", "y")
-    near = materialize(near.mapInArrow(_sketches_allow(percent), "a long, b long"), "near")
+    near = pairs.join(sketches.toDF("b", "y"), "b").join(sketches.toDF("a", "x"), "a")
+    near = materialize(near.where(_sketches_allow(percent)).select("a", "b"), "near")
     remove(spark, pairs)
     wanted = near.select(F.col("a").alias("id")).union(near.select("b")).distinct()
     sets = materialize(texts.join(wanted, "id", "left_semi").select("id", "text").mapInArrow(_sets(words), "id long, keys array<long>"), "sets")
@@ -219,7 +208,8 @@ def similarity_components(docs: DataFrame, words: int = 5, percent: int = 80, id
     lists = posted.join(mixed, "s", "left_semi").join(entries.join(single, "g"), "g")
     lists = materialize(lists.select("s", "pos", "n", "g", "comp", "bits"), "lists")
     x, y = lists.toDF("s", "xpos", "an", "xg", "xc", "abits"), lists.toDF("s", "ypos", "bn", "yg", "yc", "bbits")
-    fits = F.expr(f"(least(xpos, ypos) + 1 + least(an - xpos, bn - ypos) - 1) * {100 + percent} >= {percent} * (an + bn)")
+    # at the first shingle that two linked sets share, all they share is still ahead; at later ones they need not pair again
+    fits = F.expr(f"least(an - xpos, bn - ypos) * {100 + percent} >= {percent} * (an + bn)")
     near = F.expr("abits is null or bbits is null") | _bitmaps_allow(percent)
     across = x.join(y, "s").where(F.expr("xc < yc") & _similar_sizes("an", "bn", percent) & fits & near).select("xg", "xc", "yg", "yc")
     own = entries.select("g", "comp")

@@ -202,6 +202,17 @@ def test_jaccard_with_null_and_equal_ids(spark):
     assert jaccard_join.similarity_components(docs.where("false"), 3, 90).count() == 0
 
 
+def test_long_words_do_not_collide():
+    import pyarrow as pa
+
+    word = "a"
+    for _ in range(12):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    keys = [tuple(k.tolist()) for _, k in shingle_sets(pa.array([word, other, word.upper(), "a b c d", "A  b\nc d", None, " "]), 3)]
+    assert keys[0] != keys[1] and keys[0] == keys[2] and keys[3] == keys[4] and len(keys[3]) == 2 and keys[5] == keys[6] == ()
+
+
 def test_pipeline_equals_plain_stages(spark, folder):
     import pyarrow as pa
     from tokenizers import Tokenizer
