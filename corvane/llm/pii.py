@@ -26,6 +26,17 @@ MORE_PATTERNS = {
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}+(?: ?[A-Z0-9]{1,3})?+(?![A-Za-z0-9])",
 }
 PATTERNS = BASE_PATTERNS | MORE_PATTERNS
+#: What any match of a pattern holds and a plain search finds: texts without it are not scanned further.
+GATES = {
+    "email": lambda t: t.contains("@"),
+    "ip": lambda t: t.rlike("[0-9]\\.[0-9]"),
+    "card": lambda t: t.rlike("[0-9]"),
+    "phone": lambda t: t.rlike("\\+[0-9]"),
+    "email_spelled": lambda t: t.contains("at]") | t.contains("at)"),
+    "phone_local": lambda t: t.rlike("[0-9]{3}"),
+    "national_id": lambda t: t.rlike("[0-9]-[0-9]"),
+    "iban": lambda t: t.rlike("[A-Z][0-9][0-9]"),
+}
 #: Words that go before personal data.
 CUES = r"(?i)(?:mail|tel|phone|call|fax|mobile|card|visa|iban|account|ssn|contact|reach|address|host|server|login)[^0-9A-Za-z]{0,3}(?:[a-z]{1,8}[^0-9A-Za-z]{1,3}){0,2}$"
 #: Words that go before numbers that are no personal data.
@@ -80,7 +91,7 @@ def _matches(kind: str, text: Column) -> Column:
         span = F.struct(F.lit(kind).alias("kind"), begin.alias("start"), end.alias("end"), p["m"].alias("text"), F.right(p["g"], F.lit(32)).alias("before"))
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
-    return F.when(text.rlike(PATTERNS[kind]), F.aggregate(pairs, start, step, lambda acc: acc["out"])).otherwise(none)
+    return F.when(GATES[kind](text) & text.rlike(PATTERNS[kind]), F.aggregate(pairs, start, step, lambda acc: acc["out"])).otherwise(none)
 
 
 def candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
