@@ -37,7 +37,7 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = F.col("spans")
     base = F.filter(spans, lambda s: s["kind"].isin(kinds))
     found = secrets.scan_secrets(_table(spark, sf_dir, "documents"))
-    return found.select("doc_id", *[_count(spans, k) for k in kinds], F.sha2(_joined(base), 256).alias("base_sha256"), _joined(spans).alias("spans"))
+    return found.select("doc_id", *[_count(spans, k) for k in kinds], F.sha2(_joined(base), 256).alias("base_sha256"), _joined(spans).alias("spans"), F.size(spans).cast("long").alias("n_spans"))
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +77,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = F.col("spans")
     base = F.filter(spans, lambda s: s["kind"].isin(*pii.BASE_KINDS))
     found = pii.find_personal_data(_table(spark, sf_dir, "documents"))
-    return found.select("doc_id", *[_count(spans, k) for k in pii.BASE_KINDS], F.sha2(_joined(base), 256).alias("base_sha256"), _joined(spans).alias("spans"))
+    return found.select("doc_id", *[_count(spans, k) for k in pii.BASE_KINDS], F.sha2(_joined(base), 256).alias("base_sha256"), _joined(spans).alias("spans"), F.size(spans).cast("long").alias("n_spans"))
 
 
 def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
