@@ -1 +1 @@
-"""See the modules."""
+"""Operators: one module a theme."""

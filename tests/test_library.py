@@ -5,11 +5,12 @@ from pyspark.sql import functions as F
 
 from corvane.operators import assessment, dedup, grading, items, text
 from corvane.plans import assessment as assessment_queries
-from corvane.plans import catalog
+from corvane.plans import catalog, exam, feeds, overlay, reports, schedule, shape, sources
 
 SF = "/root/testdata/sf0.001"
-QUERIES = catalog.QUERIES | assessment_queries.QUERIES
-SQL = catalog.SQL | assessment_queries.SQL
+PLANS = (catalog, assessment_queries, overlay, exam, schedule, shape, reports, sources, feeds)
+QUERIES = {name: query for plan in PLANS for name, query in plan.QUERIES.items()}
+SQL = {name: sql for plan in PLANS for name, sql in plan.SQL.items()}
 
 
 def rows(frame):
@@ -20,11 +21,15 @@ def rows(frame):
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("lineitem", "orders", "part", "customer", "supplier", "events", "documents", "benchmark", "labels"):
+    for t in ("lineitem", "orders", "part", "customer", "supplier", "nation", "region", "events", "documents", "benchmark", "labels", "pages", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     assert rows(QUERIES[name](spark, SF).toPandas()) == rows(con.execute(SQL[name]).fetchdf())
 
 
+def test_every_query_has_a_name_of_its_own():
+    assert len(QUERIES) == sum(len(plan.QUERIES) for plan in PLANS) and set(QUERIES) - set(SQL) == {"c17_chunks"}
+
+
 def test_suffixes(spark):
     got = spark.createDataFrame([(n,) for n in (1, 2, 9, 25, 26, 27, 52, 53)], "n int").select(text.repeat_suffix(F.col("n")).alias("s")).collect()
     assert [r.s for r in got] == ["", "b", "i", "y", "z", "aa", "az", "ba"]
