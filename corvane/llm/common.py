@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of an Arrow batch, about, that goes to a Python worker.
+BATCH_BYTES = 4 << 20
 _own_dirs: dict[str, str] = {}
 
 
@@ -27,6 +29,16 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/corvane/{name}-{uuid.uuid4().hex}"
 
 
+def by_bytes(df: DataFrame) -> DataFrame:
+    """df, with the session's Arrow batches bounded by BATCH_BYTES: what a batch of texts takes on both sides of a worker then follows from
+    that and not from their lengths. A lower bound of the session's own stays."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    have = str(conf.get(name, "-1")).lower().removesuffix("b")
+    if not have.lstrip("-").isdigit() or not 0 < int(have) <= BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+    return df
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write df as Parquet in the shared folder and read it back."""
     path = shared_dir(df.sparkSession, name)

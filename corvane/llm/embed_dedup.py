@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import connected_components, materialize, remove
+from corvane.llm.common import by_bytes, connected_components, materialize, remove
 
 #: Signs of further projections, two longs a vector, whose disagreements hold strangers back before they are counted.
 SKETCH_BITS = 128
@@ -108,13 +108,13 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("vid"), F.col(vector_col).cast("array<double>").alias("v"))
-    units = materialize(rows.mapInArrow(_unit, "vid long, h binary, u array<double>"), "units")
+    units = materialize(by_bytes(rows).mapInArrow(_unit, "vid long, h binary, u array<double>"), "units")
     usable = units.groupBy("vid").agg(F.min("h").alias("h"))
     classes = usable.groupBy("h").agg(F.min("vid").alias("id"), F.count("*").alias("copies"))
     first = units.select(F.col("vid").alias("id"), F.col("h").alias("uh"), "u")
     classes = materialize(classes.join(first, "id").where("h = uh").drop("uh").dropDuplicates(["id"]), "vectors")
     tables, bits, half, least, differ = plan(classes.count(), cosine, recall)
-    cells = classes.select("id", "u").mapInArrow(_project(tables, bits, seed), _CELLS)
+    cells = by_bytes(classes.select("id", "u")).mapInArrow(_project(tables, bits, seed), _CELLS)
     # slots of the window's width: a window reaches into the next slot only, once pairs are put in order
     cells = materialize(cells.withColumn("slot", F.floor(F.col("p") / half).cast("long")), "cells")
     left = cells.select("cell", "p", "id", "s0", "s1", F.explode(F.array("slot", F.col("slot") + 1)).alias("slot"), F.col("slot").alias("own"))

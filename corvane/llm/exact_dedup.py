@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import shuffle_partitions
+from corvane.llm.common import by_bytes, shuffle_partitions
 
 FAN_OUT_BITS = 4
 _HEAD = struct.Struct("<QqqBI")  # key, largest id, copies, has an id, bytes of content
@@ -161,7 +161,7 @@ def _groups(held: list[tuple[str, int | None, int]]) -> pa.RecordBatch:
     return pa.record_batch([pa.array([x[k] for x in held], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64()))], names=["text_sha256", "keep_id", "group_size"])
 
 
-def content_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget_bytes: int = 48 << 20) -> DataFrame:
+def content_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget_bytes: int = 32 << 20) -> DataFrame:
     """One row per distinct text: text_sha256, keep_id (largest id), group_size (rows, repeated ones counted).
 
     The map side folds copies within a task before anything moves, so a text that fills a third of
@@ -174,12 +174,12 @@ def content_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.col("t").cast("binary").alias("content"), "doc_id", F.lit(1).cast("long").alias("copies"),
     )
     schema = "key long, content binary, doc_id long, copies long"
-    part = rows.mapInArrow(combine(budget_bytes), schema)
+    part = by_bytes(rows).mapInArrow(combine(budget_bytes), schema)
     buckets = part.repartition(shuffle_partitions(docs.sparkSession), "key")
-    return buckets.mapInArrow(_finish(budget_bytes), "text_sha256 string, keep_id long, group_size long")
+    return by_bytes(buckets).mapInArrow(_finish(budget_bytes), "text_sha256 string, keep_id long, group_size long")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget_bytes: int = 48 << 20) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget_bytes: int = 32 << 20) -> DataFrame:
     """One row per input row: id_col, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when their bytes are; a null text counts as empty. The row with the largest id stays;
@@ -193,7 +193,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget_bytes: int = 48 << 20) -> DataFrame:
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget_bytes: int = 32 << 20) -> DataFrame:
     """The rows of docs that exact_dedup keeps, with all their columns."""
     groups = content_groups(docs, id_col, text_col, budget_bytes).select(F.struct("text_sha256", "keep_id").alias("g"))
     rows = docs.select(F.struct("*").alias("r"))

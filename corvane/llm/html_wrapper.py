@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import materialize, shuffle_partitions
+from corvane.llm.common import by_bytes, materialize, shuffle_partitions
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([A-Za-z][A-Za-z0-9-]*)((?:\"[^\"]*\"|'[^']*'|[^<>\"'])*)>|<[!?/][^>]*>?|[^<]+|<", re.S)
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -207,7 +207,7 @@ def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
     that share a text differ elsewhere. All counts are Spark aggregates, combined before the shuffle.
     """
     rows = pages.where(F.col(html_col).isNotNull()).select(F.expr(_host(f"`{url_col}`")).alias("host"), F.col(html_col).alias("page"))
-    own = rows.mapInArrow(_infer, "host string, sign binary, places array<struct<place: bigint, low: bigint, high: bigint, n: bigint>>")
+    own = by_bytes(rows).mapInArrow(_infer, "host string, sign binary, places array<struct<place: bigint, low: bigint, high: bigint, n: bigint>>")
     # null stands for the page itself, so the host's pages are counted in the same pass
     page = F.array(F.struct(*[F.lit(None).cast("long").alias(name) for name in ("place", "low", "high", "n")]))
     distinct = own.groupBy("host", "sign").agg(F.first("places").alias("places")).select("host", F.explode(F.concat(page, "places")).alias("p"))
@@ -246,4 +246,4 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
 
     wrapped = rows.join(table, F.col("host") == F.col("h"), "left").select("i", "u", "p", "template")
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    return wrapped.mapInArrow(run, f"i {kinds['i']}, u {kinds['u']}, text string").toDF(id_col, url_col, "text")
+    return by_bytes(wrapped).mapInArrow(run, f"i {kinds['i']}, u {kinds['u']}, text string").toDF(id_col, url_col, "text")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import clean, connected_components, materialize, mix, remove, shingle_sets
+from corvane.llm.common import by_bytes, clean, connected_components, materialize, mix, remove, shingle_sets
 
 #: Shingles are counted in so many buckets: the table of counts, 2 MB, is the same size for any corpus.
 BUCKETS = 1 << 18
@@ -41,7 +41,7 @@ def _count_buckets(words: int):
 
 def bucket_counts(texts: DataFrame, words: int) -> np.ndarray:
     """How many distinct shingles of all documents fall into each bucket; BUCKETS numbers reach the driver, whatever the input."""
-    rows = texts.select("text").mapInArrow(_count_buckets(words), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    rows = by_bytes(texts.select("text")).mapInArrow(_count_buckets(words), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(BUCKETS, dtype=np.int64)
     counts[rows.column("bucket").to_numpy()] = rows.column("n").to_numpy()
     return counts
@@ -137,7 +137,7 @@ def _linked(pairs: DataFrame, rows: DataFrame, texts: DataFrame, words: int, per
     near = materialize(near.where(_sketches_allow(percent)).select("a", "b"), "near")
     remove(spark, pairs)
     wanted = near.select(F.col("a").alias("id")).union(near.select("b")).distinct()
-    sets = materialize(texts.join(wanted, "id", "left_semi").select("id", "text").mapInArrow(_sets(words), "id long, keys array<long>"), "sets")
+    sets = materialize(by_bytes(texts.join(wanted, "id", "left_semi").select("id", "text")).mapInArrow(_sets(words), "id long, keys array<long>"), "sets")
     both = near.join(sets.toDF("b", "y"), "b").join(sets.toDF("a", "x"), "a")
     shared = F.size(F.array_intersect("x", "y"))
     out = materialize(both.where(100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b"), "links")
@@ -169,7 +169,7 @@ def similarity_components(docs: DataFrame, words: int = 5, percent: int = 80, id
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     counts = spark.sparkContext.broadcast(bucket_counts(texts, words))
-    rows = materialize(texts.select(F.col("id").alias("doc_id"), "text").mapInArrow(_heads(words, percent, counts), _HEADS), "heads")
+    rows = materialize(by_bytes(texts.select(F.col("id").alias("doc_id"), "text")).mapInArrow(_heads(words, percent, counts), _HEADS), "heads")
     filled = rows.where("n > 0 and doc_id is not null")
     # size and prefix follow from the set, so they only ride along as keys
     classes = materialize(filled.groupBy("fp", "n", "h").agg(F.min("doc_id").alias("id")), "classes")

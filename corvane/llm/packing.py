@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvane.llm.common import by_bytes
+
 #: Fixed value: the pre-tokenization of the byte-level vocabulary, with possessive quantifiers where these change nothing.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 #: Fixed value: the special token of that vocabulary.
@@ -77,7 +79,7 @@ def pack(docs: DataFrame, ranks_file: str, id_col: str = "doc_id", text_col: str
     if max_tokens < 1 or max_tokens & (max_tokens - 1):
         raise ValueError("max_tokens must be a power of two")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    pieces = rows.mapInArrow(_pack(ranks_file, end_id, max_tokens), _PIECES)
+    pieces = by_bytes(rows).mapInArrow(_pack(ranks_file, end_id, max_tokens), _PIECES)
     return pieces.select(
         F.col("doc_id").alias(id_col), "start", "length", "ids", "doc_tokens", F.log2("length").cast("int").alias("bucket"),
         F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"),

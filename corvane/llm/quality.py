@@ -11,6 +11,8 @@ import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvane.llm.common import by_bytes
+
 PIECE_BYTES = 4096
 
 
@@ -90,7 +92,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             dicts.append(b"\n".join(pieces)[:dict_bytes])
     draft = Model(dicts[0], dicts[1], (), level)
     rest = sample.where(~builds).select("i", F.col("y").cast("int").alias("y"), "t")
-    measured = rest.mapInArrow(lambda batches: _measured(batches, _compressors(draft)), f"i {rest.schema['i'].dataType.simpleString()}, y int, difference double, size double, saved double").orderBy("i").toPandas()
+    measured = by_bytes(rest).mapInArrow(lambda batches: _measured(batches, _compressors(draft)), f"i {rest.schema['i'].dataType.simpleString()}, y int, difference double, size double, saved double").orderBy("i").toPandas()
     y = measured["y"].to_numpy(dtype=float)
     if len(set(y)) < 2:
         return flat
@@ -112,7 +114,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.record_batch([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30))))], names=["i", "score"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
-    return rows.mapInArrow(run, "i long, score double").withColumnRenamed("i", id_col)
+    return by_bytes(rows).mapInArrow(run, "i long, score double").withColumnRenamed("i", id_col)
 
 
 def keep_good(docs: DataFrame, model: Model, least: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -127,4 +129,4 @@ def keep_good(docs: DataFrame, model: Model, least: float = 0.3, id_col: str = "
             x = np.array([features(t, compressors) if compressors else [0.0] * 3 for t in texts]).reshape(-1, 3)
             yield batch.filter(pa.array(1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30))) >= least))
 
-    return docs.mapInArrow(run, docs.schema)
+    return by_bytes(docs).mapInArrow(run, docs.schema)

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import _LOWER, text_slices
+from corvane.llm.common import _LOWER, by_bytes, text_slices
 
 #: Fixed values: (kind, pattern, group whose length counts, its least length). Base kinds come first.
 BASE_RULES = (
@@ -203,7 +203,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     reads every document. Null and empty texts have no spans, repeated rows are scanned each, other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    out = rows.mapInArrow(_scan(rules), "doc_id long, spans array<struct<kind:string,start:int,end:int>>")
+    out = by_bytes(rows).mapInArrow(_scan(rules), "doc_id long, spans array<struct<kind:string,start:int,end:int>>")
     return out.withColumnRenamed("doc_id", id_col)
 
 
@@ -221,7 +221,7 @@ def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     texts[first + d] = masked(texts[first + d], spans)
             yield pa.record_batch([pa.array(texts, batch.schema.field(k).type) if k == at else c for k, c in enumerate(batch.columns)], names=batch.schema.names)
 
-    return docs.mapInArrow(run, kinds)
+    return by_bytes(docs).mapInArrow(run, kinds)
 
 
 def masked(text: str, spans: list[tuple[str, int, int]]) -> str:

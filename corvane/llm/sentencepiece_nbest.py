@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvane.llm.common import by_bytes
+
 SPACE = "▁"
 #: Bytes that a worker keeps of segmented units; beyond them it starts anew.
 CACHE_BYTES = 160 << 20
@@ -453,7 +455,7 @@ def encode_nbest(docs: DataFrame, model_file: str, n: int = 3, id_col: str = "do
 
     rows = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
     schema = "i long, rank int, score double, n_pieces long, ids binary" + (", decoded string" if decoded else "")
-    return rows.mapInArrow(run, schema).withColumnRenamed("i", id_col)
+    return by_bytes(rows).mapInArrow(run, schema).withColumnRenamed("i", id_col)
 
 
 def decode(encoded: DataFrame, model_file: str, ids_col: str = "ids") -> DataFrame:
@@ -470,4 +472,4 @@ def decode(encoded: DataFrame, model_file: str, ids_col: str = "ids") -> DataFra
             texts = [own.text(np.frombuffer(x.as_buffer(), dtype="<i4")) if x.is_valid else None for x in batch.column(at)]
             yield pa.record_batch([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
 
-    return encoded.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema) + ", decoded string")
+    return by_bytes(encoded).mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema) + ", decoded string")

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.llm.common import by_bytes
+
 #: An empty gzip member: it stands between records where the text sink wants a line separator, and decodes to nothing.
 SEPARATOR = bytes.fromhex("1f8b08000000000000ff") + b"\x03\x00" + b"\x00" * 8
 _MAGIC = b"\x1f\x8b\x08"
@@ -78,7 +80,7 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     rows = rows.withColumns({"digest": F.sha1("html"), "bytes": F.octet_length("html")})
     first = rows.where(F.col("bytes") >= min_bytes).groupBy("digest", "bytes").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
     first = first.where("n > 1").drop("n")
-    members = rows.join(first, ["digest", "bytes"], "left").select("page_id", "url", "html", "first").mapInArrow(_members, "member binary")
+    members = by_bytes(rows.join(first, ["digest", "bytes"], "left").select("page_id", "url", "html", "first")).mapInArrow(_members, "member binary")
     sink = members.select(F.col("member").cast("string")).write.option("encoding", "ISO-8859-1").option("lineSep", SEPARATOR.decode("latin-1"))
     sink.option("maxRecordsPerFile", rows_per_file).text(path)
 
@@ -246,7 +248,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     or archive gives no rows.
     """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(_read, RECORDS)
+    return by_bytes(files).mapInArrow(_read, RECORDS)
 
 
 def page_number(column: str):
