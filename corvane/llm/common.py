@@ -33,8 +33,8 @@ def by_bytes(df: DataFrame) -> DataFrame:
     """df, with the session's Arrow batches bounded by BATCH_BYTES: what a batch of texts takes on both sides of a worker then follows from
     that and not from their lengths. A lower bound of the session's own stays."""
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    have = str(conf.get(name, "-1")).lower().removesuffix("b")
-    if not have.lstrip("-").isdigit() or not 0 < int(have) <= BATCH_BYTES:
+    have = conf.get(name).lower().removesuffix("b")
+    if not have.isdigit() or int(have) > BATCH_BYTES:
         conf.set(name, str(BATCH_BYTES))
     return df
 
