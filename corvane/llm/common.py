@@ -111,7 +111,7 @@ _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[str, np.ndarray] = {}
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 LONG_WORD = 256
 
 
