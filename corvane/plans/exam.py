@@ -201,8 +201,8 @@ SQL = {
     "j7_skipped": f"{_PUB} SELECT test, doc, number FROM kept ANTI JOIN bank USING (doc, number)",
     "j14_visible": f"""{_ALL}, asg AS (SELECT DISTINCT p_brand AS test, p_partkey % 12 AS viewer FROM part WHERE p_size = 7)
         SELECT student AS viewer, test, student FROM resp WHERE student >= 12
-        UNION SELECT graded_by, test, student FROM man JOIN resp USING (test, student) WHERE graded_by BETWEEN 1 AND 11
-        UNION SELECT viewer, test, student FROM asg JOIN resp USING (test) WHERE viewer BETWEEN 1 AND 11 AND test NOT IN (SELECT test FROM snap WHERE qtype = 'frq')""",
+        UNION SELECT graded_by, test, student FROM man JOIN resp USING (test, student) WHERE graded_by BETWEEN 1 AND 11 AND graded_by IN (SELECT s_suppkey FROM supplier)
+        UNION SELECT viewer, test, student FROM asg JOIN resp USING (test) WHERE viewer BETWEEN 1 AND 11 AND viewer IN (SELECT s_suppkey FROM supplier) AND test NOT IN (SELECT test FROM snap WHERE qtype = 'frq')""",
     "j17_worklist": f"{_ALL} SELECT resp.test, student, number, picked AS answer, man.points FROM resp JOIN (SELECT * FROM snap WHERE qtype = 'frq') USING (test) LEFT JOIN ans USING (test, student, number) LEFT JOIN man USING (test, student, number) WHERE status <> 'in_progress'",
     "p2_item_type": "SELECT p_partkey, CASE WHEN p_size > 40 THEN 'matching' WHEN p_size % 3 = 0 THEN 'mcq' ELSE 'frq' END AS qtype FROM part",
     "p6_answer_free": f"WITH {_S} SELECT test, number, qtype, max_points, 2 AS n_left, 1 AS n_fields FROM snap",
