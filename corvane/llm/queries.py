@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from corvane.llm import embed_dedup, exact_dedup, html_wrapper, jaccard_join, packing, pii, quality, secrets, sentencepiece_nbest, warc
+from corvane.llm import embed_dedup, exact_dedup, html_wrapper, jaccard_join, packing, pii, prefix_trie, quality, secrets, sentencepiece_nbest, warc
 from corvane.llm.common import shared_dir
 
 
@@ -84,7 +84,11 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_packing, op3_secrets, op4_warc, op5_html, op6_quality, op7_sentencepiece, op8_jaccard, op9_pii, op10_embeddings)}
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(_table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_packing, op3_secrets, op4_warc, op5_html, op6_quality, op7_sentencepiece, op8_jaccard, op9_pii, op10_embeddings, op11_prefix_trie)}
 QUERIES["pipeline"] = corpus_pipeline.run
 
 SQL = {
@@ -121,4 +125,21 @@ SQL = {
         k AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
         SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
         FROM embeddings JOIN c ON c.a = vec_id LEFT JOIN k ON k.a = vec_id""",
+    "op11_prefix_trie": """
+        WITH t AS (SELECT conv_id AS c, {'r': coalesce(role, ''), 'x': coalesce(text, '')} AS e,
+                row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(concat(octet_length(encode(coalesce(role, ''))), ':', role, text))) AS p
+            FROM conversations WHERE conv_id IS NOT NULL),
+        o AS (SELECT c, list(e ORDER BY p) AS s, string_split(c::VARCHAR, '') AS digits FROM t GROUP BY c),
+        -- CRC-32 bit by bit: the least significant bit of each byte comes first
+        h AS (SELECT c, s, CASE WHEN c % 20 = 0 THEN 0 ELSE xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(digits,
+                lambda g: list_transform(range(8), lambda i: (ascii(g)::BIGINT >> i) & 1)))), lambda r, b: xor(r >> 1, (xor(r, b) & 1) * 3988292384))) % 4 END AS h FROM o),
+        q AS (SELECT a.c, CASE WHEN a.h = 0 OR b.s IS NULL THEN a.s[a.h + 1:] ELSE b.s[:a.h] || a.s[a.h + 1:] END AS s FROM h a LEFT JOIN o b ON b.c = a.c - a.c % 20),
+        m AS (SELECT c, d, s[1:d] AS k, len(s) = d AS is_end FROM q, unnest(range(len(s) + 1)) u(d)),
+        v AS (SELECT d, k, min(c) AS c, count(*) AS n, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (is_end), '') AS ends FROM m GROUP BY d, k),
+        f AS (SELECT d - 1 AS d, k[1:d - 1] AS k, count(*) AS n_children FROM v WHERE d > 0 GROUP BY ALL),
+        w AS (SELECT v.*, coalesce(n_children, 0) AS n_children, CASE WHEN d = 0 THEN 0 ELSE (n - 1) * len(regexp_extract_all(k[d].x, '[^\\x20\\x09-\\x0D]+')) END AS saved
+            FROM v LEFT JOIN f USING (d, k)),
+        t2 AS (SELECT a.d, w.k[1:a.d] AS k, sum(saved)::BIGINT AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves FROM w, unnest(range(w.d + 1)) a(d) GROUP BY ALL)
+        SELECT w.c AS conv_id, w.d AS depth, p.c AS parent_conv_id, w.n AS n_convs, w.n_children, t2.n_leaves, t2.saved_tokens, sha256(w.ends) AS ends_sha256
+        FROM w JOIN t2 USING (d, k) LEFT JOIN v p ON p.d = w.d - 1 AND p.k = w.k[1:w.d - 1]""",
 }
