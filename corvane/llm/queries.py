@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from corvane.llm import embed_dedup, exact_dedup, html_wrapper, jaccard_join, packing, pii, prefix_trie, quality, secrets, sentencepiece_nbest, warc
+from corvane.llm import bin_completion, embed_dedup, exact_dedup, html_wrapper, jaccard_join, packing, pii, prefix_trie, quality, secrets, sentencepiece_nbest, warc
 from corvane.llm.common import shared_dir
 
 
@@ -88,7 +88,12 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.conversation_trie(_table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_packing, op3_secrets, op4_warc, op5_html, op6_quality, op7_sentencepiece, op8_jaccard, op9_pii, op10_embeddings, op11_prefix_trie)}
+def op13_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = bin_completion.pack_few(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return pieces.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_packing, op3_secrets, op4_warc, op5_html, op6_quality, op7_sentencepiece, op8_jaccard, op9_pii, op10_embeddings, op11_prefix_trie, op13_bin_completion)}
 QUERIES["pipeline"] = corpus_pipeline.run
 
 SQL = {
