@@ -137,6 +137,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte runs from starts to ends, polynomials from one running sum over raw. Runs beyond LONG_WORD are better hashed alone."""
+    n = len(raw)
+    sums = np.empty(n + 1, dtype=np.uint64)
+    sums[0] = 0
+    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _power_table(_BASE, n)[:n], dtype=np.uint64, out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * _power_table(_INVERSE, n)[starts] + (ends - starts).astype(np.uint64))
+
+
 def text_slices(column: pa.Array) -> Iterator[tuple[int, bytes, np.ndarray]]:
     """(first row, bytes, offsets) of runs of rows with about SLICE_BYTES of UTF-8; a longer text stands alone."""
     if pa.types.is_large_string(column.type):
@@ -182,10 +191,7 @@ def shingle_sets(column: pa.Array, words: int) -> Iterator[tuple[int, np.ndarray
         after[-1] = False
         after[:-1] = word[1:]
         ends = np.flatnonzero(word & (~after | edge[1:])) + 1
-        sums = np.empty(n + 1, dtype=np.uint64)
-        sums[0] = 0
-        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _power_table(_BASE, n)[:n], dtype=np.uint64, out=sums[1:])
-        keys = mix((sums[ends] - sums[starts]) * _power_table(_INVERSE, n)[starts] + (ends - starts).astype(np.uint64))
+        keys = word_hashes(raw, starts, ends)
         # sums mod 2^64 collide by construction for some words of thousands of bytes, so long ones are hashed alone
         for k in np.flatnonzero(ends - starts > LONG_WORD):
             keys[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]], digest_size=8).digest(), "little")

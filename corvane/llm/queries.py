@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from corvane.llm import bin_completion, embed_dedup, exact_dedup, html_wrapper, jaccard_join, packing, pii, prefix_trie, quality, secrets, sentencepiece_nbest, warc
+from corvane.llm import bin_completion, block_max, embed_dedup, exact_dedup, html_wrapper, jaccard_join, packing, pii, prefix_trie, quality, secrets, sentencepiece_nbest, warc
 from corvane.llm.common import shared_dir
 
 
@@ -88,12 +88,16 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.conversation_trie(_table(spark, sf_dir, "conversations"))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_max.rank_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op13_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = bin_completion.pack_few(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return pieces.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_packing, op3_secrets, op4_warc, op5_html, op6_quality, op7_sentencepiece, op8_jaccard, op9_pii, op10_embeddings, op11_prefix_trie, op13_bin_completion)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_packing, op3_secrets, op4_warc, op5_html, op6_quality, op7_sentencepiece, op8_jaccard, op9_pii, op10_embeddings, op11_prefix_trie, op12_ranked_search, op13_bin_completion)}
 QUERIES["pipeline"] = corpus_pipeline.run
 
 SQL = {
@@ -147,4 +151,18 @@ SQL = {
         t2 AS (SELECT a.d, w.k[1:a.d] AS k, sum(saved)::BIGINT AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves FROM w, unnest(range(w.d + 1)) a(d) GROUP BY ALL)
         SELECT w.c AS conv_id, w.d AS depth, p.c AS parent_conv_id, w.n AS n_convs, w.n_children, t2.n_leaves, t2.saved_tokens, sha256(w.ends) AS ends_sha256
         FROM w JOIN t2 USING (d, k) LEFT JOIN v p ON p.d = w.d - 1 AND p.k = w.k[1:w.d - 1]""",
+    "op12_ranked_search": """
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id,
+                regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS t FROM documents),
+        g AS (SELECT count(*) FILTER (len(t) > 0) AS n_docs, sum(len(t))::BIGINT AS n_terms FROM d),
+        p AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(t) AS term FROM d) GROUP BY ALL),
+        f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+        i AS (SELECT row_number() OVER () AS i, item_id,
+                regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS t FROM benchmark),
+        q AS (SELECT i, term, count(*) AS repeats FROM (SELECT i, unnest(t) AS term FROM i) GROUP BY ALL),
+        s AS (SELECT i, r, sum(repeats * floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT
+                * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * len(t)::BIGINT * n_docs) // n_terms))))::BIGINT AS score
+            FROM q JOIN f USING (term) JOIN p USING (term) JOIN d USING (r), g GROUP BY i, r)
+        SELECT item_id, (row_number() OVER t)::INTEGER AS rank, doc_id, score FROM s JOIN d USING (r) JOIN i USING (i) WHERE score > 0
+        WINDOW t AS (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) QUALIFY row_number() OVER t <= 10""",
 }
