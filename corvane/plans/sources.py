@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions.storage import shared_folder
-from corvane.sources import bank
+from corvane.sources import bank, pages
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -154,7 +154,19 @@ def s13_page_text(spark, sf_dir):
     return out.select("page_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (s1_bank_items, s1_bank_contexts, s2_upgraded, s2_status, s3_manifest, s3_pending, s4_inventory, s5_sources, s6_created, s6_errors, s6_rostered, s7_candidates, s7_quarantine, s8_csv_round_trip, s9_json_round_trip, s10_snapshots, s13_page_text)}
+def s13_article_text(spark, sf_dir):
+    """The given pages as wiki pages: what was the body stands in a main block, beside noise nested up to three deep."""
+    nested = F.concat(F.expr("repeat('<div>', page_id % 4)"), F.lit("noise"), F.expr("repeat('</div>', page_id % 4)"))
+    inner = F.regexp_extract("html", r"(?s)<body[^>]*>(.*)</body>", 1)
+    wiki = F.concat(
+        F.lit('<body><div class="menu">menu</div><div class="x mw-parser-output"><div class="toc">'), nested, F.lit("</div>"), inner, F.lit('<span class="mw-editsection">[<span>edit</span>]</span>'),
+        F.lit('<table class="metadata"><tr><td><table><tr><td>'), nested, F.lit("</td></tr></table></td></tr></table><p>"), F.coalesce("url", F.lit("")), F.lit("</p></div>end</body>"),
+    )
+    out = pages.article_text(_t(spark, sf_dir, "pages").withColumn("wiki", wiki), "wiki", "page_id", "url")
+    return out.select("page_id", "text")
+
+
+QUERIES = {f.__name__: f for f in (s1_bank_items, s1_bank_contexts, s2_upgraded, s2_status, s3_manifest, s3_pending, s4_inventory, s5_sources, s6_created, s6_errors, s6_rostered, s7_candidates, s7_quarantine, s8_csv_round_trip, s9_json_round_trip, s10_snapshots, s13_page_text, s13_article_text)}
 
 _SOUND = "o_custkey % 50 <> 7"
 _M = """m AS (SELECT p_brand, p_partkey AS k, p_size FROM part WHERE contains(p_name, 'red') OR contains(p_name, 'gizmo')),
@@ -172,6 +184,13 @@ _HTML = f"regexp_replace({_HTML}, '<[^>]*>', '', 'g')"
 for _entity, _char in (("&nbsp;", "' '"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "'\"'"), ("&#39;", "''''"), ("&amp;", "'&'")):
     _HTML = f"replace({_HTML}, '{_entity}', {_char})"
 _HTML = f"regexp_replace(regexp_replace(regexp_replace({_HTML}, '[ \\t]*\\n[ \\t]*', chr(10), 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g')"
+#: The body without navigation, which those pages do not nest, and the paragraph that follows it.
+_WIKI = "regexp_extract(html, '(?s)<body[^>]*>(.*)</body>', 1) || '<p></p><p>' || coalesce(url, '') || '</p>'"
+for _pattern, _by in (("(?is)<script\\b.*?</script\\s*>", "''"), ("(?s)<!--.*?-->", "''"), ("(?is)<nav\\b.*?</nav\\s*>", "chr(10)"), ("(?i)</?(?:p|div|h[1-6]|li|ul|ol|tr|table|article|section|header|footer|br|blockquote)\\b[^>]*>", "chr(10)"), ("<[^>]*>", "''")):
+    _WIKI = f"regexp_replace({_WIKI}, '{_pattern}', {_by}, 'g')"
+for _entity, _char in (("&nbsp;", "' '"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "'\"'"), ("&#39;", "''''"), ("&amp;", "'&'")):
+    _WIKI = f"replace({_WIKI}, '{_entity}', {_char})"
+_WIKI = f"regexp_replace(regexp_replace(regexp_replace({_WIKI}, '[ \\t]*\\n[ \\t]*', chr(10), 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g')"
 SQL = {
     "s1_bank_items": f"SELECT o_custkey::VARCHAR AS collection, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1)::INT AS ord, o_orderkey::VARCHAR AS number, o_orderpriority AS topic, o_orderstatus AS choice, 1 AS images, CASE WHEN o_orderstatus = 'F' THEN 'correct' END AS status FROM orders WHERE {_SOUND}",
     "s1_bank_contexts": f"SELECT DISTINCT o_custkey::VARCHAR AS collection, 'd1::c1' AS key, o_custkey::VARCHAR AS title FROM orders WHERE {_SOUND}",
@@ -196,4 +215,6 @@ SQL = {
     "s9_json_round_trip": "SELECT (p_partkey % 4)::VARCHAR AS collection, count(*) AS items, (sum((p_size % 2 = 0)::INT) * 2)::BIGINT AS choices, count(DISTINCT p_brand) AS contexts FROM part GROUP BY 1",
     "s10_snapshots": "SELECT p_brand AS doc, TIMESTAMP '2024-01-01' AS saved_at, count(*) AS n FROM part GROUP BY 1 UNION ALL SELECT p_brand, TIMESTAMP '2024-02-01', count(*) FROM part WHERE p_partkey % 2 = 0 GROUP BY 1",
     "s13_page_text": f"SELECT page_id, '# ' || coalesce(url, '') || chr(10) || chr(10) || '*Length: ' || length(t) || ' chars*' || chr(10) || chr(10) || '---' || chr(10) || chr(10) || t AS text FROM (SELECT page_id, url, {_HTML} AS t FROM pages)",
+    "s13_article_text": f"""SELECT page_id, '# ' || page_id || chr(10) || chr(10) || '*Source: ' || coalesce(url, '') || '*  ' || chr(10) || '*Length: ' || length(t) || ' chars*' || chr(10) || chr(10) || '---' || chr(10) || chr(10) || t AS text
+        FROM (SELECT page_id, url, {_WIKI} AS t FROM pages)""",
 }
