@@ -49,8 +49,8 @@ def clean_items(items: DataFrame) -> DataFrame:
 
 
 def pair_verdict(pairs: Column) -> Column:
-    """correct where there are pairs and all are ok, else incorrect."""
-    return F.when((F.size(pairs) > 0) & F.forall(pairs, lambda p: F.coalesce(p, F.lit(False))), "correct").otherwise("incorrect")
+    """uncertain without pairs, correct where all are ok, else incorrect."""
+    return F.when(F.coalesce(F.size(pairs), F.lit(0)) <= 0, "uncertain").when(F.forall(pairs, lambda p: F.coalesce(p, F.lit(False))), "correct").otherwise("incorrect")
 
 
 def doc_status(files: DataFrame, items: DataFrame, key: str, has_image: Column, has_answer: Column) -> DataFrame:

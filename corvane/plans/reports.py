@@ -220,7 +220,7 @@ SQL = {
     "p5_attention": """SELECT c_custkey AS o_custkey, count(o_orderkey) AS items, count(*) FILTER (starts_with(o_orderpriority, '1')) AS images, count(*) FILTER (o_orderstatus = 'F') AS answers, count(o_orderkey) > 0 AS processed
         FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1 HAVING count(o_orderkey) = 0 OR count(*) FILTER (o_orderstatus = 'F') < 0.3 * count(o_orderkey)""",
     "p7_clean_items": """SELECT p_partkey, p_name AS text, 'a' AS answer, CASE WHEN p_size % 3 > 0 THEN p_type ELSE 'Other / General' END AS topic, 'A=' || p_type || CASE WHEN p_size % 2 = 0 THEN '|B=x' ELSE '' END AS choices, CASE WHEN p_size % 4 > 0 THEN p_size END AS page FROM part""",
-    "p9_pair_verdicts": "SELECT l_orderkey, CASE WHEN count(*) FILTER (l_linenumber > 1) > 0 AND count(*) FILTER (l_linenumber > 1 AND l_returnflag = 'A') = 0 THEN 'correct' ELSE 'incorrect' END AS verdict FROM lineitem GROUP BY 1",
+    "p9_pair_verdicts": "SELECT l_orderkey, CASE WHEN count(*) FILTER (l_linenumber > 1) = 0 THEN 'uncertain' WHEN count(*) FILTER (l_linenumber > 1 AND l_returnflag = 'A') = 0 THEN 'correct' ELSE 'incorrect' END AS verdict FROM lineitem GROUP BY 1",
     "a2_doc_status": "SELECT c_custkey AS o_custkey, count(o_orderkey) AS items, count(*) FILTER (starts_with(o_orderpriority, '1')) AS images, count(*) FILTER (o_orderstatus = 'F') AS answers, count(o_orderkey) > 0 AS processed FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1",
     "a3_collections": f"""WITH {_I}, d AS (SELECT number % 30 AS slug, doc, count(*) AS n FROM i GROUP BY ALL)
         SELECT n_nationkey AS slug, (SELECT count(*) FROM d WHERE slug = n_nationkey) AS docs, (SELECT coalesce(sum(n), 0)::BIGINT FROM d WHERE slug = n_nationkey) AS items, (SELECT count(*) FROM d WHERE slug = n_nationkey AND doc[1] <> '_') AS processed,

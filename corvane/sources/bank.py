@@ -155,8 +155,8 @@ def flat_items(items: DataFrame) -> DataFrame:
 
 
 def export_csv(items: DataFrame, path: str) -> None:
-    """Flat CSV files with headers below path; quotes are doubled within quotes, so texts with commas, quotes and line ends come back."""
-    flat_items(items).write.csv(path, header=True, escape='"', emptyValue="")
+    """Flat CSV files with headers below path; quotes are doubled within quotes and empty texts are quoted, so texts with commas, quotes and line ends and empty texts come back."""
+    flat_items(items).write.csv(path, header=True, escape='"')
 
 
 def export_json(items: DataFrame, contexts: DataFrame, path: str) -> None:

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -16,6 +15,14 @@ _LIMITS = "key string, at long, seq long, recent int, blocked boolean"
 _STARTS = "test string, username string, at long, seq long"
 
 
+_JOBS = "job string, slug string, status string, at long, seq long, version long"
+
+
+def _in_order(rows: Iterator[Row]) -> list[Row]:
+    """A key's rows of a micro-batch by time; a key is one response, one account or one job, which has a handful."""
+    return sorted(rows, key=lambda r: (r.at, r.seq))
+
+
 def stateful_session(spark: SparkSession) -> None:
     """The state store provider that the stateful operators below need."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
@@ -27,11 +34,10 @@ class _Saves(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.response = handle.getValueState("response", "started boolean, done boolean, answers long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        started, done, answers = self.response.get() if self.response.exists() else (False, False, 0)
-        out = []
-        for r in pd.concat(list(rows)).sort_values(["at", "seq"]).itertuples():
-            early, late = not pd.isna(r.opens) and r.at < r.opens, not pd.isna(r.closes) and r.at > r.closes
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        started, done, answers = self.response.get() or (False, False, 0)
+        for r in _in_order(rows):
+            early, late = r.opens is not None and r.at < r.opens, r.closes is not None and r.at > r.closes
             if early or (late and not (r.kind == "submit" and answers)):
                 outcome = "outside window"
             elif r.kind == "start":
@@ -44,9 +50,8 @@ class _Saves(StatefulProcessor):
                 outcome, answers = "saved", answers + 1
             else:
                 outcome, done = ("auto_submitted_late" if late else "submitted"), True
-            out.append((*key, r.number, r.answer, r.at, r.seq, outcome))
+            yield Row(test=key[0], username=key[1], number=r.number, answer=r.answer, at=r.at, seq=r.seq, outcome=outcome)
         self.response.update((started, done, answers))
-        yield pd.DataFrame(out, columns=["test", "username", "number", "answer", "at", "seq", "outcome"])
 
     def close(self) -> None:
         pass
@@ -60,7 +65,7 @@ def gated_saves(feed: DataFrame, windows: DataFrame | None = None) -> DataFrame:
     a response count in the order of at and seq within a micro-batch. Accepted saves are those with outcome saved.
     """
     gated = feed.withColumns({"opens": F.lit(None).cast("long"), "closes": F.lit(None).cast("long")}) if windows is None else feed.join(windows.select("test", "username", "opens", "closes"), ["test", "username"], "left")
-    return gated.groupBy("test", "username").transformWithStateInPandas(statefulProcessor=_Saves(), outputStructType=_SAVES, outputMode="Append", timeMode="None")
+    return gated.groupBy("test", "username").transformWithState(statefulProcessor=_Saves(), outputStructType=_SAVES, outputMode="Append", timeMode="None")
 
 
 def last_answers(saves: DataFrame) -> DataFrame:
@@ -72,11 +77,11 @@ class _First(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.seen = handle.getValueState("seen", "at long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         if not self.seen.exists():
-            r = pd.concat(list(rows)).sort_values(["at", "seq"]).iloc[0]
-            self.seen.update((int(r["at"]),))
-            yield pd.DataFrame([(*key, int(r["at"]), int(r["seq"]))], columns=["test", "username", "at", "seq"])
+            r = min(rows, key=lambda r: (r.at, r.seq))
+            self.seen.update((r.at,))
+            yield Row(test=key[0], username=key[1], at=r.at, seq=r.seq)
 
     def close(self) -> None:
         pass
@@ -84,7 +89,7 @@ class _First(StatefulProcessor):
 
 def start_once(starts: DataFrame) -> DataFrame:
     """The first start (test, username, at, seq) of each response; one number of state per response, without a horizon."""
-    return starts.groupBy("test", "username").transformWithStateInPandas(statefulProcessor=_First(), outputStructType=_STARTS, outputMode="Append", timeMode="None")
+    return starts.groupBy("test", "username").transformWithState(statefulProcessor=_First(), outputStructType=_STARTS, outputMode="Append", timeMode="None")
 
 
 def _limiter(seconds: int, limit: int) -> StatefulProcessor:
@@ -94,19 +99,17 @@ def _limiter(seconds: int, limit: int) -> StatefulProcessor:
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.times = handle.getListState("times", "at long")
 
-        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-            held = [at for (at,) in self.times.get()] if self.times.exists() else []
-            out = []
-            for r in pd.concat(list(rows)).sort_values(["at", "seq"]).itertuples():
+        def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+            held = [at for (at,) in self.times.get()]
+            for r in _in_order(rows):
                 held = [] if r.kind == "success" else [at for at in held if r.at - at < seconds * 1_000_000]
                 if r.kind == "failure":
                     held.append(r.at)
-                out.append((*key, r.at, r.seq, len(held), len(held) >= limit))
+                yield Row(key=key[0], at=r.at, seq=r.seq, recent=len(held), blocked=len(held) >= limit)
             if held:
-                self.times.put([(int(at),) for at in held])
+                self.times.put([(at,) for at in held])
             else:
                 self.times.clear()
-            yield pd.DataFrame(out, columns=["key", "at", "seq", "recent", "blocked"])
 
         def close(self) -> None:
             pass
@@ -116,7 +119,62 @@ def _limiter(seconds: int, limit: int) -> StatefulProcessor:
 
 def limited_attempts(attempts: DataFrame, seconds: int = 900, limit: int = 5) -> DataFrame:
     """attempts (key, kind failure, success or other, at in microseconds, seq) with recent, the failures less than seconds old since the last success, the row's own included, and blocked."""
-    return attempts.groupBy("key").transformWithStateInPandas(statefulProcessor=_limiter(seconds, limit), outputStructType=_LIMITS, outputMode="Append", timeMode="None")
+    return attempts.groupBy("key").transformWithState(statefulProcessor=_limiter(seconds, limit), outputStructType=_LIMITS, outputMode="Append", timeMode="None")
+
+
+def _jobs(running: tuple[str, ...], seconds: int, keep: int, event_time: bool) -> StatefulProcessor:
+    class Jobs(StatefulProcessor):
+        """A job's last state, and the timer that ends it: of a running one when it counts as interrupted, of any other when it is forgotten."""
+
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.job = handle.getValueState("job", "slug string, status string, at long, seq long, version long, due long")
+
+        def _hold(self, key, slug, status, at, seq, version, now) -> Row:
+            due = now + 1000 * (seconds if status in running else keep)
+            self.handle.registerTimer(due)
+            self.job.update((slug, status, at, seq, version, due))
+            return Row(job=key[0], slug=slug, status=status, at=at, seq=seq, version=version)
+
+        def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+            have = self.job.get()
+            newer = [r for r in _in_order(rows) if have is None or (r.at, r.seq) > (have[2], have[3])]
+            if newer:
+                if have is not None:
+                    self.handle.deleteTimer(have[5])
+                last, version = newer[-1], (have[4] if have is not None else 0)
+                now = last.at // 1000 if event_time else timerValues.getCurrentProcessingTimeInMs()
+                for k, r in enumerate(newer[:-1]):
+                    yield Row(job=key[0], slug=r.slug, status=r.status, at=r.at, seq=r.seq, version=version + k + 1)
+                yield self._hold(key, last.slug, last.status, last.at, last.seq, version + len(newer), now)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+            have = self.job.get()
+            if have is not None and have[1] in running:
+                yield self._hold(key, have[0], "interrupted", have[2], have[3], have[4] + 1, expiredTimerInfo.getExpiryTimeInMs())
+            else:
+                self.job.clear()
+
+        def close(self) -> None:
+            pass
+
+    return Jobs()
+
+
+def job_states(feed: DataFrame, seconds: int, running: tuple[str, ...] = ("running",), keep: int = 7 * 86_400, event_time: bool = False) -> DataFrame:
+    """The changes of jobs' states: feed (job, slug, status, at in microseconds, seq), each row a heartbeat or a new status, with version, the change's number within the job.
+
+    A running job that is not heard of for the seconds turns interrupted, by a timer of its own; a later heartbeat takes it up again. Rows that are not
+    newer than what is known are ignored. Jobs in any other state are forgotten after keep seconds, so state does not grow with the number of jobs that ever were. Timers follow the
+    clock, or, with event_time, the feed's watermark, which the caller sets.
+    """
+    mode = "EventTime" if event_time else "ProcessingTime"
+    return feed.groupBy("job").transformWithState(statefulProcessor=_jobs(running, seconds, keep, event_time), outputStructType=_JOBS, outputMode="Append", timeMode=mode)
+
+
+def last_states(changes: DataFrame) -> DataFrame:
+    """(job, slug, status, at, seq) after the last change of each job; reads the table that job_states has written."""
+    return changes.groupBy("job").agg(F.max_by(F.struct("slug", "status", "at", "seq"), F.struct("at", "seq", "version")).alias("s")).select("job", "s.*")
 
 
 def merge_edits(feed: DataFrame, path: str, checkpoint: str, keys: list[str], value: str, order: list[str]) -> StreamingQuery:
