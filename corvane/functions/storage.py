@@ -25,3 +25,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def removed(*frames: DataFrame) -> None:
+    """Delete the files of written tables that nothing reads any more."""
+    for frame in frames:
+        spark = frame.sparkSession
+        jvm = spark.sparkContext._jvm
+        for folder in {f.rpartition("/")[0] for f in frame.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvane.functions.storage import written
+
 
 def first_per_key(rows: DataFrame, keys: list[Column], order: str) -> DataFrame:
     """The row that comes first by order of each key; an aggregation, so one hot key is combined before the shuffle."""
@@ -29,23 +31,35 @@ def word_shingles(text: Column, n: int = 3, word: str = WORD) -> Column:
     return F.transform(F.array(words), runs)[0]
 
 
+def hashed_shingles(text: Column, n: int = 3, word: str = WORD) -> Column:
+    """word_shingles as sorted 64-bit hashes, without building their texts."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(word), F.lit(0))
+
+    def runs(w: Column) -> Column:
+        whole = F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - n, F.lit(0))), lambda k: F.xxhash64(*[F.get(w, k + i) for i in range(n)]))
+        return F.sort_array(F.array_distinct(F.when(F.size(w) < n, F.transform(w, lambda x: F.xxhash64(x))).otherwise(whole)))
+
+    return F.transform(F.array(words), runs)[0]
+
+
 #: A bank of at most so many shingles goes to every executor, so that documents' shingles are not shuffled; beyond, both sides are.
 BROADCAST_SHINGLES = 1_000_000
 
 
 def duplicate_of_bank(docs: DataFrame, bank: DataFrame, threshold: float = 0.4, n: int = 3, word: str = WORD) -> DataFrame:
     """doc_id, similarity, matched: the first bank item (by id) at the threshold or above, else the most similar one, if any
-    shares a shingle. Pairs come from a join on shingles, never from all of docs and bank. Shingles meet by 64-bit hash and are compared
-    whole. Counts the bank's shingles when called, to choose between sending them everywhere and shuffling.
+    shares a shingle. Pairs come from a join on shingles, never from all of docs and bank; shingles are equal when their 64-bit hashes are.
+
+    The bank's sets are a table, counted when called to choose between sending them everywhere and shuffling. A shingle that very many documents
+    have is one row of each, met by the bank's few; where both sides are shuffled, Spark splits such a key's rows.
     """
-    d = docs.select("doc_id", word_shingles(F.col("text"), n, word).alias("s"))
-    b = bank.select("item_id", word_shingles(F.col("text"), n, word).alias("s"))
-    theirs = b.select("item_id", F.size("s").alias("nb"), F.explode("s").alias("other")).withColumn("h", F.xxhash64("other"))
+    sets = written(bank.select("item_id", hashed_shingles(F.col("text"), n, word).alias("s")), "bank")
+    # explode_outer: for explode, the optimizer would ask for non-empty arrays below the projection and make every set twice
+    theirs = sets.select("item_id", F.size("s").alias("nb"), F.explode("s").alias("h"))
     if theirs.count() <= BROADCAST_SHINGLES:
         theirs = F.broadcast(theirs)
-    mine = d.select("doc_id", F.size("s").alias("nd"), F.explode("s").alias("g")).withColumn("h", F.xxhash64("g"))
-    shared = mine.join(theirs, "h").where("g = other")
-    pairs = shared.groupBy("doc_id", "item_id", "nd", "nb").agg(F.count("*").alias("k"))
+    mine = docs.select("doc_id", hashed_shingles(F.col("text"), n, word).alias("s")).select("doc_id", F.size("s").alias("nd"), F.explode_outer("s").alias("h"))
+    pairs = mine.join(theirs, "h").groupBy("doc_id", "item_id", "nd", "nb").agg(F.count("*").alias("k"))
     pairs = pairs.withColumn("sim", F.col("k") / (F.col("nd") + F.col("nb") - F.col("k")))
     over = F.col("sim") >= threshold
     rank = F.struct(over.cast("int"), F.when(over, 0.0).otherwise(F.col("sim")), -F.col("item_id"))

@@ -2,11 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.functions.storage import written
-from corvane.operators.dedup import duplicate_of_bank, word_shingles
+from corvane.functions.storage import removed, written
+from corvane.operators.dedup import duplicate_of_bank, hashed_shingles
+
+#: Shingles are counted in so many buckets; the counts, 2 MB, only order them.
+BUCKETS = 1 << 18
+#: Rows of a posting that meet in one group at most, about.
+POSTING = 500
+#: Edges, about, that one task decides in order.
+EDGES_A_TASK = 500_000
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -15,52 +28,137 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) > 0) & (F.size(b) > 0), shared / (F.size(a) + F.size(b) - shared)).otherwise(0.0)
 
 
+def _prefixes(counts, percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = counts.value
+        for batch in batches:
+            sets = batch.column(1)
+            values, at = sets.flatten().to_numpy(), np.concatenate(([0], np.cumsum(pa.compute.list_value_length(sets).to_numpy())))
+            row = np.repeat(np.arange(len(sets)), np.diff(at))
+            order = np.lexsort((values, often[values & (BUCKETS - 1)], row))
+            size = np.diff(at)
+            keep = size - -(-percent * size // 100) + 1  # two sets that are similar enough share one of so many rarest members
+            place = np.arange(len(values)) - np.repeat(at[:-1], size)
+            first = place < np.repeat(keep, size)
+            yield pa.record_batch([batch.column(0).take(pa.array(row[first])), pa.array(size[row[first]].astype(np.int32)), pa.array(values[order][first]), pa.array(place[first].astype(np.int32))], names=["id", "n", "h", "at"])
+
+    return run
+
+
+def candidate_pairs(sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b) with a < b of sets (id, s, a sorted array of longs) that may have a Jaccard similarity of percent or more: all that do, and some that do not.
+
+    A set's members are put in one order for all, rare ones first, by counts in buckets; similar sets share one of each other's first members, at places that leave room for
+    enough others, and are of similar size. A posting of more than POSTING rows is dealt into blocks, and blocks meet in pairs, each pair of rows
+    in one group, so no task has to hold a frequent member's rows; as that comes last in the order, it is among the first members of few sets.
+    """
+    spark = sets.sparkSession
+    buckets = sets.select(F.explode_outer("s").alias("h")).where("h is not null").groupBy(F.col("h").bitwiseAND(BUCKETS - 1).alias("bucket")).count().toArrow()
+    counts = np.zeros(BUCKETS, dtype=np.int64)
+    counts[buckets.column("bucket").to_numpy()] = buckets.column("count").to_numpy()
+    rows = sets.select("id", "s").mapInArrow(_prefixes(spark.sparkContext.broadcast(counts), percent), f"id {sets.schema['id'].dataType.simpleString()}, n int, h long, at int")
+    # members of one set only meet nothing
+    shared = rows.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
+    postings = rows.join(shared, "h").withColumn("blocks", F.ceil(F.col("c") / POSTING).cast("int")).withColumn("block", F.pmod(F.xxhash64("id", "h"), F.col("blocks")).cast("int"))
+    dealt = postings.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("id", "n", "at", "h", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    x, y = dealt.toDF("a", "an", "aat", "h", "ablock", "i", "j"), dealt.toDF("b", "bn", "bat", "h", "bblock", "i", "j")
+    once = F.expr("a < b and (i = j or ablock <> bblock)")
+    fits = F.expr(f"100 * least(an, bn) >= {percent} * greatest(an, bn)")
+    room = F.expr(f"(100 + {percent}) * (1 + least(an - aat, bn - bat) - 1) >= {percent} * (an + bn)")
+    return x.join(y, ["h", "i", "j"]).where(once & fits & room).select("a", "b").distinct()
+
+
 def similar_pairs(rows: DataFrame, key: str, text: str, percent: int, n: int = 3) -> DataFrame:
-    """(a, b, similarity) with a < b of texts whose sets of word n-grams have a Jaccard similarity of percent or more.
+    """(a, b, similarity) with a < b of texts whose sets of word n-grams have a Jaccard similarity of percent or more; n-grams are equal when their 64-bit hashes are.
 
-    Pairs meet only on the rarest shingles of each, one of which two such sets must share; sizes and then the complete sets
-    decide. Shingles are met by 64-bit hash and compared whole.
+    Equal sets are one for the join, and their members are paired at the end. Null, empty and wordless texts are similar to nothing. Sets
+    are a table in the shared folder, made when called, that the result reads.
     """
-    sets = rows.select(F.col(key).alias("id"), word_shingles(F.col(text), n).alias("s")).where("size(s) > 0")
-    hashed = sets.select("id", F.size("s").alias("n"), F.explode(F.transform("s", lambda x: F.xxhash64(x))).alias("h"))
-    often = hashed.groupBy("h").agg(F.count("*").alias("k")).where("k > 1")
-    # shingles of one text alone come first in the order and pair with nothing, so only their number matters
-    shared = hashed.join(often, "h")
-    mine = Window.partitionBy("id").orderBy("k", "h")
-    ranked = shared.withColumn("at", F.row_number().over(mine) + F.col("n") - F.count("*").over(Window.partitionBy("id")))
-    prefix = ranked.where(F.expr(f"at <= n - ceil({percent} * n / 100) + 1")).select("id", "n", "h")
-    x, y = prefix.toDF("a", "an", "h"), prefix.toDF("b", "bn", "h")
-    fits = F.expr(f"a < b and 100 * least(an, bn) >= {percent} * greatest(an, bn)")
-    pairs = x.join(y, "h").where(fits).select("a", "b").distinct()
-    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", jaccard(F.col("x"), F.col("y")).alias("similarity"))
-    return both.where(F.col("similarity") * 100 >= percent)
+    made = F.transform(F.array(hashed_shingles(F.col(text), n)), lambda s: F.struct(s.alias("s"), F.concat_ws(":", F.size(s), F.xxhash64(s), F.xxhash64(F.lit(n), s)).alias("same")))[0]
+    # filtered once written: a filter on what a projection makes would make it twice
+    sets = written(rows.select(F.col(key).alias("id"), made.alias("x")).select("id", "x.*"), "sets").where("size(s) > 0")
+    heads = sets.groupBy("same").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
+    first = sets.join(heads.select("id", "same"), ["id", "same"], "left_semi").dropDuplicates(["id", "same"])
+    pairs = candidate_pairs(first, percent)
+    both = pairs.join(first.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(first.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
+    near = both.select("a", "b", jaccard(F.col("x"), F.col("y")).alias("similarity")).where(F.col("similarity") * 100 >= percent)
+    # members of equal sets: with those of the similar set, and among themselves
+    members = sets.select("id", "same").join(heads.select(F.col("id").alias("head"), "same"), "same").select("id", "head")
+    across = near.join(members.toDF("p", "a"), "a").join(members.toDF("q", "b"), "b").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "similarity")
+    copied = members.join(heads.where("copies > 1").select(F.col("id").alias("head")), "head")
+    within = copied.toDF("head", "a").join(copied.toDF("head", "b"), "head").where("a < b").select("a", "b", F.lit(1.0).alias("similarity"))
+    return across.union(within)
+
+
+def _decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of edges sorted by b: which b's are kept or rejected, as far as this task's own edges tell. An a is known if it has no earlier neighbour (free) or was decided here."""
+    status: dict = {}
+    now, kept, open_ = None, False, False
+
+    def close() -> None:
+        if now is not None and (kept or not open_):
+            status[now] = not kept
+
+    for batch in batches:
+        for a, b, free in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if b != now:
+                close()
+                now, kept, open_ = b, False, False
+            known = True if free else status.get(a)
+            kept |= known is True
+            open_ |= known is None
+    close()
+    ids = list(status)
+    yield pa.record_batch([pa.array(ids, pa.int64()), pa.array([status[x] for x in ids], pa.bool_())], names=["id", "kept"])
+
+
+def first_independent(edges: DataFrame, rounds: list | None = None) -> DataFrame:
+    """(id, kept) of every end of edges (a, b; a < b, longs): in the order of ids, one is kept unless it has an earlier kept neighbour.
+
+    Each round deals the edges out by ranges of b, and every task goes through its own in order: a chain of texts, each similar to the next, is decided as far as
+    it lies in one range, not one link a round. Ends whose earlier neighbours another range has yet to decide wait for the next round, of which at least every
+    one without undecided earlier neighbours is decided. Up to EDGES_A_TASK edges are one range. A round reads only undecided edges; its table replaces the last
+    one's. rounds, if given, gets the number of edges of each.
+    """
+    left, verdicts = written(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a < b").distinct(), "edges"), []
+    while n := left.count():
+        if rounds is not None:
+            rounds.append(n)
+        later = left.select(F.col("b").alias("a")).distinct().withColumn("waits", F.lit(True))
+        flagged = left.join(later, "a", "left").select("a", "b", F.col("waits").isNull().alias("free"))
+        tasks = -(-n // EDGES_A_TASK)
+        dealt = flagged.repartitionByRange(tasks, "b") if tasks > 1 else flagged.coalesce(1)
+        here = dealt.sortWithinPartitions("b", "a").mapInArrow(_decided, "id long, kept boolean")
+        free = flagged.where("free").select(F.col("a").alias("id"), F.lit(True).alias("kept")).distinct()
+        step = written(here.union(free), "verdicts")
+        # what a task did not know: neighbours of those that other tasks have kept
+        gone = left.join(step.where("kept").select(F.col("id").alias("a")), "a").select(F.col("b").alias("id")).distinct()
+        gone = written(gone.join(step, "id", "left_anti").withColumn("kept", F.lit(False)), "verdicts")
+        verdicts += [step, gone]
+        decided = step.select("id").union(gone.select("id"))
+        after = written(left.join(decided.toDF("a"), "a", "left_anti").join(decided.toDF("b"), "b", "left_anti").select("a", "b"), "edges")
+        removed(left)
+        left = after
+    removed(left)
+    ends = edges.where("a < b").select(F.col("a").cast("long").alias("id")).union(edges.where("a < b").select(F.col("b").cast("long"))).distinct()
+    if not verdicts:
+        return ends.withColumn("kept", F.lit(True))
+    # whoever has lost all its earlier neighbours without a verdict of its own is kept
+    return ends.join(reduce(DataFrame.union, verdicts), "id", "left").withColumn("kept", F.coalesce("kept", F.lit(True)))
 
 
 def dedup_greedy(cands: DataFrame, bank: DataFrame, percent: int = 40, least: int = 12, n: int = 3) -> DataFrame:
     """(doc_id, kept, reason, matched): a candidate, in the order of doc_id, is kept unless its text is under least characters, it is similar to
-    a bank item (item_id, text), or to an earlier kept candidate; matched is the first of those.
-
-    Among similar candidates each round keeps those with no undecided earlier neighbour and rejects the neighbours after them; a
-    round is a table in the shared folder, and there are as many as the longest chain of similar texts needs. Runs jobs when called.
+    a bank item (item_id, text), or to an earlier kept candidate; matched is the first of those. Runs jobs when called; the tables that the result reads stay in
+    the shared folder.
     """
     long_ = F.length(F.trim(F.coalesce("text", F.lit("")))) >= least
-    known = duplicate_of_bank(cands.where(long_), bank, percent / 100, n).where("duplicate").select("doc_id", "matched")
+    known = written(duplicate_of_bank(cands.where(long_), bank, percent / 100, n).where("duplicate").select("doc_id", "matched"), "known")
     fresh = cands.where(long_).select("doc_id", "text").join(known.select("doc_id"), "doc_id", "left_anti")
     edges = written(similar_pairs(fresh, "doc_id", "text", percent, n).select("a", "b"), "edges")
-    left, verdicts = edges, None
-    while left.limit(1).count():
-        ends = left.select(F.col("a").alias("id")).union(left.select("b")).distinct()
-        now = ends.join(left.select(F.col("b").alias("id")).distinct(), "id", "left_anti")
-        out = left.join(now.withColumnRenamed("id", "a"), "a").groupBy(F.col("b").alias("id")).agg(F.min("a").alias("matched"))
-        step = written(now.select("id", F.lit(True).alias("kept")).union(out.select("id", F.lit(False))), "verdicts")
-        verdicts = step if verdicts is None else verdicts.union(step)
-        decided = step.select("id")
-        left = written(left.join(decided.toDF("a"), "a", "left_anti").join(decided.toDF("b"), "b", "left_anti").select("a", "b"), "edges")
-    rejected = fresh.select("doc_id").where("false").withColumn("matched", F.lit(None).cast("long"))
-    if verdicts is not None:
-        gone = verdicts.where("not kept").select(F.col("id").alias("b"))
-        keepers = edges.join(gone, "b", "left_semi").join(gone.withColumnRenamed("b", "a"), "a", "left_anti")
-        rejected = keepers.groupBy(F.col("b").alias("doc_id")).agg(F.min("a").alias("matched"))
+    gone = first_independent(edges).where("not kept").select(F.col("id").alias("b"))
+    keepers = edges.join(gone, "b", "left_semi").join(gone.withColumnRenamed("b", "a"), "a", "left_anti")
+    rejected = keepers.groupBy(F.col("b").alias("doc_id")).agg(F.min("a").alias("matched"))
     found = known.select("doc_id", F.lit("bank").alias("reason"), "matched").union(rejected.select("doc_id", F.lit("batch"), "matched"))
     joined = cands.select("doc_id", long_.alias("long")).join(found, "doc_id", "left")
     reason = F.when(~F.col("long"), "too short").otherwise(F.col("reason"))

@@ -129,8 +129,7 @@ def _bank(spark, sf_dir):
 def s8_csv_round_trip(spark, sf_dir):
     path = shared_folder(spark, "csv")
     bank.export_csv(_bank(spark, sf_dir), path)
-    read = spark.read.csv(path, header=True, escape='"', multiLine=True)
-    return read.select(F.col("number").cast("long").alias("number"), "topic", "text", "choices", "validation_status", "doc")
+    return bank.read_csv(spark, path).select(F.col("number").cast("long").alias("number"), "topic", "text", "choices", "validation_status", "doc")
 
 
 def s9_json_round_trip(spark, sf_dir):

@@ -159,6 +159,11 @@ def export_csv(items: DataFrame, path: str) -> None:
     flat_items(items).write.csv(path, header=True, escape='"')
 
 
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
+    """What export_csv has written, all columns text: an empty text is empty again, as none was null."""
+    return spark.read.csv(path, header=True, escape='"', multiLine=True, nullValue="\x00")
+
+
 def export_json(items: DataFrame, contexts: DataFrame, path: str) -> None:
     """Nested JSON lines below path/items and path/contexts, a folder per collection."""
     items.write.partitionBy("collection").json(f"{path}/items")
