@@ -133,13 +133,18 @@ def score_grid(totals: DataFrame, complete: DataFrame, roster: DataFrame, tests:
 
 
 def practice_report(graded: DataFrame, taker: str, number: str, points: str) -> DataFrame:
-    """(taker, answered, earned, percent, mistakes): percent is rounded; mistakes counts what is not fully correct, with the first hundred numbers listed."""
+    """(taker, answered, earned, percent, mistakes): percent is rounded; mistakes counts what is not fully correct, with the first hundred numbers as a preview of practice_mistakes."""
     wrong = F.col(points) < 1
     first = F.slice(F.array_sort(F.collect_set(F.when(wrong, F.col(number)))), 1, 100)
     out = graded.groupBy(taker).agg(F.count("*").alias("answered"), F.sum(points).alias("earned"), F.count_if(wrong).alias("mistakes"), first.alias("listed"))
     return out.withColumn("percent", F.round(F.lit(100) * F.col("earned") / F.col("answered"), 0))
 
 
+def practice_mistakes(graded: DataFrame, points: str) -> DataFrame:
+    """Every answer that is not fully correct, a row each, with its columns: what practice_report counts and lists the first of."""
+    return graded.where(F.col(points) < 1)
+
+
 def visible_responses(responses: DataFrame, manual: DataFrame, snapshot: DataFrame, assigned: DataFrame, viewers: DataFrame) -> DataFrame:
     """(viewer, test, student) that viewers (viewer, role) may open: a student their own, a volunteer those they graded and, of tests
     without free-text items, those they are assigned to. Coaches see every response, so none are listed for them."""

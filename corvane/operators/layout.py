@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.operators.lookup import needle, pages_with
+
 
 def assign_images(rows: DataFrame, doc: str, order: list[str], page: str, number: Column, image: Column, explicit: DataFrame | None = None) -> DataFrame:
     """(doc, page, image, number): the item that each image belongs to.
@@ -57,11 +59,10 @@ def locate_pages(items: DataFrame, pages: DataFrame, doc: str, order: str, text:
     """(doc, order, page): the first page at or after the previous item's that holds the first 25 characters of the item's first 40, trimmed;
     else the first page with them; else the previous page. The first item starts from page 1.
 
-    Items meet only the pages of their own document; the fold over a document's items runs within its row.
+    Items meet the pages of their own document that an index of runs of 25 characters names; the fold over a document's items runs within its row.
     """
-    needle = F.substring(F.trim(F.substring(F.coalesce(F.col(text), F.lit("")), 1, 40)), 1, 25)
-    rows = items.select(F.col(doc).alias("doc"), F.col(order).alias("at"), needle.alias("needle"))
-    hits = rows.where("needle != ''").join(pages.select(F.col(doc).alias("doc"), "page", F.col("text").alias("page_text")), "doc").where(F.contains("page_text", "needle"))
+    rows = items.select(F.col(doc).alias("doc"), F.col(order).alias("at"), needle(F.col(text)).alias("needle"))
+    hits = pages_with(rows.where("needle != ''"), pages.select(F.col(doc).alias("doc"), "page", "text"))
     found = rows.join(hits.groupBy("doc", "at").agg(F.array_sort(F.collect_set("page")).alias("hits")), ["doc", "at"], "left")
     listed = found.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("at", "hits"))).alias("items"))
     start = F.struct(F.lit(1).alias("page"), F.lit("").alias("out"))

@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.functions.ranks import ranked, running_total
+from corvane.functions.storage import written
+
 
 def _filled(c: str) -> Column:
     return F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) != ""
@@ -152,16 +155,21 @@ def sample_n(pool: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     return pool.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), key).limit(n)
 
 
-def sample_groups(pool: DataFrame, full: DataFrame, group: str, key: str, n: int, seed: int) -> DataFrame:
-    """Whole groups of the pool in a seeded order until n items are reached, each with its members in full.
+def sample_groups(pool: DataFrame, full: DataFrame, group: str, key: str, n: int, seed: int, answered: Column | None = None) -> DataFrame:
+    """(group, key) of whole groups of the pool in a seeded order until n items are reached: all where there are fewer, more where the last group passes n.
 
-    A group has an item at least, so the first n groups of the order suffice, and only these are summed up.
+    A row without a group is a group of its own. A group has its members of the pool and, of full, its other members that are answered (all, by default); both count. keys are
+    unique within a group. Sizes are summed up in two levels, so neither n nor the number of groups is bounded by a task.
     """
-    mixed = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(group).cast("string")))
-    sizes = pool.groupBy(group).agg(F.count("*").alias("size")).orderBy(mixed, group).limit(n)
-    before = F.coalesce(F.sum("size").over(Window.orderBy(mixed, group).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    chosen = sizes.withColumn("before", before).where(F.col("before") < n).select(group)
-    return full.join(F.broadcast(chosen), group, "left_semi")
+    solo = F.concat(F.lit("s"), F.col(key).cast("string"))
+    name = lambda d: F.when(d[group].isNull(), solo).otherwise(F.concat(F.lit("g"), d[group].cast("string"))).alias("name")
+    own = pool.select(name(pool), group, key)
+    more = full.where((F.lit(True) if answered is None else answered) & F.col(group).isNotNull()).select(name(full), group, key)
+    more = more.join(own.select("name").distinct(), "name", "left_semi").join(own.select("name", key), ["name", key], "left_anti").distinct()
+    members = own.unionByName(more)
+    sizes = members.groupBy("name").agg(F.count("*").alias("size")).withColumn("mixed", F.md5(F.concat_ws(":", F.lit(str(seed)), "name")))
+    chosen = running_total(sizes, ["mixed", "name"], "size").where(F.col("before") < n).select("name")
+    return members.join(chosen, "name", "left_semi").select(group, key)
 
 
 def cluster_contexts(rows: DataFrame, order: str, context: Column) -> DataFrame:
@@ -199,7 +207,8 @@ def canonical_item(options: Column, answers: Column, text_answers: Column) -> Co
 
 def unique_keys(rows: DataFrame, name: str, order: str, existing: DataFrame, key: str, longest: int = 32) -> DataFrame:
     """rows with username: the name's letters and digits in lower case, s in front of a digit, student for none, cut to longest; the first free one of
-    name, name2, name3, ... for each row by order. A numbered name takes no existing key and no other row's plain name."""
+    name, name2, name3, ... for each row by order. A numbered name takes no existing key and no other row's plain name. Numbers come from ranks in two levels, so a name that a third of all rows share
+    is no task's alone. Where the numbers of two plain names make one name, as bo and bo1 can, the shorter plain name has it and the other goes on. Runs jobs when called."""
     slug = F.regexp_replace(F.lower(F.coalesce(F.col(name), F.lit(""))), "[^a-z0-9]", "")
     base = F.substring(F.when(slug == "", "student").when(slug.rlike("^[0-9]"), F.concat(F.lit("s"), slug)).otherwise(slug), 1, longest)
     based = rows.select(F.struct("*").alias("row"), F.col(order).alias("by"), base.alias("base"))
@@ -208,13 +217,30 @@ def unique_keys(rows: DataFrame, name: str, order: str, existing: DataFrame, key
     taken = existing.select(F.col(key).alias("taken")).union(based.select("base")).distinct()
     free = based.groupBy("base").agg(F.min("by").alias("first")).join(existing.select(F.col(key).alias("base")).distinct(), "base", "left_anti")
     based = based.join(free, "base", "left").withColumn("own", F.coalesce(F.col("first") == F.col("by"), F.lit(False)))
-    need = based.where("not own").groupBy("stem").agg(F.count("*").alias("need"))
+    todo, done = based.where("not own").select("row", "stem", "by"), based.where("own").select("row.*", F.col("base").alias("username"))
+    while True:
+        named = _numbered(todo, taken).select("row", "stem", "by", F.concat("stem", F.col("number").cast("string")).alias("username"))
+        # bo with 12 and bo1 with 2 are one name: possible only where a plain name ends in a digit, so there are rarely further rounds
+        if not todo.where("stem rlike '[0-9]$'").limit(1).count():
+            return done.union(named.select("row.*", "username"))
+        named = written(named, "named")
+        winner = named.groupBy("username").agg(F.min(F.struct(F.length("stem").alias("n"), "stem"))["stem"].alias("winner"))
+        judged = named.join(winner, "username")
+        kept = judged.where("stem = winner")
+        done = done.union(kept.select("row.*", "username"))
+        todo, taken = written(judged.where("stem <> winner").select("row", "stem", "by"), "todo"), taken.union(kept.select("username"))
+
+
+def _numbered(rows: DataFrame, taken: DataFrame) -> DataFrame:
+    """rows (row, stem, by) with number, from 2: by order, each the next that no taken name has behind its stem."""
     digits = F.length(F.regexp_extract("taken", "[0-9]*$", 0))
     cuts = taken.where(digits > 0).select("taken", F.explode(F.sequence(F.lit(1), digits)).alias("d")).select(F.expr("left(taken, length(taken) - d)").alias("stem"), F.expr("right(taken, d)").alias("tail"))
-    used = cuts.where("tail not like '0%' and length(tail) < 9").select("stem", F.col("tail").cast("int").alias("number")).where("number >= 2").distinct()
-    counts = used.groupBy("stem").agg(F.count("*").alias("used"))
-    tries = need.join(counts, "stem", "left").select("stem", F.explode(F.sequence(F.lit(2), (F.col("need") + F.coalesce("used", F.lit(0)) + 1).cast("int"))).alias("number"))
-    tries = tries.join(used, ["stem", "number"], "left_anti").withColumn("nth", F.row_number().over(Window.partitionBy("stem").orderBy("number")))
-    ranked = based.where("not own").withColumn("nth", F.row_number().over(Window.partitionBy("stem").orderBy("by")))
-    numbered = ranked.join(tries, ["stem", "nth"]).select("row.*", F.concat("stem", F.col("number").cast("string")).alias("username"))
-    return based.where("own").select("row.*", F.col("base").alias("username")).union(numbered)
+    used = cuts.where("tail not like '0%' and length(tail) < 9").select("stem", F.col("tail").cast("long").alias("number")).where("number >= 2").distinct()
+    used = used.join(rows.select("stem").distinct(), "stem", "left_semi")
+    # before the i-th taken number, u, there are u - i - 1 free ones from 2 on; a row of rank k comes after all taken numbers with fewer than k, and so
+    # its place among ranks and these counts, plus 1, is its number
+    none = [F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in ("row", "by")]
+    gaps = ranked(used, ["stem"], ["number"], "i").select("stem", (F.col("number") - F.col("i") - 1).alias("pos"), F.lit(1).alias("gap"), *none)
+    asked = ranked(rows, ["stem"], ["by"], "pos").select("stem", "pos", F.lit(0).alias("gap"), "row", "by")
+    placed = ranked(asked.unionByName(gaps), ["stem"], ["pos", "gap"], "place").where("gap = 0")
+    return placed.select("row", "stem", "by", (F.col("place") + 1).alias("number"))

@@ -113,6 +113,11 @@ def a10_practice(spark, sf_dir):
     return exam.practice_report(graded, "student", "number", "points").select("student", "answered", F.round("earned", 6).alias("earned"), "mistakes", "percent", F.array_join("listed", ",").alias("listed"))
 
 
+def a10_mistakes(spark, sf_dir):
+    graded = g2_matching(spark, sf_dir).withColumn("points", F.col("points") / 6)
+    return exam.practice_mistakes(graded, "points").select("student", "number", F.round("points", 6).alias("points"))
+
+
 def j17_worklist(spark, sf_dir):
     return exam.worklist(_snapshot(spark, sf_dir), _responses(spark, sf_dir), _answers(spark, sf_dir), _manual(spark, sf_dir))
 
@@ -158,7 +163,7 @@ def p6_answer_free(spark, sf_dir):
     return out.select("test", "number", "qtype", "max_points", F.size("matching.left").alias("n_left"), F.size(F.array(*[F.lit(c) for c in out.schema["matching"].dataType.names])).alias("n_fields"))
 
 
-QUERIES = {f.__name__: f for f in (g1_choice, g2_matching, g3_text, g4_auto_grade, g5_manual, g6_release, g7_locked, a7_totals, a8_grid, a9_complete, a10_practice, j7_snapshot, j7_contexts, j7_skipped, j14_visible, j17_worklist, p2_item_type, p6_answer_free)}
+QUERIES = {f.__name__: f for f in (g1_choice, g2_matching, g3_text, g4_auto_grade, g5_manual, g6_release, g7_locked, a7_totals, a8_grid, a9_complete, a10_practice, a10_mistakes, j7_snapshot, j7_contexts, j7_skipped, j14_visible, j17_worklist, p2_item_type, p6_answer_free)}
 
 _S = """snap AS (SELECT p_brand AS test, p_partkey AS number, CASE WHEN p_size % 3 = 0 THEN 'mcq' WHEN p_size % 3 = 1 THEN 'matching' WHEN p_size < 45 AND p_brand <> 'Brand#3' THEN 'frq' ELSE 'mcq' END AS qtype,
     CASE p_size % 4 WHEN 0 THEN 'R' WHEN 1 THEN 'A' WHEN 2 THEN '' ELSE 'N' END AS key, (1 + p_size % 5)::DOUBLE AS max_points FROM part)"""
@@ -196,6 +201,7 @@ SQL = {
     "a10_practice": f"""WITH {_S}, {_A}, g AS (SELECT student, number, {_MATCH} / 6 AS points FROM ans JOIN snap USING (test, number))
         SELECT student, count(*) AS answered, round(sum(points), 6) AS earned, count(*) FILTER (points < 1) AS mistakes, round(100 * sum(points) / count(*), 0) AS percent,
         array_to_string(list_slice(list_sort(list(DISTINCT number) FILTER (points < 1)), 1, 100), ',') AS listed FROM g GROUP BY 1""",
+    "a10_mistakes": f"WITH {_S}, {_A}, g AS (SELECT student, number, {_MATCH} / 6 AS points FROM ans JOIN snap USING (test, number)) SELECT student, number, round(points, 6)::DOUBLE AS points FROM g WHERE points < 1",
     "j7_snapshot": f"{_PUB} SELECT test, doc, number, CASE WHEN coalesce(max_points, 0) = 0 THEN 1 ELSE max_points END::DOUBLE AS max_points, context_id FROM kept JOIN bank USING (doc, number)",
     "j7_contexts": f"{_PUB} SELECT DISTINCT test, doc, context_id, s_name AS title FROM kept JOIN bank USING (doc, number) JOIN supplier ON s_suppkey = doc WHERE context_id <= 3",
     "j7_skipped": f"{_PUB} SELECT test, doc, number FROM kept ANTI JOIN bank USING (doc, number)",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.operators import items, reports, similar
+from corvane.operators import items, lookup, reports, similar
 from corvane.operators.dedup import word_shingles
 
 
@@ -135,8 +135,9 @@ def r5_sample(spark, sf_dir):
 
 
 def r6_group_sample(spark, sf_dir):
-    turns = _t(spark, sf_dir, "conversations")
-    return reports.sample_groups(turns.where("role = 'user'"), turns, "conv_id", "turn", 40, 4).select("conv_id", "turn")
+    """User turns as the pool, two conversations of three being groups, whose long other turns come along."""
+    turns = _t(spark, sf_dir, "conversations").withColumns({"g": F.when(F.col("conv_id") % 3 > 0, F.col("conv_id")), "k": F.col("conv_id") * 1000 + F.col("turn")})
+    return reports.sample_groups(turns.where("role = 'user'"), turns, "g", "k", 60, 4, F.length("text") > 150).select("k")
 
 
 def r2_clusters(spark, sf_dir):
@@ -173,6 +174,22 @@ def k4_unique_keys(spark, sf_dir):
     return reports.unique_keys(rows, "p_name", "p_partkey", existing, "username").select("p_partkey", "username")
 
 
+def _keywords(spark, sf_dir):
+    """Every benchmark item is a topic: its words of six letters or more are its phrases, weighed by their first place."""
+    words = _t(spark, sf_dir, "benchmark").select(F.col("item_id").cast("int").alias("topic_ord"), F.posexplode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{6,}"), F.lit(0)))).alias("k", "phrase"))
+    return words.select(F.concat(F.lit("topic "), "topic_ord").alias("topic"), "topic_ord", "phrase", (F.col("k") % 3 + 1).alias("weight"))
+
+
+def a5_table(spark, sf_dir):
+    return lookup.classify_by_table(_t(spark, sf_dir, "documents").select("doc_id", "text"), "text", _keywords(spark, sf_dir)).select("doc_id", "topic")
+
+
+def j16_price_table(spark, sf_dir):
+    part = _t(spark, sf_dir, "part")
+    prices = part.where("p_partkey % 7 = 0").select(F.expr("left(p_name, 2 + p_partkey % 6)").alias("prefix"), F.col("p_partkey").alias("ord"), F.col("p_size").cast("double").alias("price_in"), F.lit(0.5).alias("price_out"))
+    return lookup.price_by_table(part.select("p_partkey", "p_name"), "p_name", prices, {"price_in": 1.5, "price_out": 7.5}).select("p_partkey", "price_in", "price_out")
+
+
 def d3_similar_pairs(spark, sf_dir):
     return similar.similar_pairs(_t(spark, sf_dir, "documents"), "doc_id", "text", 40).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
@@ -194,7 +211,7 @@ def d6_taken(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_item_flags, p3_practice_pool, p3_matching_pool, p4_builder_page, p5_attention, p7_clean_items, p9_pair_verdicts, a2_doc_status, a3_collections, a4_taxonomy_counts, a6_nested_counts, a11_token_cost, a12_conversation_cost, a13_active_jobs, a14_over_quota, a15_import_report, r1_blank_years, r2_clusters, r3_latest_jobs, r4_truncated_log, r4_log_tail, r5_sample, r6_group_sample, r8_page, k2_numbers, k3_canonical, k4_unique_keys, d3_similar_pairs, d3_jaccard, d5_greedy, d6_taken, w6_interrupted)
+    for f in (p1_item_flags, p3_practice_pool, p3_matching_pool, p4_builder_page, p5_attention, p7_clean_items, p9_pair_verdicts, a2_doc_status, a3_collections, a4_taxonomy_counts, a6_nested_counts, a11_token_cost, a12_conversation_cost, a13_active_jobs, a14_over_quota, a15_import_report, r1_blank_years, r2_clusters, r3_latest_jobs, r4_truncated_log, r4_log_tail, r5_sample, r6_group_sample, r8_page, k2_numbers, k3_canonical, k4_unique_keys, a5_table, j16_price_table, d3_similar_pairs, d3_jaccard, d5_greedy, d6_taken, w6_interrupted)
 }
 
 _I = """i AS (SELECT CASE p_size % 5 WHEN 0 THEN '_generated_' WHEN 1 THEN '_scraped_' ELSE '' END || p_brand AS doc, p_partkey AS number, p_type AS topic, p_name AS text, p_size % 3 = 0 AS mcq, p_size % 4 = 0 AS img,
@@ -241,8 +258,10 @@ SQL = {
         SELECT user_id, line_no, line FROM l WHERE line_no > n - 40 UNION ALL SELECT DISTINCT user_id, n - 40, '... ' || (n - 40) || ' earlier lines dropped' FROM l WHERE n > 40""",
     "r4_log_tail": "SELECT user_id, (row_number() OVER (PARTITION BY user_id ORDER BY event_id))::INT AS line_no, event_id::VARCHAR AS line FROM events QUALIFY line_no > 60",
     "r5_sample": f"WITH {_I} SELECT number FROM i WHERE status = 'correct' ORDER BY md5('4:' || number), number LIMIT 25",
-    "r6_group_sample": """WITH g AS (SELECT conv_id, count(*) AS n FROM conversations WHERE role = 'user' GROUP BY 1), s AS (SELECT conv_id, sum(n) OVER (ORDER BY md5('4:' || conv_id), conv_id) - n AS before FROM g)
-        SELECT conv_id, turn FROM conversations WHERE conv_id IN (SELECT conv_id FROM s WHERE before < 40)""",
+    "r6_group_sample": """WITH t AS (SELECT role, CASE WHEN conv_id % 3 > 0 THEN 'g' || conv_id ELSE 's' || (conv_id * 1000 + turn) END AS name, conv_id % 3 > 0 AS grouped, conv_id * 1000 + turn AS k, length(text) > 150 AS answered FROM conversations),
+        m AS (SELECT name, k FROM t WHERE role = 'user' UNION ALL SELECT name, k FROM t WHERE role <> 'user' AND grouped AND answered AND name IN (SELECT name FROM t WHERE role = 'user')),
+        z AS (SELECT name, count(*) AS n FROM m GROUP BY 1), b AS (SELECT name, sum(n) OVER (ORDER BY md5('4:' || name), name) - n AS before FROM z)
+        SELECT k FROM m WHERE name IN (SELECT name FROM b WHERE before < 60)""",
     "r8_page": "SELECT p_partkey AS number, p_type AS topic FROM part WHERE p_type = 'PROMO' ORDER BY 1 LIMIT 100",
     "k2_numbers": "SELECT o_orderkey, 500 + row_number() OVER (ORDER BY o_orderkey) AS number FROM orders WHERE o_orderstatus = 'F'",
     "k3_canonical": """SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN '' WHEN 1 THEN 'A=' || p_name || '|C=' || p_type ELSE 'A=' || p_name || '|B=' || p_brand || '|C=' || p_type END AS choices,
@@ -252,6 +271,14 @@ SQL = {
         f AS (SELECT base, k, row_number() OVER (PARTITION BY base ORDER BY k) AS nth FROM (SELECT DISTINCT base FROM b), range(2, 2000) t(k) WHERE base || k NOT IN (SELECT u FROM x)),
         n AS (SELECT *, base NOT IN (SELECT u FROM x) AS open FROM b)
         SELECT p_partkey, CASE WHEN open AND r = 1 THEN n.base ELSE n.base || k END AS username FROM n LEFT JOIN f ON f.base = n.base AND f.nth = n.r - open::INT""",
+    "a5_table": """WITH w AS (SELECT item_id, list_filter(list_transform(regexp_extract_all(lower(text), '[a-z]{6,}'), lambda x: x), lambda x: true) AS w FROM benchmark),
+        u AS (SELECT item_id, unnest(w) AS phrase, unnest(range(len(w))) AS k FROM w), f AS (SELECT item_id, phrase, min(k) AS k FROM u GROUP BY ALL),
+        kw AS (SELECT item_id, phrase, (row_number() OVER (PARTITION BY item_id ORDER BY k) - 1) % 3 + 1 AS weight FROM f),
+        h AS (SELECT doc_id, phrase FROM documents, (SELECT DISTINCT phrase FROM kw) p WHERE contains(lower(coalesce(text, '')), phrase)),
+        s AS (SELECT doc_id, item_id, sum(weight) AS score FROM h JOIN kw USING (phrase) GROUP BY ALL), b AS (SELECT doc_id, item_id FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, item_id) = 1)
+        SELECT doc_id, coalesce('topic ' || item_id, 'Other / General') AS topic FROM documents LEFT JOIN b USING (doc_id)""",
+    "j16_price_table": """WITH p AS (SELECT left(p_name, (2 + p_partkey % 6)::INT) AS prefix, p_partkey AS ord, p_size::DOUBLE AS price_in FROM part WHERE p_partkey % 7 = 0)
+        SELECT p_partkey, coalesce((SELECT arg_min(price_in, ord) FROM p WHERE starts_with(p_name, prefix)), 1.5)::DOUBLE AS price_in, (CASE WHEN EXISTS (SELECT 1 FROM p WHERE starts_with(p_name, prefix)) THEN 0.5 ELSE 7.5 END)::DOUBLE AS price_out FROM part""",
     "d3_similar_pairs": f"WITH {_DG}, {_PAIRS} SELECT a, b, round(sim, 6) AS similarity FROM pr",
     "d3_jaccard": f"WITH {_DG}, {_BG} SELECT s.id AS doc_id, CASE WHEN len(s.s) = 0 OR len(bs.s) = 0 THEN 0.0 ELSE round(len(list_intersect(s.s, bs.s)) / (len(s.s) + len(bs.s) - len(list_intersect(s.s, bs.s))), 6) END::DOUBLE AS similarity FROM s JOIN bs ON s.id % 40 = bs.id",
     "d5_greedy": f"{_GREEDY} SELECT doc_id, reason IS NULL AS kept, reason, matched FROM j",
