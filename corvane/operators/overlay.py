@@ -126,6 +126,20 @@ def restore(current: DataFrame, snapshots: DataFrame, key: str, doc: Column, sav
     return replace_docs(current, snapshot, key)
 
 
+def restore_parts(current: dict[str, DataFrame], snapshots: dict[str, DataFrame], held: DataFrame, key: str, doc: Column, saved_at: str, at: Column) -> dict[str, DataFrame]:
+    """Every part (a table: items, edits, manual choices) of current with one document's rows as they were in its snapshot at a time.
+
+    held (key, saved_at, part) says which parts a snapshot has, empty ones too: those are replaced, by nothing if they were empty; others stay as they are.
+    """
+    asked = held.where((F.col(key) == doc) & (F.col(saved_at) == at))
+    out = {}
+    for part, rows in current.items():
+        there = asked.where(F.col("part") == part).select(key).distinct()
+        saved = snapshots[part].where((F.col(key) == doc) & (F.col(saved_at) == at)).drop(saved_at).join(there, key, "left_semi")
+        out[part] = rows.join(there, key, "left_anti").unionByName(saved, allowMissingColumns=True)
+    return out
+
+
 def list_snapshots(snapshots: DataFrame, key: str, saved_at: str) -> DataFrame:
     """(key, saved_at, items, rank): the snapshots of each document, newest first."""
     per = snapshots.groupBy(key, saved_at).agg(F.count("*").alias("items"))

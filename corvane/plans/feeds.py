@@ -63,6 +63,16 @@ def w5_edit_overlay(spark, sf_dir):
     return feeds.overlay(spark, f"{base}/table", keys, "value", ["ts", "event_id"])
 
 
+def w5_folded_overlay(spark, sf_dir):
+    """Edits by user, folded into a base after the first stream run; a second run finds nothing more and reads the base."""
+    feed = _events(spark, sf_dir).select("user_id", "ts", "event_id", "value")
+    base, keys, order = shared_folder(spark, "w5"), ["user_id"], ["ts", "event_id"]
+    for _ in range(2):
+        feeds.merge_edits(feed, f"{base}/table", f"{base}/checkpoint", keys, "value", order).awaitTermination()
+        feeds.fold_edits(spark, f"{base}/table", keys, "value", order)
+    return feeds.overlay(spark, f"{base}/table", keys, "value", order)
+
+
 def w6_job_states(spark, sf_dir):
     feed = _events(spark, sf_dir).select((F.col("event_id") % 700).cast("string").alias("job"), (F.col("event_id") % 700 % 9).cast("string").alias("slug"), F.col("event_type").alias("status"), F.col("ts").cast("timestamp").alias("ts"), _micros("ts").alias("at"), F.col("event_id").alias("seq"))
     changes = feeds.job_states(feed.withWatermark("ts", "0 seconds"), 3 * 86_400, ("click", "view"), event_time=True)
@@ -73,7 +83,7 @@ def w7_usage_tally(spark, sf_dir):
     tally = feeds.usage_tally(_events(spark, sf_dir), "event_type", {"tokens": F.floor("value").cast("long"), "last_id": F.lit(1).cast("long")})
     base = shared_folder(spark, "w7")
     feeds.write_tally(tally, f"{base}/table", f"{base}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{base}/table").select("event_type", "calls", "tokens")
+    return feeds.read_tally(spark, f"{base}/table").select("event_type", "calls", "tokens")
 
 
 def w8_new_documents(spark, sf_dir):
@@ -85,7 +95,7 @@ def w8_new_documents(spark, sf_dir):
     return spark.read.parquet(f"{base}/table")
 
 
-QUERIES = {f.__name__: f for f in (w1_autosave, w2_gate, w3_start_stream, w4_limiter_stream, w5_edit_overlay, w6_job_states, w7_usage_tally, w8_new_documents)}
+QUERIES = {f.__name__: f for f in (w1_autosave, w2_gate, w3_start_stream, w4_limiter_stream, w5_edit_overlay, w5_folded_overlay, w6_job_states, w7_usage_tally, w8_new_documents)}
 
 _E = """e AS (SELECT strftime(ts, '%Y-%m-%d') AS test, user_id::VARCHAR AS username, user_id, CASE event_type WHEN 'signup' THEN 'start' WHEN 'purchase' THEN 'submit' ELSE 'save' END AS kind, (event_id % 3)::VARCHAR AS number, value::VARCHAR AS answer, ts, event_id AS seq,
     epoch_us(ts) - epoch_us(date_trunc('day', ts)) AS us FROM events)"""
@@ -110,6 +120,7 @@ SQL = {
         c AS (SELECT s.event_id AS seq, count(f.ts) AS recent FROM s LEFT JOIN events f ON f.event_type = 'click' AND f.user_id = s.user_id AND (f.ts, f.event_id) <= (s.ts, s.event_id) AND f.ts > s.ts - INTERVAL 5 DAY AND (s.cleared IS NULL OR (f.ts, f.event_id) > s.cleared) GROUP BY s.event_id)
         SELECT seq, recent::INT AS recent, recent >= 3 AS blocked FROM c""",
     "w5_edit_overlay": "SELECT user_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1",
+    "w5_folded_overlay": "SELECT user_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
     # what was last heard of a running job at least three days before the end of the feed
     "w6_job_states": """WITH j AS (SELECT (event_id % 700)::VARCHAR AS job, (event_id % 700 % 9)::VARCHAR AS slug, ts, event_type, event_id AS seq FROM events QUALIFY row_number() OVER (PARTITION BY event_id % 700 ORDER BY ts DESC, event_id DESC) = 1)
         SELECT job, slug, CASE WHEN event_type IN ('click', 'view') AND ts + INTERVAL 3 DAY <= (SELECT max(ts) FROM events) THEN 'interrupted' ELSE event_type END AS status, seq FROM j""",

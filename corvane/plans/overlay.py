@@ -107,6 +107,20 @@ def s11_restore(spark, sf_dir):
     return overlay.restore(current, _snapshots(spark, sf_dir), "doc", F.lit(7), "saved_at", F.lit("1996-01-01").cast("timestamp"))
 
 
+def s11_restore_parts(spark, sf_dir):
+    """Items are orders, edits their lines; the snapshot of customer 7 has items only, that of customer 10 both, its edits being empty."""
+    orders = _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc"), F.col("o_orderkey").alias("number"))
+    edits = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("number"), "l_linenumber").join(orders, "number").select("doc", "number", F.col("l_linenumber").alias("field"))
+    at = F.lit("1996-01-01").cast("timestamp")
+    saved = orders.where("number % 2 = 0").withColumn("saved_at", at)
+    held = orders.select("doc", at.alias("saved_at")).distinct()
+    held = held.withColumn("part", F.lit("items")).union(held.where("doc % 10 = 0").withColumn("part", F.lit("edits")))
+    none = edits.where("false").withColumn("saved_at", at)
+    out = [overlay.restore_parts({"items": orders, "edits": edits}, {"items": saved, "edits": none}, held, "doc", F.lit(doc), "saved_at", at) for doc in (7, 10)]
+    counted = [part.groupBy(F.lit(doc).alias("restored"), F.lit(name).alias("part")).agg(F.count("*").alias("n"), F.sum("number").alias("numbers")) for doc, parts in zip((7, 10), out, strict=True) for name, part in parts.items()]
+    return counted[0].union(counted[1]).union(counted[2]).union(counted[3])
+
+
 def s12_expire(spark, sf_dir):
     kept, _ = overlay.expire(_snapshots(spark, sf_dir), "saved_at", 1000, F.lit("1999-06-01").cast("timestamp"))
     return kept.groupBy("saved_at").agg(F.count("*").alias("n"))
@@ -122,7 +136,7 @@ def p8_backfill_audit(spark, sf_dir):
     return overlay.backfill_audit(items, meta, "c_custkey", "by", "at", F.lit("admin"), F.lit("2024-01-01").cast("timestamp")).select("o_orderkey", "by", "at")
 
 
-QUERIES = {f.__name__: f for f in (e1_deletes, e2_first_adds, e3_overrides, e4_images, e5_verdicts, e6_patch_state, e7_delete_document, e8_changed_items, e9_change_summary, j2_effective_meta, u1_replace_docs, s11_list_snapshots, s11_restore, s12_expire, s12_counts, p8_backfill_audit)}
+QUERIES = {f.__name__: f for f in (e1_deletes, e2_first_adds, e3_overrides, e4_images, e5_verdicts, e6_patch_state, e7_delete_document, e8_changed_items, e9_change_summary, j2_effective_meta, u1_replace_docs, s11_list_snapshots, s11_restore, s11_restore_parts, s12_expire, s12_counts, p8_backfill_audit)}
 
 _ITEMS = "i AS (SELECT o_custkey AS doc, o_orderkey AS number, o_orderpriority AS topic, o_orderstatus AS answer FROM orders)"
 SQL = {
@@ -160,6 +174,9 @@ SQL = {
         SELECT *, row_number() OVER (PARTITION BY doc ORDER BY saved_at DESC) AS rank FROM s""",
     "s11_restore": """WITH s AS (SELECT o_custkey AS doc, o_orderkey AS number FROM orders WHERE o_custkey = 7 AND year(o_orderdate) = 1996)
         SELECT o_custkey AS doc, o_orderkey AS number FROM orders WHERE o_custkey NOT IN (SELECT doc FROM s) UNION ALL SELECT * FROM s""",
+    "s11_restore_parts": """WITH r AS (SELECT unnest([7, 10]) AS restored), e AS (SELECT o_custkey AS doc, o_orderkey AS number FROM lineitem JOIN orders ON o_orderkey = l_orderkey)
+        SELECT restored, 'items' AS part, count(*) AS n, sum(o_orderkey)::BIGINT AS numbers FROM r JOIN orders ON o_custkey <> restored OR o_orderkey % 2 = 0 GROUP BY 1
+        UNION ALL SELECT restored, 'edits', count(*), sum(number)::BIGINT FROM r JOIN e ON restored = 7 OR doc <> restored GROUP BY 1""",
     "s12_expire": "SELECT date_trunc('year', o_orderdate)::TIMESTAMP AS saved_at, count(*) AS n FROM orders WHERE date_trunc('year', o_orderdate) >= TIMESTAMP '1999-06-01' - INTERVAL 1000 DAY GROUP BY 1",
     "s12_counts": "SELECT count(*) FILTER (date_trunc('year', o_orderdate) < TIMESTAMP '1999-06-01' - INTERVAL 1000 DAY) AS removed, count(*) FILTER (date_trunc('year', o_orderdate) >= TIMESTAMP '1999-06-01' - INTERVAL 1000 DAY) AS kept FROM orders",
     "p8_backfill_audit": """SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'someone' ELSE 'admin' END AS by,

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions.storage import shared_folder
-from corvane.sources import bank, pages
+from corvane.sources import bank, pages, states
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,34 @@ def s1_bank_contexts(spark, sf_dir):
     return bank.bank_contexts(_states(spark, sf_dir)).select("collection", "key", "title")
 
 
+def _state_files(spark, sf_dir) -> DataFrame:
+    """A state file per nation, indented over many lines: documents are customers, items their orders; every seventh is cut off."""
+    orders = _t(spark, sf_dir, "orders").join(_t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("slug")), "o_custkey")
+    item = F.struct(F.col("o_orderkey").cast("string").alias("number"), F.col("o_orderpriority").alias("topic"), F.year("o_orderdate").alias("year"), F.when(F.col("o_orderstatus") == "F", F.struct(F.lit("correct").alias("status"))).alias("validation"))
+    docs = orders.groupBy("slug", F.concat(F.lit("d"), "o_custkey").alias("doc")).agg(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", item.alias("item")))), lambda x: x["item"]).alias("items"), F.min("o_orderkey").alias("least"), F.max("o_orderkey").alias("most"))
+    context = F.array(F.struct(F.lit("c1").alias("id"), F.col("doc").alias("title")), F.struct(F.lit("").alias("id"), F.lit("no id").alias("title")))
+    changed = F.to_json(F.struct(F.lit("x").alias("topic"), F.lit(None).cast("string").alias("answer")), {"ignoreNullFields": "false"})
+    overrides = F.when(F.col("least") % 2 == 0, F.map_from_arrays(F.array(F.col("least").cast("string")), F.array(F.from_json(changed, "topic string, answer string"))))
+    note = F.struct(context.alias("contexts"), F.array(F.col("most").cast("string")).alias("deleted"), overrides.alias("field_overrides"))
+    files = docs.groupBy("slug").agg(F.map_from_entries(F.collect_list(F.struct("doc", "items"))).alias("questions"), F.map_from_entries(F.collect_list(F.struct("doc", note.alias("n")))).alias("annotations"))
+    text = F.to_json(F.struct(F.when(F.col("slug") % 3 > 0, F.lit(2)).alias("_schema_version"), "questions", "annotations"), {"pretty": "true", "ignoreNullFields": "false"})
+    path = shared_folder(spark, "state-files")
+    files.select("slug", F.when(F.col("slug") % 7 == 6, F.substring(text, 1, 200)).otherwise(text).alias("value")).repartition("slug").write.partitionBy("slug").text(path)
+    return states.read_state_files(spark, path, F.regexp_extract("_metadata.file_path", "slug=([0-9]+)", 1))
+
+
+def s1_state_items(spark, sf_dir):
+    return states.state_items(_state_files(spark, sf_dir)).select("collection", "doc", "ord", "number", "topic", "year", F.col("validation.status").alias("status"))
+
+
+def s1_state_contexts(spark, sf_dir):
+    return states.state_contexts(_state_files(spark, sf_dir)).select("collection", "key", "title")
+
+
+def s1_state_edits(spark, sf_dir):
+    return states.state_edits(_state_files(spark, sf_dir)).select("collection", "doc", "kind", "number", "field", "value")
+
+
 def s2_upgraded(spark, sf_dir):
     states = _states(spark, sf_dir)
     return states.groupBy("_schema_version", F.col("annotations").isNotNull().alias("annotated"), F.col("pdf_meta").isNotNull().alias("meta")).agg(F.count("*").alias("n"))
@@ -165,7 +193,7 @@ def s13_article_text(spark, sf_dir):
     return out.select("page_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (s1_bank_items, s1_bank_contexts, s2_upgraded, s2_status, s3_manifest, s3_pending, s4_inventory, s5_sources, s6_created, s6_errors, s6_rostered, s7_candidates, s7_quarantine, s8_csv_round_trip, s9_json_round_trip, s10_snapshots, s13_page_text, s13_article_text)}
+QUERIES = {f.__name__: f for f in (s1_bank_items, s1_bank_contexts, s1_state_items, s1_state_contexts, s1_state_edits, s2_upgraded, s2_status, s3_manifest, s3_pending, s4_inventory, s5_sources, s6_created, s6_errors, s6_rostered, s7_candidates, s7_quarantine, s8_csv_round_trip, s9_json_round_trip, s10_snapshots, s13_page_text, s13_article_text)}
 
 _SOUND = "o_custkey % 50 <> 7"
 _M = """m AS (SELECT p_brand, p_partkey AS k, p_size FROM part WHERE contains(p_name, 'red') OR contains(p_name, 'gizmo')),
@@ -190,7 +218,13 @@ for _pattern, _by in (("(?is)<script\\b.*?</script\\s*>", "''"), ("(?s)<!--.*?--
 for _entity, _char in (("&nbsp;", "' '"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "'\"'"), ("&#39;", "''''"), ("&amp;", "'&'")):
     _WIKI = f"replace({_WIKI}, '{_entity}', {_char})"
 _WIKI = f"regexp_replace(regexp_replace(regexp_replace({_WIKI}, '[ \\t]*\\n[ \\t]*', chr(10), 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g')"
+_F = "f AS (SELECT c_nationkey::VARCHAR AS collection, 'd' || o_custkey AS doc, o_orderkey AS k, o_orderpriority AS topic, o_orderstatus AS s, year(o_orderdate) AS y FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_nationkey % 7 <> 6)"
 SQL = {
+    "s1_state_items": f"WITH {_F} SELECT collection, doc, (row_number() OVER (PARTITION BY doc ORDER BY k) - 1)::INT AS ord, k::VARCHAR AS number, topic, y::VARCHAR AS year, CASE WHEN s = 'F' THEN 'correct' END AS status FROM f",
+    "s1_state_contexts": f"WITH {_F} SELECT DISTINCT collection, doc || '::c1' AS key, doc AS title FROM f",
+    "s1_state_edits": f"""WITH {_F}, d AS (SELECT collection, doc, min(k) AS least, max(k) AS most FROM f GROUP BY ALL)
+        SELECT collection, doc, 'delete' AS kind, most::VARCHAR AS number, NULL AS field, NULL AS value FROM d
+        UNION ALL SELECT collection, doc, 'override', least::VARCHAR, 'topic', 'x' FROM d WHERE least % 2 = 0 UNION ALL SELECT collection, doc, 'override', least::VARCHAR, 'answer', NULL FROM d WHERE least % 2 = 0""",
     "s1_bank_items": f"SELECT o_custkey::VARCHAR AS collection, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1)::INT AS ord, o_orderkey::VARCHAR AS number, o_orderpriority AS topic, o_orderstatus AS choice, 1 AS images, CASE WHEN o_orderstatus = 'F' THEN 'correct' END AS status FROM orders WHERE {_SOUND}",
     "s1_bank_contexts": f"SELECT DISTINCT o_custkey::VARCHAR AS collection, 'd1::c1' AS key, o_custkey::VARCHAR AS title FROM orders WHERE {_SOUND}",
     "s2_upgraded": f"SELECT CASE WHEN {_SOUND} THEN 3 END AS _schema_version, o_custkey % 3 = 0 AND {_SOUND} AS annotated, {_SOUND} AS meta, count(DISTINCT o_custkey) AS n FROM orders GROUP BY ALL",

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from corvane.functions import versions
+
 #: Fixed value: the state store that transformWithState needs.
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _SAVES = "test string, username string, number string, answer string, at long, seq long, outcome string"
@@ -178,18 +180,45 @@ def last_states(changes: DataFrame) -> DataFrame:
 
 
 def merge_edits(feed: DataFrame, path: str, checkpoint: str, keys: list[str], value: str, order: list[str]) -> StreamingQuery:
-    """Write the last edit of each key and micro-batch below path, one folder a batch, so that a repeated batch replaces its own; read with overlay."""
+    """Write the last edit of each key and micro-batch below path, one folder a batch, so that a repeated batch replaces its own; read with overlay, and fold with fold_edits."""
 
     def write(batch: DataFrame, number: int) -> None:
-        last = batch.groupBy(*keys).agg(F.max(F.struct(*order, value)).alias("edit")).select(*keys, "edit.*")
-        last.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        folded = versions.current(batch.sparkSession, path)
+        if folded is None or number > folded[1]:  # a batch that is part of the base was written in full before
+            last = batch.groupBy(*keys).agg(F.max(F.struct(*order, value)).alias("edit")).select(*keys, "edit.*")
+            last.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return feed.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _edits(spark: SparkSession, path: str, keys: list[str], value: str, order: list[str]) -> tuple[DataFrame, tuple[int, int], list[int]]:
+    """The last edit of each key with its order, the marker, and the finished batches that are not in its base."""
+    version, upto = versions.current(spark, path) or (-1, -1)
+    batches = [n for n in versions.folders(spark, path, "batch") if n > upto]
+    names = [f"base={version}"] * (version >= 0) + [f"batch={n}" for n in batches]
+    rows = versions.read_folders(spark, path, names).groupBy(*keys).agg(F.max(F.struct(*order, value)).alias("edit"))
+    return rows.select(*keys, "edit.*"), (version, upto), batches
+
+
+def fold_edits(spark: SparkSession, path: str, keys: list[str], value: str, order: list[str]) -> int:
+    """Fold the finished batches into a new base, and drop what it replaces; the number of batches folded.
+
+    The base is written first, then the marker, then old folders go. After a crash in between, readers go by the last marker: before it the old base and
+    all batches, after it the new base and later ones; the next fold overwrites or drops what was left.
+    """
+    rows, (version, upto), batches = _edits(spark, path, keys, value, order)
+    if batches:
+        rows.write.mode("overwrite").parquet(f"{path}/base={version + 1}")
+        versions.mark(spark, path, version + 1, batches[-1])
+        upto, version = batches[-1], version + 1
+    versions.drop(spark, path, "batch", [n for n in versions.folders(spark, path, "batch", whole=False) if n <= upto])
+    versions.drop(spark, path, "base", [n for n in versions.folders(spark, path, "base", whole=False) if n != version])
+    return len(batches)
+
+
 def overlay(spark: SparkSession, path: str, keys: list[str], value: str, order: list[str]) -> DataFrame:
-    """(keys, value): the last edit over all batches that merge_edits has written."""
-    return spark.read.parquet(path).groupBy(*keys).agg(F.max_by(value, F.struct(*order)).alias(value))
+    """(keys, value): the last edit over the base and all finished batches since that merge_edits has written."""
+    return _edits(spark, path, keys, value, order)[0].select(*keys, value)
 
 
 def usage_tally(feed: DataFrame, key: str, sums: dict[str, Column]) -> DataFrame:
@@ -198,8 +227,20 @@ def usage_tally(feed: DataFrame, key: str, sums: dict[str, Column]) -> DataFrame
 
 
 def write_tally(tally: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Keep the whole tally, a row per key, at path."""
-    return tally.writeStream.outputMode("complete").foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Keep the whole tally, a row per key, below path; read with read_tally. A version is a folder of its own and counts once it is whole; the one before it goes."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{path}/version={number}")
+        versions.mark(spark, path, number, number)
+        versions.drop(spark, path, "version", [n for n in versions.folders(spark, path, "version", whole=False) if n < number])
+
+    return tally.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_tally(spark: SparkSession, path: str) -> DataFrame:
+    """The last whole tally that write_tally has written."""
+    return spark.read.parquet(f"{path}/version={versions.current(spark, path)[0]}")
 
 
 def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:

@@ -1,8 +1,10 @@
+import json
+
 from pyspark.sql import functions as F
 
 from corvane.functions.storage import shared_folder
 from corvane.operators import overlay, similar
-from corvane.sources import bank
+from corvane.sources import bank, states
 
 
 def test_states_of_all_versions(spark):
@@ -64,3 +66,23 @@ def test_greedy_dedup_of_chains(spark):
             kept += [] if near else [k]
     got = {r.doc_id: (r.kept, r.reason, r.matched) for r in similar.dedup_greedy(docs, items).collect()}
     assert got == want and any(w[1] == "batch" for w in want.values()) and len(kept) >= 3
+
+
+def test_state_files_as_they_are_written(spark, tmp_path):
+    state = {
+        "questions": {"d.pdf": [{"number": "1", "text": "a\nb", "choices": [{"letter": "A", "text": "x"}], "year": 2024, "images": ["i.png"]}, {"number": "1b", "matching": {"left": [{"label": "1", "text": "l"}], "pairs": {"1": "A"}}}], "e.pdf": []},
+        "annotations": {"d.pdf": {"contexts": [{"id": "c1", "title": "T", "text": "t"}, {"title": "no id"}], "deleted": ["3"], "field_overrides": {"1": {"topic": "x", "answer": None, "choices": [{"letter": "B"}]}}, "added": [{"number": "9", "text": "new"}], "image_overrides": {"assignments": {"a.png": "5", "b.png": ["5", "7"]}, "detached": ["c.png"]}}},
+        "vision": {"ignored": [1]},
+    }
+    (tmp_path / "circuits.json").write_text(json.dumps(state, indent=2))
+    (tmp_path / "broken.json").write_text(json.dumps(state, indent=2)[:300])
+    (tmp_path / "old.json").write_text(json.dumps({"questions": {}, "vision": {}}, indent=2))
+    read = states.read_state_files(spark, f"file://{tmp_path}").cache()
+    assert sorted((r.collection, r._schema_version, r.pdf_meta) for r in read.where("_corrupt_record is null").collect()) == [("circuits", 3, {}), ("old", 3, {})]
+    items = states.state_items(read).orderBy("ord").collect()
+    assert [(r.collection, r.doc, r.ord, r.number, r.year) for r in items] == [("circuits", "d.pdf", 0, "1", "2024"), ("circuits", "d.pdf", 1, "1b", None)]
+    assert items[0].text == "a\nb" and items[1].matching.pairs == {"1": "A"}
+    assert [(r.key, r.title) for r in states.state_contexts(read).collect()] == [("d.pdf::c1", "T")]
+    edits = {(r.kind, r.number, r.field): r.value for r in states.state_edits(read).collect()}
+    assert json.loads(edits.pop(("override", "1", "choices"))) == [{"letter": "B"}] and json.loads(edits.pop(("add", "9", None)))["text"] == "new"
+    assert edits == {("delete", "3", None): None, ("override", "1", "topic"): "x", ("override", "1", "answer"): None, ("attach", "5", "a.png"): None, ("attach", "5", "b.png"): None, ("attach", "7", "b.png"): None, ("detach", None, "c.png"): None}
