@@ -20,7 +20,7 @@ BASE_PATTERNS = {
 }
 #: Wide generators of further spans, whose proposals the boosted trees accept or refuse.
 MORE_PATTERNS = {
-    "email_spelled": r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{1,64}+ ?[\[(]at[\])] ?[A-Za-z0-9-]{1,63}+(?: ?(?:\.|[\[(]dot[\])]) ?[A-Za-z0-9-]{1,63}+){1,4}+",
+    "email_spelled": r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]++ ?[\[(]at[\])] ?[A-Za-z0-9-]++(?: ?(?:\.|[\[(]dot[\])]) ?[A-Za-z0-9-]++)++",
     "phone_local": r"(?<![0-9+.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[.-][0-9]{4}(?![0-9-])",
     "national_id": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}+(?: ?[A-Z0-9]{1,3})?+(?![A-Za-z0-9])",
@@ -76,22 +76,64 @@ def _valid(kind: Column) -> str:
     )
 
 
+#: Matches of a run: a text's matches are placed run by run, so that a text of very many costs in proportion to their number.
+RUN = 256
+#: Characters before a match that its features read.
+CONTEXT = 32
+
+
+def _let(value: Column, body) -> Column:
+    """body of value, which is made once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _runs(items: Column) -> Column:
+    """items in arrays of RUN."""
+    last = F.ceil(F.size(items) / RUN).cast("int") - 1
+    runs = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda k: F.slice(items, k * RUN + 1, RUN))
+    return F.when(F.size(items) > 0, runs).otherwise(F.slice(runs, 1, 0))
+
+
 def _matches(kind: str, text: Column) -> Column:
     """All (kind, start, end, text, before) of a kind; places come from the lengths of what lies between matches."""
     pattern = F.lit(PATTERNS[kind])
     found = F.regexp_extract_all(text, pattern, F.lit(0))
     none = F.array().cast("array<struct<kind:string,start:int,end:int,text:string,before:string>>")
     gaps = F.split(text, PATTERNS[kind], -1)
-    pairs = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda m, g: F.struct(m.alias("m"), g.alias("g")))
-    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    pairs = _let(found, lambda f: F.zip_with(f, F.slice(gaps, 1, F.size(f)), lambda m, g: F.struct(m.alias("m"), F.length(m).alias("n"), F.length(g).alias("gap"), F.right(g, F.lit(CONTEXT)).alias("before"))))
+
+    def placed(run: Column, begin: Column) -> Column:
+        """The spans of one run, of which the first gap begins at begin."""
+
+        def step(acc: Column, p: Column) -> Column:
+            start = acc["at"] + p["gap"]
+            end = start + p["n"]
+            span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), p["m"].alias("text"), p["before"].alias("before"))
+            return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+
+        return F.aggregate(run, F.struct(begin.alias("at"), none.alias("out")), step, lambda acc: acc["out"])
 
-    def step(acc: Column, p: Column) -> Column:
-        begin = acc["at"] + F.length(p["g"])
-        end = begin + F.length(p["m"])
-        span = F.struct(F.lit(kind).alias("kind"), begin.alias("start"), end.alias("end"), p["m"].alias("text"), F.right(p["g"], F.lit(32)).alias("before"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+    def whole(runs: Column) -> Column:
+        sizes = F.transform(runs, lambda r: F.aggregate(r, F.lit(0), lambda n, p: n + p["gap"] + p["n"]))
+        return _let(sizes, lambda s: F.flatten(F.transform(runs, lambda r, k: placed(r, F.aggregate(F.slice(s, 1, k), F.lit(0), lambda n, x: n + x)))))
 
-    return F.when(GATES[kind](text) & text.rlike(PATTERNS[kind]), F.aggregate(pairs, start, step, lambda acc: acc["out"])).otherwise(none)
+    spans = _let(_let(pairs, _runs), whole)
+    return F.when(GATES[kind](text) & text.rlike(PATTERNS[kind]), spans).otherwise(none)
+
+
+def _stretches(spans: Column) -> Column:
+    """spans in runs with the places they reach over; spans of a kind are in order and do not overlap, so few runs reach over any one place."""
+    return F.transform(_let(spans, _runs), lambda r: F.struct(F.array_min(F.transform(r, lambda x: x["start"])).alias("low"), F.array_max(F.transform(r, lambda x: x["end"])).alias("high"), r.alias("items")))
+
+
+def _free(spans: Column, others: Column, beats) -> Column:
+    """The spans that no other one overlaps which beats(other, span)."""
+
+    def clear(m: Column, runs: Column) -> Column:
+        near = F.filter(runs, lambda r: (r["low"] < m["end"]) & (m["start"] < r["high"]))
+        return ~F.exists(near, lambda r: F.exists(r["items"], lambda o: (o["start"] < m["end"]) & (m["start"] < o["end"]) & beats(o, m)))
+
+    return F.when(F.size(spans) > 0, _let(_stretches(others), lambda runs: F.filter(spans, lambda m: clear(m, runs)))).otherwise(spans)
 
 
 def candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -221,7 +263,12 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     base = F.expr("filter(spans, s -> coalesce(s.valid, false))")
     scored = F.expr(f"transform(filter(spans, s -> s.valid is null), s -> struct(s.kind, s.start, s.end, {_score(bias, trees, 's')} as score))")
     rows = rows.select("i", base.alias("base"), scored.alias("more"))
-    rows = rows.withColumn("more", F.expr(f"filter(more, m -> m.score >= {least!r}D and not exists(base, b -> b.start < m.end and m.start < b.end))"))
-    better = "o.score > m.score or (o.score = m.score and (o.start < m.start or (o.start = m.start and (o.end > m.end or (o.end = m.end and o.kind < m.kind)))))"
-    rows = rows.withColumn("more", F.expr(f"filter(more, m -> not exists(more, o -> o.start < m.end and m.start < o.end and ({better})))"))
+    rows = rows.withColumn("more", F.expr(f"filter(more, m -> m.score >= {least!r}D)"))
+    rows = rows.withColumn("more", _free(F.col("more"), F.col("base"), lambda o, m: F.lit(True)))
+
+    def better(o: Column, m: Column) -> Column:
+        first = (o["start"] < m["start"]) | ((o["start"] == m["start"]) & ((o["end"] > m["end"]) | ((o["end"] == m["end"]) & (o["kind"] < m["kind"]))))
+        return (o["score"] > m["score"]) | ((o["score"] == m["score"]) & first)
+
+    rows = rows.withColumn("more", _free(F.col("more"), F.col("more"), better))
     return rows.select(F.col("i").alias(id_col), F.expr("concat(transform(base, s -> struct(s.kind, s.start, s.end)), transform(more, s -> struct(s.kind, s.start, s.end)))").alias("spans"))
