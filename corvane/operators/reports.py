@@ -64,6 +64,20 @@ def doc_status(files: DataFrame, items: DataFrame, key: str, has_image: Column,
     return out.select(key, F.coalesce("items", zero).alias("items"), F.coalesce("images", zero).alias("images"), F.coalesce("answers", zero).alias("answers"), F.col("items").isNotNull().alias("processed"))
 
 
+#: What a status page is sorted by, under the names that callers use; anything else sorts by name.
+STATUS_SORTS = {"questions": "items", "images": "images", "answers": "answers", "size": "size", "mtime": "mtime"}
+
+
+def status_page(status: DataFrame, edited: DataFrame, keyed: DataFrame, key: str, sort: str = "name", descending: bool = False) -> DataFrame:
+    """doc_status's rows with edited (the document has manual edits) and has_key (it has a key file), sorted; equal rows by name, whatever the direction."""
+    flag = lambda d, name: d.select(key).where(F.col(key).isNotNull()).distinct().withColumn(name, F.lit(True))
+    out = status.join(flag(edited, "edited"), key, "left").join(flag(keyed, "has_key"), key, "left")
+    out = out.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("edited", "has_key")})
+    by = STATUS_SORTS.get(sort)
+    by = F.col(by if by in out.columns else key)
+    return out.orderBy(by.desc() if descending else by.asc(), F.col(key).asc())
+
+
 def needs_attention(status: DataFrame, share: float = 0.3) -> DataFrame:
     """Documents without items or with answers for less than the share of them."""
     return status.where((F.col("items") == 0) | (F.col("answers") < share * F.col("items")))
@@ -78,6 +92,18 @@ def collection_summary(collections: DataFrame, items: DataFrame, files: DataFram
     return out.select(slug, *[F.coalesce(c, F.lit(0)).alias(c) for c in ("docs", "items", "processed", "unrecognized")])
 
 
+def collection_page(summary: DataFrame, collections: DataFrame, files: DataFrame, slug: str, archived: str, is_source: Column, coach: bool, allowed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, archived rows) that a viewer sees: collection_summary's rows of collections that are not archived, with files, the number of source files; a coach sees all, others
+    those in allowed. Archived collections are listed for a coach only."""
+    closed = F.coalesce(F.col(archived), F.lit(False))
+    counts = files.where(is_source).groupBy(slug).agg(F.count("*").alias("files"))
+    open_ = summary.join(collections.where(~closed).select(slug), slug, "left_semi")
+    if not coach:
+        open_ = open_.join(allowed.select(slug), slug, "left_semi")
+    rows = open_.join(counts, slug, "left").withColumn("files", F.coalesce("files", F.lit(0)))
+    return rows, collections.where(closed & F.lit(coach)).select(slug)
+
+
 def topic_counts(items: DataFrame, topic: Column, taxonomy: list[str], other: str = "Other / General") -> DataFrame:
     """(topic_ord, topic, n) of every topic of the taxonomy, 0 included, and of other, which takes the unknown ones and comes last."""
     known = items.groupBy(F.when(topic.isin(*taxonomy), topic).otherwise(other).alias("topic")).agg(F.count("*").alias("n"))
@@ -105,6 +131,17 @@ def estimate_cost(turns: DataFrame, key: str, text: Column, output_tokens: int,
     return sums.select(key, tokens.alias("input_tokens"), F.lit(output_tokens).cast("long").alias("output_tokens"), F.round((tokens * price_in + output_tokens * price_out) / 1_000_000, 6).alias("cost"))
 
 
+def focus_outline(items: DataFrame, focus: Column, topic: Column, foci: list[str], topics: list[str], other: str = "Other / General") -> DataFrame:
+    """(focus_ord, focus, topic_ord, topic, n) of a collection's outline: foci as declared, items without one last under (no focus), topics as declared within each,
+    unknown ones as other. Foci that are not declared are left out, and so are pairs without items."""
+    order = lambda names: F.create_map(*[F.lit(x) for k, n in enumerate(names) for x in (n, k)])
+    named = [*topics, *[t for t in [other] if t not in topics]]
+    rows = items.select(F.coalesce(F.nullif(focus, F.lit("")), F.lit("(no focus)")).alias("focus"), F.when(topic.isin(*topics), topic).otherwise(other).alias("topic"))
+    counts = rows.groupBy("focus", "topic").agg(F.count("*").alias("n"))
+    placed = counts.select(order([*foci, "(no focus)"])[F.col("focus")].alias("focus_ord"), "focus", order(named)[F.col("topic")].alias("topic_ord"), "topic", "n")
+    return placed.where("focus_ord is not null")
+
+
 def latest_jobs(feed: DataFrame, key: str, group: str, order: list[str], newest: str, most: int = 200) -> DataFrame:
     """The last state of each job, and of these the most newest of each group with their rank; the limit is the index's."""
     rest = [c for c in feed.columns if c not in (key, *order)]

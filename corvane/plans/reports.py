@@ -68,6 +68,34 @@ def a2_doc_status(spark, sf_dir):
     return reports.doc_status(_customer_files(spark, sf_dir), _t(spark, sf_dir, "orders"), "o_custkey", F.col("o_orderpriority").startswith("1"), F.col("o_orderstatus") == "F")
 
 
+def a2_status_page(spark, sf_dir):
+    orders = _t(spark, sf_dir, "orders")
+    edited, keyed = orders.where("o_orderstatus = 'P'"), _customer_files(spark, sf_dir).where("o_custkey % 3 = 0")
+    return reports.status_page(a2_doc_status(spark, sf_dir), edited, keyed, "o_custkey", "questions", True)
+
+
+def _collection_page(spark, sf_dir, coach) -> tuple[DataFrame, DataFrame]:
+    nations = _t(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("slug"), F.when(F.col("n_nationkey") % 5 > 0, F.col("n_nationkey") % 5 == 4).alias("archived"))
+    files = _t(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("slug"), "s_acctbal")
+    allowed = _t(spark, sf_dir, "nation").where("n_regionkey = 1").select(F.col("n_nationkey").alias("slug"))
+    return reports.collection_page(a3_collections(spark, sf_dir), nations, files, "slug", "archived", F.col("s_acctbal") > 2000, coach, allowed)
+
+
+def a3_coach_page(spark, sf_dir):
+    rows, archived = _collection_page(spark, sf_dir, True)
+    return rows.select("slug", "items", "files").unionByName(archived, allowMissingColumns=True)
+
+
+def a3_helper_page(spark, sf_dir):
+    rows, archived = _collection_page(spark, sf_dir, False)
+    return rows.select("slug", "items", "files").unionByName(archived, allowMissingColumns=True)
+
+
+def a6_outline(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents").select(F.when(F.col("doc_id") % 4 > 0, F.concat(F.lit("f"), (F.col("doc_id") % 7).cast("string"))).otherwise("").alias("focus"), "lang")
+    return reports.focus_outline(docs, F.col("focus"), F.col("lang"), ["f5", "f1", "f3", "f9"], ["fr", "de", "xx"])
+
+
 def a3_collections(spark, sf_dir):
     items = _items(spark, sf_dir).withColumn("slug", (F.col("number") % 30).cast("int"))
     files = _t(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("slug"), "s_acctbal")
@@ -211,7 +239,7 @@ def d6_taken(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_item_flags, p3_practice_pool, p3_matching_pool, p4_builder_page, p5_attention, p7_clean_items, p9_pair_verdicts, a2_doc_status, a3_collections, a4_taxonomy_counts, a6_nested_counts, a11_token_cost, a12_conversation_cost, a13_active_jobs, a14_over_quota, a15_import_report, r1_blank_years, r2_clusters, r3_latest_jobs, r4_truncated_log, r4_log_tail, r5_sample, r6_group_sample, r8_page, k2_numbers, k3_canonical, k4_unique_keys, a5_table, j16_price_table, d3_similar_pairs, d3_jaccard, d5_greedy, d6_taken, w6_interrupted)
+    for f in (p1_item_flags, p3_practice_pool, p3_matching_pool, p4_builder_page, p5_attention, p7_clean_items, p9_pair_verdicts, a2_doc_status, a3_collections, a4_taxonomy_counts, a6_nested_counts, a11_token_cost, a12_conversation_cost, a13_active_jobs, a14_over_quota, a15_import_report, r1_blank_years, r2_clusters, r3_latest_jobs, r4_truncated_log, r4_log_tail, r5_sample, r6_group_sample, r8_page, k2_numbers, k3_canonical, k4_unique_keys, a2_status_page, a3_coach_page, a3_helper_page, a6_outline, a5_table, j16_price_table, d3_similar_pairs, d3_jaccard, d5_greedy, d6_taken, w6_interrupted)
 }
 
 _I = """i AS (SELECT CASE p_size % 5 WHEN 0 THEN '_generated_' WHEN 1 THEN '_scraped_' ELSE '' END || p_brand AS doc, p_partkey AS number, p_type AS topic, p_name AS text, p_size % 3 = 0 AS mcq, p_size % 4 = 0 AS img,
@@ -271,6 +299,15 @@ SQL = {
         f AS (SELECT base, k, row_number() OVER (PARTITION BY base ORDER BY k) AS nth FROM (SELECT DISTINCT base FROM b), range(2, 2000) t(k) WHERE base || k NOT IN (SELECT u FROM x)),
         n AS (SELECT *, base NOT IN (SELECT u FROM x) AS open FROM b)
         SELECT p_partkey, CASE WHEN open AND r = 1 THEN n.base ELSE n.base || k END AS username FROM n LEFT JOIN f ON f.base = n.base AND f.nth = n.r - open::INT""",
+    "a2_status_page": """SELECT c_custkey AS o_custkey, count(o_orderkey) AS items, count(*) FILTER (starts_with(o_orderpriority, '1')) AS images, count(*) FILTER (o_orderstatus = 'F') AS answers, count(o_orderkey) > 0 AS processed,
+        count(*) FILTER (o_orderstatus = 'P') > 0 AS edited, c_custkey % 3 = 0 AS has_key FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey""",
+    "a3_coach_page": f"""WITH {_I} SELECT n_nationkey AS slug, CASE WHEN n_nationkey % 5 <> 4 THEN (SELECT count(*) FROM i WHERE number % 30 = n_nationkey) END AS items,
+        CASE WHEN n_nationkey % 5 <> 4 THEN (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey AND s_acctbal > 2000) END AS files FROM nation""",
+    "a3_helper_page": f"""WITH {_I} SELECT n_nationkey AS slug, (SELECT count(*) FROM i WHERE number % 30 = n_nationkey) AS items,
+        (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey AND s_acctbal > 2000) AS files FROM nation WHERE n_nationkey % 5 <> 4 AND n_regionkey = 1""",
+    "a6_outline": """WITH d AS (SELECT CASE WHEN doc_id % 4 > 0 THEN 'f' || doc_id % 7 ELSE '(no focus)' END AS focus, CASE WHEN lang IN ('fr', 'de') THEN lang ELSE 'Other / General' END AS topic FROM documents)
+        SELECT CASE focus WHEN 'f5' THEN 0 WHEN 'f1' THEN 1 WHEN 'f3' THEN 2 ELSE 4 END::INT AS focus_ord, focus, CASE topic WHEN 'fr' THEN 0 WHEN 'de' THEN 1 ELSE 3 END::INT AS topic_ord, topic, count(*) AS n
+        FROM d WHERE focus IN ('f5', 'f1', 'f3', '(no focus)') GROUP BY ALL""",
     "a5_table": """WITH w AS (SELECT item_id, list_filter(list_transform(regexp_extract_all(lower(text), '[a-z]{6,}'), lambda x: x), lambda x: true) AS w FROM benchmark),
         u AS (SELECT item_id, unnest(w) AS phrase, unnest(range(len(w))) AS k FROM w), f AS (SELECT item_id, phrase, min(k) AS k FROM u GROUP BY ALL),
         kw AS (SELECT item_id, phrase, (row_number() OVER (PARTITION BY item_id ORDER BY k) - 1) % 3 + 1 AS weight FROM f),

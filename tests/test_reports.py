@@ -56,3 +56,11 @@ def test_empty_tables(spark):
     assert layout.assign_images(none, "doc", ["y"], "page", F.col("number"), F.col("text")).count() == 0
     assert reports.sample_groups(none, none, "doc", "number", 3, 1).count() == 0 and reports.doc_status(none, none, "doc", F.lit(True), F.lit(True)).count() == 0
     assert assessment.ordered_union([none, none], "doc", "y").count() == 0
+
+
+def test_status_page_is_sorted_in_either_direction(spark):
+    status = spark.createDataFrame([("b", 2, 0, 1, True), ("a", 2, 0, 0, True), ("c", 0, 0, 0, False)], "doc string, items int, images int, answers int, processed boolean")
+    edited, keyed = spark.createDataFrame([("a",), ("a",), (None,)], "doc string"), spark.createDataFrame([("c",)], "doc string")
+    rows = lambda *a: [(r.doc, r.edited, r.has_key) for r in reports.status_page(status, edited, keyed, "doc", *a).collect()]
+    assert rows() == [("a", True, False), ("b", False, False), ("c", False, True)] == rows("unknown")
+    assert [r[0] for r in rows("questions", True)] == ["a", "b", "c"] and [r[0] for r in rows("questions")] == ["c", "a", "b"] and [r[0] for r in rows("name", True)] == ["c", "b", "a"]
