@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from corvane.operators.lookup import needle, pages_with
 
 
-def assign_images(rows: DataFrame, doc: str, order: list[str], page: str, number: Column, image: Column, explicit: DataFrame | None = None) -> DataFrame:
+def assign_images(rows: DataFrame, doc: str, order: list[str], page: str, number: Column, image: Column, explicit: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
     """(doc, page, image, number): the item that each image belongs to.
 
     The item is that of explicit (doc, image, number) if given, where PREV means the last item before the page; else the last one that starts at
     or before the image in order, on earlier pages too. A page's items and images are sorted in one window of that page; what earlier pages
-    end with is carried in as a row per page, so a long document is as many tasks as it has pages.
+    end with is carried in as a row per page, so a long document is as many tasks as it has pages. With known (doc, number), an image whose number no item of
+    its document has is left out; as starts carry numbers without suffixes, of repeated numbers it is the first item's.
     """
     base = rows.select(F.col(doc).alias("doc"), F.col(page).alias("page"), F.struct(*order).alias("by"), number.alias("number"), image.alias("image"))
     upto = Window.partitionBy("doc", "page").orderBy("by").rowsBetween(Window.unboundedPreceding, 0)
@@ -27,7 +28,10 @@ def assign_images(rows: DataFrame, doc: str, order: list[str], page: str, number
     else:
         out = out.join(explicit.select(F.col(doc).alias("doc"), "image", F.col("number").alias("said")), ["doc", "image"], "left")
         chosen = F.when(F.col("said") == "PREV", F.col("before")).otherwise(F.coalesce("said", "own", "before"))
-    return out.select(F.col("doc").alias(doc), F.col("page").alias(page), "image", chosen.alias("number"))
+    out = out.select("doc", "page", "image", chosen.alias("number"))
+    if known is not None:
+        out = out.join(known.select(F.col(doc).alias("doc"), "number").distinct(), ["doc", "number"], "left_semi")
+    return out.select(F.col("doc").alias(doc), F.col("page").alias(page), "image", "number")
 
 
 def assign_interval(rows: DataFrame, points: DataFrame, keys: list[str], y: str, point_y: str) -> DataFrame:

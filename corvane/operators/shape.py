@@ -254,6 +254,19 @@ def key_pairs(answer: Column, left: Column) -> Column:
     return F.when(fits, F.map_from_arrays(labels, F.transform(letters, F.upper))).otherwise(F.create_map().cast("map<string,string>"))
 
 
+def attach_pairs(items: DataFrame, docs: DataFrame, key: str, pages: str, number: str, left: Column, pairs: str) -> DataFrame:
+    """items with pairs from the key pages of docs (key, pages) where they had none: the first line of an item's number whose answer has as many letters as
+    the item has left labels. left is null for items that are not matching ones; null and empty pairs are none."""
+    lines = F.flatten(F.transform(F.filter(F.coalesce(pages, F.array().cast("array<string>")), is_key), _lines))
+    rows = docs.select(key, F.posexplode(lines).alias("_at", "line")).withColumn("line", F.trim("line")).where(F.col("line").rlike(ANSWER))
+    rows = rows.select(key, "_at", F.regexp_extract("line", ANSWER, 1).alias(number), F.trim(F.regexp_extract("line", ANSWER, 2)).alias("_answer"))
+    asked = items.where(left.isNotNull() & (F.coalesce(F.size(pairs), F.lit(0)) <= 0)).select(key, number, left.alias("_left"))
+    found = asked.join(rows, [key, number]).withColumn("_found", key_pairs(F.col("_answer"), F.col("_left"))).where("size(_found) > 0")
+    first = found.groupBy(key, number).agg(F.min_by("_found", "_at").alias("_found"))
+    joined = items.join(first, [key, number], "left")
+    return joined.withColumn(pairs, F.when(left.isNotNull() & (F.coalesce(F.size(pairs), F.lit(0)) <= 0), F.coalesce("_found", pairs)).otherwise(F.col(pairs))).select(*items.columns)
+
+
 def greedy_chunks(docs: DataFrame, key: str, text: str, most: int) -> DataFrame:
     """(key, chunk_no, chunk): a text within most characters is one chunk as it is; a longer one is cut at runs of two or more newlines
     and paragraphs are added while their lengths, plus two for each that is followed by another, stay within most.

@@ -108,6 +108,19 @@ def c16_pairs(spark, sf_dir):
     return _t(spark, sf_dir, "part").select("p_partkey", F.array_join(F.transform(F.array_sort(F.map_entries(pairs)), lambda e: F.concat(e["key"], e["value"])), ",").alias("pairs"))
 
 
+def c16_attached(spark, sf_dir):
+    """Documents are brands by thousands of keys, items their parts; a key page has two lines of some parts, of which the first that fits counts."""
+    part, size = _t(spark, sf_dir, "part"), F.col("p_size")
+    number, doc = (F.col("p_partkey") % 1000).cast("string"), F.concat_ws("/", "p_brand", F.floor(F.col("p_partkey") / 1000))
+    first = F.concat(number, F.lit(". a c"), F.when(size % 4 > 0, " b").otherwise(""))
+    line = F.concat(first, F.lit("\n"), number, F.lit(". C, B, A"))
+    docs = part.where("p_size % 3 > 0").groupBy(doc.alias("doc")).agg(F.array(F.concat(F.lit("ANSWER KEY\n"), F.array_join(F.array_sort(F.collect_list(line)), "\n"))).alias("pages"))
+    none = F.create_map().cast("map<string,string>")
+    items = part.select(doc.alias("doc"), number.alias("number"), F.when(size % 5 > 0, F.slice(F.array(F.lit("1"), F.lit("2"), F.lit("3")), 1, F.when(size % 7 == 0, 2).otherwise(3))).alias("left"), F.when(size % 11 == 0, F.create_map(F.lit("1"), F.lit("Z"))).otherwise(none).alias("pairs"))
+    out = shape.attach_pairs(items, docs, "doc", "pages", "number", F.col("left"), "pairs")
+    return out.select("doc", "number", F.array_join(F.transform(F.array_sort(F.map_entries("pairs")), lambda e: F.concat(e["key"], e["value"])), ",").alias("pairs"))
+
+
 def c17_paragraphs(spark, sf_dir):
     docs = _t(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", "\n", "\n\n").alias("text"))
     return shape.greedy_chunks(docs, "doc_id", "text", 900).select("doc_id", "chunk_no", F.length("chunk").alias("n_chars"))
@@ -167,6 +180,14 @@ def j3_images(spark, sf_dir):
     return layout.assign_images(_paged(spark, sf_dir), "user_id", ["ts", "event_id"], "page", number, image, said).select("user_id", "image", "number")
 
 
+def j3_known_images(spark, sf_dir):
+    """As j3_images without explicit numbers; only clicks of even ids are items."""
+    number = F.when(F.col("event_type") == "click", F.col("event_id").cast("string"))
+    image = F.when(F.col("event_type") == "view", F.concat(F.lit("img"), "event_id"))
+    known = _paged(spark, sf_dir).where("event_type = 'click' and event_id % 2 = 0").select("user_id", F.col("event_id").cast("string").alias("number"))
+    return layout.assign_images(_paged(spark, sf_dir), "user_id", ["ts", "event_id"], "page", number, image, known=known).select("user_id", "image", "number")
+
+
 def j4_intervals(spark, sf_dir):
     line = _t(spark, sf_dir, "lineitem")
     rows = line.where("l_linenumber <= 2").select("l_orderkey", F.col("l_quantity").alias("y")).distinct()
@@ -188,7 +209,7 @@ def j6_pages(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (c1_normalize, c3_cover_pages, c4_key_pages, c5_records, c6_inline, c7_absorb, c9_options, c10_option_lines, c11_matching, c12_continuations, c13_labels, c14_columns, c15_answers, c16_pairs, c17_paragraphs, c18_chapters, c18_ranges, c19_names, c20_focus, c21_slices, s14_assembled, j1_attach_answers, j3_images, j4_intervals, j5_boxes, j6_pages)
+    for f in (c1_normalize, c3_cover_pages, c4_key_pages, c5_records, c6_inline, c7_absorb, c9_options, c10_option_lines, c11_matching, c12_continuations, c13_labels, c14_columns, c15_answers, c16_pairs, c16_attached, c17_paragraphs, c18_chapters, c18_ranges, c19_names, c20_focus, c21_slices, s14_assembled, j1_attach_answers, j3_images, j3_known_images, j4_intervals, j5_boxes, j6_pages)
 }
 
 _L = """l AS (SELECT doc_id, unnest(a) AS line, generate_subscripts(a, 1) AS k FROM (SELECT doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS a FROM documents))"""
@@ -218,6 +239,8 @@ SQL = {
     "c15_answers": f"""WITH {_L}, c AS (SELECT doc_id FROM l GROUP BY 1 HAVING count(*) FILTER (length(line) < 60) >= 5 OR bool_or({_KEYED}))
         SELECT doc_id, ((k - 1) % 7 + 1)::VARCHAR AS number, line AS answer FROM l WHERE doc_id IN (SELECT doc_id FROM c) AND length(line) <= 150 AND NOT ends_with(line, '?') AND NOT regexp_matches(line, '^(?i:question\\s+)?\\d{{1,3}}[.):](\\s|$)') AND NOT regexp_matches(line, '(?i)^\\(\\d+(\\.\\d+)?\\s*pts?\\b')
         QUALIFY row_number() OVER (PARTITION BY doc_id, (k - 1) % 7 ORDER BY k DESC) = 1""",
+    "c16_attached": """SELECT p_brand || '/' || p_partkey // 1000 AS doc, (p_partkey % 1000)::VARCHAR AS number, CASE WHEN p_size % 11 = 0 THEN '1Z' WHEN p_size % 5 = 0 OR p_size % 3 = 0 THEN ''
+        WHEN p_size % 7 = 0 THEN CASE WHEN p_size % 4 = 0 THEN '1A,2C' ELSE '' END WHEN p_size % 4 > 0 THEN '1A,2C,3B' ELSE '1C,2B,3A' END AS pairs FROM part""",
     "c16_pairs": "SELECT p_partkey, CASE WHEN p_size % 2 = 0 AND p_size % 7 > 0 THEN '1A,2C,3B' ELSE '' END AS pairs FROM part",
     "c17_paragraphs": """WITH RECURSIVE w AS (SELECT doc_id, replace(coalesce(text, ''), chr(10), chr(10) || chr(10)) AS t FROM documents),
         a AS (SELECT doc_id, regexp_split_to_array(t, '\\n{2,}') AS p FROM w WHERE length(t) > 900),
@@ -242,6 +265,8 @@ SQL = {
             last_value(c IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY page RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 DAY PRECEDING) AS prev_any FROM e),
         p AS (SELECT user_id, page, (SELECT arg_max(x.c, (x.ts, x.event_id)) FROM e x WHERE x.user_id = d.user_id AND x.page < d.page AND x.c IS NOT NULL) AS prev FROM (SELECT DISTINCT user_id, page FROM e) d)
         SELECT user_id, 'img' || event_id AS image, CASE event_id % 5 WHEN 0 THEN prev::VARCHAR WHEN 1 THEN 'said' ELSE own::VARCHAR END AS number FROM r JOIN p USING (user_id, page) WHERE event_type = 'view'""",
+    "j3_known_images": """WITH r AS (SELECT *, last_value(CASE WHEN event_type = 'click' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts::DATE, ts, event_id ROWS UNBOUNDED PRECEDING) AS c FROM events)
+        SELECT user_id, 'img' || event_id AS image, c::VARCHAR AS number FROM r WHERE event_type = 'view' AND c % 2 = 0""",
     "j4_intervals": """WITH r AS (SELECT DISTINCT l_orderkey, l_quantity AS y FROM lineitem WHERE l_linenumber <= 2), s AS (SELECT *, lead(y) OVER (PARTITION BY l_orderkey ORDER BY y) AS z FROM r),
         p AS (SELECT l_orderkey, l_quantity + 0.5 AS q, 'i' || l_partkey AS image FROM lineitem WHERE l_linenumber > 2)
         SELECT s.l_orderkey, y, min_by(image, (q, image)) AS image FROM s LEFT JOIN p ON p.l_orderkey = s.l_orderkey AND q >= y AND (z IS NULL OR q < z) GROUP BY ALL""",
