@@ -41,7 +41,6 @@ def test_op2(spark, folder):
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    own.encode_special_tokens = True
     rows = queries.op2_packing(spark, folder).collect()
     pieces = {}
     for r in rows:
@@ -241,7 +240,6 @@ def test_pipeline_equals_plain_stages(spark, folder):
     kept = [(d, t) for d, t in unique if comp[d] == d]
     assert len(kept) < len(unique) < len(left) < len(docs)
     own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    own.encode_special_tokens = True
     want = set()
     for doc_id, text in kept:
         spans = sorted((m.start(), m.end()) for _, p, g, least in secrets.RULES for m in re.finditer(p, text or "") if m.end(g) - m.start(g) >= least)
