@@ -1,3 +1,6 @@
+import hashlib
+import re
+
 from corvane.llm import html_wrapper
 
 
@@ -39,3 +42,49 @@ def test_wrapper_decides_every_page(spark):
     rows = [(10 * j + k, f"http://host{j}/{k}", f"<body><div>Home</div>{part.format(k)}</body>") for j, part in enumerate(parts) for k in range(6)]
     got = texts(spark, rows)
     assert all(got[10 * j + k] == f"text {k}" for j in range(4) for k in range(6))
+
+
+def _hidden(page):
+    """The page with its tag names nav, article and footer and its class names made meaningless."""
+    code = lambda w: "x" + hashlib.md5(w.encode()).hexdigest().translate(str.maketrans("0123456789", "ghijklmnop"))[:8]
+    page = re.sub(r"<(/?)(nav|article|footer)\b", lambda m: f"<{m[1]}{code(m[2])}", page)
+    return re.sub(r'class="([^"]*)"', lambda m: f'class="{code(m[1])}"', page)
+
+
+def test_wrapper_decides_without_names(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url", "html")
+    rows = [tuple(r) for r in pages.collect()]
+    named = texts(spark, rows)
+    hidden = [(i, u, _hidden(h or "")) for i, u, h in rows]
+    got = texts(spark, hidden)
+    assert sum(got[i] == named[i] for i in named) >= 0.95 * len(named)
+    bare = {i: html_wrapper.main_text(html_wrapper.parse(h or ""), {}) for i, _, h in rows}
+    assert sum(bare[i] != named[i] for i in named) >= 0.95 * len(named)
+    # the expression does not depend on the order or the partitions of the pages
+    frame = spark.createDataFrame(hidden, "page_id long, url string, html string")
+    first, second = ({tuple(r) for r in html_wrapper.expression(f).collect()} for f in (frame.coalesce(1), frame.orderBy("html").repartition(7)))
+    assert first == second
+
+
+def test_groups_and_their_rounds():
+    spots = lambda labels: html_wrapper._spots([html_wrapper.Node(x) for x in labels.split()])
+    assert spots("p p p") == [(0, True)] * 3
+    assert spots("h2 p p h2 p h2") == [(0, True)] * 6
+    # no round follows at once: the second div is a place of its own
+    assert spots("div p div") == [(0, False), (0, False), (1, False)]
+    assert spots("hr h2 p h2 p hr") == [(0, False), *[(0, True)] * 4, (1, False)]
+    assert spots("") == []
+
+
+def test_menu_without_container_and_odd_rows(spark):
+    menu = "<ul>" + "".join(f"<li><a href='/{j}'>entry {j} {{0}}</a></li>" for j in range(4)) + "</ul>"
+    rows = [(k, f"http://flat/{k}", f"<body>{menu.format(k)}<p>prose of page {k}</p><p>and <a href='/'>more</a> of it</p></body>") for k in range(3)]
+    # a list of links within the article is text
+    rows += [(k, f"http://art/{k}", f"<body><article><p>prose of page {k}</p>{menu.format(k)}</article></body>") for k in range(3, 6)]
+    rows += [(6, None, "<p>no host"), (7, "http://flat/7", None), (8, "http://flat/8", ""), (9, None, None), (3, *rows[3][1:]), (None, "http://one/", "<div>" * 3000 + "deep")]
+    frame = spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id long, url string, html string, wrapper string, h long")
+    got = [tuple(r) for r in html_wrapper.extract_main_text(frame).select("page_id", "text").collect()]
+    assert len(got) == len(rows) and got.count((3, "prose of page 3\n" + "\n".join(f"entry {j} 3" for j in range(4)))) == 2
+    assert all((k, f"prose of page {k}\nand more of it") in got for k in range(3))
+    assert {(6, "no host"), (7, ""), (8, ""), (9, ""), (None, "deep")} <= set(got)
+    assert html_wrapper.extract_main_text(frame.limit(0)).count() == 0
