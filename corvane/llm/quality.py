@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard as zstd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm.common import by_bytes
@@ -58,13 +58,13 @@ def _measured(batches: Iterator[pa.RecordBatch], compressors) -> Iterator[pa.Rec
         yield pa.record_batch([batch.column(0), batch.column(1), *(pa.array(x[:, k]) for k in range(3))], names=["i", "y", "difference", "size", "saved"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = 1500, slices: int = 8, slice_chars: int = 1024, dict_bytes: int = 65536, level: int = 3) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = 1500, build_bytes: int = 1 << 23, dict_bytes: int = 65536, level: int = 3) -> Model:
     """Dictionaries and calibration from a bounded sample: sample_rows labelled documents per class, by a hash of the id.
 
-    The dictionaries are built from two thirds of the sample, of each document up to slices runs of slice_chars characters spread evenly
-    over its whole text; the calibration is fitted on the rest, whose whole texts are measured in Spark tasks, so the driver holds slices and three
-    numbers a document. A calibration row weighs as many labelled documents as it stands for, so the prior is that of all labels at
-    any size. An id with both labels counts as 1. Rows without label or text are left out; without both classes the model scores the
+    The dictionaries are built from two thirds of the sample, whole texts: of those up to an eighth of build_bytes, the first in the order of
+    the hash that together stay within build_bytes a class. The calibration is fitted on the rest, whose whole texts are measured in
+    Spark tasks, so the driver holds build_bytes a class and three numbers a document. A calibration row weighs as many labelled documents
+    as it stands for, so the prior is that of all labels at any size. An id with both labels counts as 1. Rows without label or text are left out; without both classes the model scores the
     labels' rate throughout. Runs jobs when called.
     """
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("i")).agg(F.max(label_col).alias("y"))
@@ -75,21 +75,21 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     picked = known.where("y = 1").orderBy(order).limit(sample_rows).union(known.where("y = 0").orderBy(order).limit(sample_rows))
     sample = texts_of.join(F.broadcast(picked), "i")
     builds = F.pmod(F.xxhash64("i", F.lit(1)), F.lit(3)) > 0
-    n, k = F.length("t"), F.least(F.lit(slices), F.ceil(F.length("t") / slice_chars)).cast("int")
-    starts = F.transform(F.sequence(F.lit(0), k - 1), lambda j: F.floor(j * (n - slice_chars) / F.greatest(k - 1, F.lit(1))).cast("int"))
-    parts = F.transform(starts, lambda at: F.substring(F.col("t"), F.greatest(at, F.lit(0)) + 1, F.lit(slice_chars)))
-    build = [([x.encode() for x in r["parts"]], r["y"]) for r in sample.where(builds).select("i", "y", parts.alias("parts")).orderBy("i").collect()]
+    size = F.octet_length("t").cast("long")
+    filled = F.sum("size").over(Window.partitionBy("y").orderBy(F.xxhash64("i"), "i", "t").rowsBetween(Window.unboundedPreceding, 0))
+    whole = sample.where(builds).withColumn("size", size).where(F.col("size") <= build_bytes // 8).withColumn("filled", filled)
+    build = [(r["t"].encode("utf-8", "surrogatepass"), r["y"]) for r in whole.where(F.col("filled") <= build_bytes).select("i", "y", "t").orderBy("i", "t").collect()]
     share = (totals.get(1, 0) + 1) / (sum(totals.values()) + 2)
     flat = Model(b"", b"", (0.0, 0.0, 0.0, float(np.log(share / (1 - share)))), level)
     if len({y for _, y in build}) < 2:
         return flat
     dicts = []
     for y in (1, 0):
-        pieces = [x for ps, own in build if own == y for x in ps]
+        pieces = [text[at : at + PIECE_BYTES] for text, own in build if own == y for at in range(0, len(text), PIECE_BYTES)]
         try:
             dicts.append(zstd.train_dictionary(dict_bytes, pieces).as_bytes())
-        except zstd.ZstdError:  # too few samples to train on: their own text serves as a dictionary
-            dicts.append(b"\n".join(pieces)[:dict_bytes])
+        except zstd.ZstdError:  # too few samples to train on: their own texts serve as a dictionary
+            dicts.append(b"\n".join(pieces))
     draft = Model(dicts[0], dicts[1], (), level)
     rest = sample.where(~builds).select("i", F.col("y").cast("int").alias("y"), "t")
     measured = by_bytes(rest).mapInArrow(lambda batches: _measured(batches, _compressors(draft)), f"i {rest.schema['i'].dataType.simpleString()}, y int, difference double, size double, saved double").orderBy("i").toPandas()
