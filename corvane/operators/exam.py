@@ -132,6 +132,27 @@ def score_grid(totals: DataFrame, complete: DataFrame, roster: DataFrame, tests:
     return roster.select("student").distinct().join(shown.where(F.col("test").isin(*tests)).groupBy("student").agg(*cells), "student", "left")
 
 
+def score_cells(totals: DataFrame, complete: DataFrame, roster: DataFrame, visible: DataFrame, viewer: object, role: str) -> DataFrame:
+    """(student, test, earned, possible, pending, detail_ok): the score page of one viewer, a row a cell; rostered students without one have a
+    row of null test. Takers of other rosters are left out, and tests that are not complete. detail_ok says whether the viewer may open the
+    response: coaches always, others by visible as visible_responses gives it. Repeated roster rows count once; a null student has no cells."""
+    shown = totals.join(complete.where("complete").select("test").distinct(), "test", "left_semi")
+    own = visible.where(F.col("viewer") == F.lit(viewer)).select("test", "student", F.lit(True).alias("opens")).distinct()
+    cells = shown.join(own, ["test", "student"], "left").select(
+        "student", "test", "earned", "possible", (~F.coalesce("released", F.lit(False))).alias("pending"), (F.lit(role == "coach") | F.coalesce("opens", F.lit(False))).alias("detail_ok")
+    )
+    return roster.select("student").distinct().join(cells, "student", "left")
+
+
+def may_open(asked: DataFrame, visible: DataFrame, viewers: DataFrame) -> DataFrame:
+    """asked (viewer, test, student) with may_open: coaches open every response, others what visible, as visible_responses gives it, lists for
+    them. Viewers without a role, and null ones, open none; other columns of asked stay, repeated rows too."""
+    coach = viewers.where("role = 'coach'").select("viewer", F.lit(True).alias("_coach")).distinct()
+    own = visible.select("viewer", "test", "student", F.lit(True).alias("_own")).distinct()
+    judged = asked.join(coach, "viewer", "left").join(own, ["viewer", "test", "student"], "left")
+    return judged.withColumn("may_open", F.coalesce("_coach", "_own", F.lit(False))).select(*asked.columns, "may_open")
+
+
 def practice_report(graded: DataFrame, taker: str, number: str, points: str) -> DataFrame:
     """(taker, answered, earned, percent, mistakes): percent is rounded; mistakes counts what is not fully correct, with the first hundred numbers as a preview of practice_mistakes."""
     wrong = F.col(points) < 1
@@ -147,7 +168,7 @@ def practice_mistakes(graded: DataFrame, points: str) -> DataFrame:
 
 def visible_responses(responses: DataFrame, manual: DataFrame, snapshot: DataFrame, assigned: DataFrame, viewers: DataFrame) -> DataFrame:
     """(viewer, test, student) that viewers (viewer, role) may open: a student their own, a volunteer those they graded and, of tests
-    without free-text items, those they are assigned to. Coaches see every response, so none are listed for them."""
+    without free-text items, those they are assigned to. Coaches see every response, so none are listed for them: may_open answers for all roles."""
     keys = responses.select("test", "student")
     own = keys.join(viewers.where("role = 'student'").select("viewer", F.col("viewer").alias("student")), "student")
     helper = viewers.where("role = 'volunteer'").select("viewer")

@@ -146,10 +146,33 @@ def j7_skipped(spark, sf_dir):
     return _published(spark, sf_dir)[2]
 
 
+def _viewers(spark, sf_dir):
+    return _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("viewer"), F.when(F.col("s_suppkey") == 0, "coach").when(F.col("s_suppkey") < 12, "volunteer").otherwise("student").alias("role"))
+
+
 def j14_visible(spark, sf_dir):
-    viewers = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("viewer"), F.when(F.col("s_suppkey") == 0, "coach").when(F.col("s_suppkey") < 12, "volunteer").otherwise("student").alias("role"))
     assigned = _t(spark, sf_dir, "part").where("p_size = 7").select(F.col("p_brand").alias("test"), (F.col("p_partkey") % 12).alias("viewer")).distinct()
-    return exam.visible_responses(_responses(spark, sf_dir), _manual(spark, sf_dir), _snapshot(spark, sf_dir), assigned, viewers)
+    return exam.visible_responses(_responses(spark, sf_dir), _manual(spark, sf_dir), _snapshot(spark, sf_dir), assigned, _viewers(spark, sf_dir))
+
+
+def j14_asked(spark, sf_dir):
+    """Whether those who sent in grades, and the takers themselves, may open the responses; the first supplier is a coach."""
+    feed = _feed(spark, sf_dir).select(F.col("graded_by").cast("long").alias("viewer"), "test", "student").distinct()
+    own = _responses(spark, sf_dir).select(F.col("student").cast("long").alias("viewer"), "test", "student")
+    return exam.may_open(feed.union(own), j14_visible(spark, sf_dir), _viewers(spark, sf_dir))
+
+
+def _cells(spark, sf_dir, viewer, role):
+    roster = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("student"))
+    return exam.score_cells(a7_totals(spark, sf_dir), a9_complete(spark, sf_dir), roster, j14_visible(spark, sf_dir), viewer, role)
+
+
+def a8_helper_cells(spark, sf_dir):
+    return _cells(spark, sf_dir, 9, "volunteer")
+
+
+def a8_coach_cells(spark, sf_dir):
+    return _cells(spark, sf_dir, 0, "coach")
 
 
 def p2_item_type(spark, sf_dir):
@@ -163,7 +186,7 @@ def p6_answer_free(spark, sf_dir):
     return out.select("test", "number", "qtype", "max_points", F.size("matching.left").alias("n_left"), F.size(F.array(*[F.lit(c) for c in out.schema["matching"].dataType.names])).alias("n_fields"))
 
 
-QUERIES = {f.__name__: f for f in (g1_choice, g2_matching, g3_text, g4_auto_grade, g5_manual, g6_release, g7_locked, a7_totals, a8_grid, a9_complete, a10_practice, a10_mistakes, j7_snapshot, j7_contexts, j7_skipped, j14_visible, j17_worklist, p2_item_type, p6_answer_free)}
+QUERIES = {f.__name__: f for f in (g1_choice, g2_matching, g3_text, g4_auto_grade, g5_manual, g6_release, g7_locked, a7_totals, a8_grid, a8_helper_cells, a8_coach_cells, j14_asked, a9_complete, a10_practice, a10_mistakes, j7_snapshot, j7_contexts, j7_skipped, j14_visible, j17_worklist, p2_item_type, p6_answer_free)}
 
 _S = """snap AS (SELECT p_brand AS test, p_partkey AS number, CASE WHEN p_size % 3 = 0 THEN 'mcq' WHEN p_size % 3 = 1 THEN 'matching' WHEN p_size < 45 AND p_brand <> 'Brand#3' THEN 'frq' ELSE 'mcq' END AS qtype,
     CASE p_size % 4 WHEN 0 THEN 'R' WHEN 1 THEN 'A' WHEN 2 THEN '' ELSE 'N' END AS key, (1 + p_size % 5)::DOUBLE AS max_points FROM part)"""
@@ -185,6 +208,12 @@ _TOT = """tot AS (SELECT resp.test, student, round(coalesce(sum(coalesce(auto.po
 _ALL = f"WITH {_S}, {_A}, {_R}, {_F}, {_M}, {_C}, {_AUTO}, {_TOT}"
 _PUB = """WITH kept AS (SELECT DISTINCT l_orderkey AS test, l_suppkey AS doc, l_partkey AS number, CASE WHEN l_quantity < 40 THEN l_quantity % 4 END AS max_points FROM lineitem WHERE l_linenumber = 1),
     bank AS (SELECT DISTINCT l_suppkey AS doc, l_partkey AS number, CASE WHEN l_partkey % 3 = 0 THEN l_partkey % 5 END AS context_id FROM lineitem WHERE l_returnflag = 'R')"""
+_VIS = """asg AS (SELECT DISTINCT p_brand AS test, p_partkey % 12 AS viewer FROM part WHERE p_size = 7), vis AS (
+        SELECT student AS viewer, test, student FROM resp WHERE student >= 12
+        UNION SELECT graded_by, test, student FROM man JOIN resp USING (test, student) WHERE graded_by BETWEEN 1 AND 11 AND graded_by IN (SELECT s_suppkey FROM supplier)
+        UNION SELECT viewer, test, student FROM asg JOIN resp USING (test) WHERE viewer BETWEEN 1 AND 11 AND viewer IN (SELECT s_suppkey FROM supplier) AND test NOT IN (SELECT test FROM snap WHERE qtype = 'frq'))"""
+_SHOWN = "FROM supplier LEFT JOIN (SELECT tot.* FROM tot JOIN comp USING (test) WHERE complete) ON student = s_suppkey"
+
 SQL = {
     "g1_choice": f"WITH {_S}, {_A} SELECT student, number, {_CHOICE} AS points FROM ans JOIN snap USING (test, number)",
     "g2_matching": f"WITH {_S}, {_A} SELECT student, number, {_MATCH} AS points FROM ans JOIN snap USING (test, number)",
@@ -205,10 +234,11 @@ SQL = {
     "j7_snapshot": f"{_PUB} SELECT test, doc, number, CASE WHEN coalesce(max_points, 0) = 0 THEN 1 ELSE max_points END::DOUBLE AS max_points, context_id FROM kept JOIN bank USING (doc, number)",
     "j7_contexts": f"{_PUB} SELECT DISTINCT test, doc, context_id, s_name AS title FROM kept JOIN bank USING (doc, number) JOIN supplier ON s_suppkey = doc WHERE context_id <= 3",
     "j7_skipped": f"{_PUB} SELECT test, doc, number FROM kept ANTI JOIN bank USING (doc, number)",
-    "j14_visible": f"""{_ALL}, asg AS (SELECT DISTINCT p_brand AS test, p_partkey % 12 AS viewer FROM part WHERE p_size = 7)
-        SELECT student AS viewer, test, student FROM resp WHERE student >= 12
-        UNION SELECT graded_by, test, student FROM man JOIN resp USING (test, student) WHERE graded_by BETWEEN 1 AND 11 AND graded_by IN (SELECT s_suppkey FROM supplier)
-        UNION SELECT viewer, test, student FROM asg JOIN resp USING (test) WHERE viewer BETWEEN 1 AND 11 AND viewer IN (SELECT s_suppkey FROM supplier) AND test NOT IN (SELECT test FROM snap WHERE qtype = 'frq')""",
+    "j14_visible": f"{_ALL}, {_VIS} SELECT * FROM vis",
+    "j14_asked": f"""{_ALL}, {_VIS}, asked AS (SELECT DISTINCT graded_by::BIGINT AS viewer, test, student FROM feed UNION ALL SELECT student::BIGINT, test, student FROM resp)
+        SELECT asked.*, viewer = 0 AND 0 IN (SELECT s_suppkey FROM supplier) OR (viewer, test, student) IN (SELECT viewer, test, student FROM vis) AS may_open FROM asked""",
+    "a8_helper_cells": f"{_ALL}, {_VIS} SELECT s_suppkey AS student, test, earned, possible, NOT released AS pending, (test, student) IN (SELECT test, student FROM vis WHERE viewer = 9) AS detail_ok {_SHOWN}",
+    "a8_coach_cells": f"{_ALL} SELECT s_suppkey AS student, test, earned, possible, NOT released AS pending, CASE WHEN test IS NOT NULL THEN TRUE END AS detail_ok {_SHOWN}",
     "j17_worklist": f"{_ALL} SELECT resp.test, student, number, picked AS answer, man.points FROM resp JOIN (SELECT * FROM snap WHERE qtype = 'frq') USING (test) LEFT JOIN ans USING (test, student, number) LEFT JOIN man USING (test, student, number) WHERE status <> 'in_progress'",
     "p2_item_type": "SELECT p_partkey, CASE WHEN p_size > 40 THEN 'matching' WHEN p_size % 3 = 0 THEN 'mcq' ELSE 'frq' END AS qtype FROM part",
     "p6_answer_free": f"WITH {_S} SELECT test, number, qtype, max_points, 2 AS n_left, 1 AS n_fields FROM snap",

@@ -82,3 +82,21 @@ def test_groups_are_taken_whole(spark):
         groups = {g for g, _ in got}
         sizes = [g % 4 + 2 for g in groups]  # members outside the pool count, as the taker gets them
         assert got == {(r.g, r.k) for r in full.collect() if r.g in groups} and (sum(sizes) >= n or len(groups) == 20) and sum(sizes) - max(sizes) < max(n, 1) + 4
+
+
+def test_score_cells_and_who_may_open(spark):
+    totals = spark.createDataFrame([("t", "u", 3.0, 4.0, True), ("t", "v", 1.0, 4.0, None), ("open", "u", 2.0, 2.0, True), ("t", "stranger", 4.0, 4.0, True)], "test string, student string, earned double, possible double, released boolean")
+    complete = spark.createDataFrame([("t", True), ("t", True), ("open", False)], "test string, complete boolean")
+    roster = spark.createDataFrame([("u",), ("u",), ("v",), ("w",), (None,)], "student string")
+    visible = spark.createDataFrame([("h", "t", "v"), ("h", "t", "v"), ("u", "t", "u"), ("h", "gone", "u")], "viewer string, test string, student string")
+    cells = lambda viewer, role: {(r.student, r.test, r.pending, r.detail_ok) for r in exam.score_cells(totals, complete, roster, visible, viewer, role).collect()}
+    bare = {("w", None, None, None), (None, None, None, None)}
+    assert cells("h", "volunteer") == bare | {("u", "t", False, False), ("v", "t", True, True)}
+    assert cells("u", "student") == bare | {("u", "t", False, True), ("v", "t", True, False)}
+    assert cells("c", "coach") == bare | {("u", "t", False, True), ("v", "t", True, True)}
+    assert exam.score_cells(totals.limit(0), complete, roster, visible, "c", "coach").where("detail_ok is not null").count() == 0
+
+    viewers = spark.createDataFrame([("c", "coach"), ("c", "coach"), ("h", "volunteer"), ("u", "student"), (None, "coach")], "viewer string, role string")
+    asked = spark.createDataFrame([("c", "t", "u", 1), ("c", "none", "x", 2), ("h", "t", "v", 3), ("h", "t", "v", 4), ("h", "t", "u", 5), ("u", "t", "u", 6), ("unknown", "t", "u", 7), (None, "t", "u", 8)], "viewer string, test string, student string, k int")
+    got = {r.k: r.may_open for r in exam.may_open(asked, visible, viewers).collect()}
+    assert got == {1: True, 2: True, 3: True, 4: True, 5: False, 6: True, 7: False, 8: False}
