@@ -4,6 +4,8 @@ so nothing is shuffled and a record never leaves its document."""
 from __future__ import annotations
 
 import re
+import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -44,15 +46,45 @@ def normalize_text(text: Column) -> Column:
     A row of ASCII alone has nothing to fold and gives the Python function a null instead of its text.
     """
     plain = F.coalesce(text, F.lit(""))
-    folded = F.coalesce(_compatible(F.when(plain.rlike(r"[^\x00-\x7f]"), plain)), plain)
-    bare = F.regexp_replace(F.regexp_replace(folded, "[​‌‍﻿]", ""), POINTS, " ")
-    return F.trim(F.regexp_replace(bare, r"(?U)\s+", " "))
+    return _bare(F.coalesce(_compatible(F.when(plain.rlike(r"[^\x00-\x7f]"), plain)), plain))
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _all_compatible(texts: pd.Series) -> pd.Series:
+    """_compatible for arrays."""
+    return texts.map(lambda row: [None if x is None else unicodedata.normalize("NFKC", x) for x in row], na_action="ignore")
+
+
+def normalize_texts(texts: Column) -> Column:
+    """normalize_text of each element; a null array is empty."""
+    plain = F.transform(F.coalesce(texts, F.array().cast("array<string>")), lambda x: F.coalesce(x, F.lit("")))
+    folded = F.coalesce(_all_compatible(F.when(F.exists(plain, lambda x: x.rlike(r"[^\x00-\x7f]")), plain)), plain)
+    return F.transform(folded, _bare)
+
+
+def _bare(folded: Column) -> Column:
+    visible = F.regexp_replace(F.regexp_replace(folded, "[​‌‍﻿]", ""), POINTS, " ")
+    return F.trim(F.regexp_replace(visible, r"(?U)\s+", " "))
 
 
 def _lines(text: Column) -> Column:
     return F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))
 
 
+def _slices(rows: Column, at: Column) -> Column:
+    """array<array<string>>: rows cut before each of the ascending places at, which count from 1; the first slice is empty where the first place is 1."""
+    return F.zip_with(F.concat(F.array(F.lit(1)), at), F.concat(at, F.array(F.size(rows) + 1)), lambda a, b: F.slice(rows, a, b - a))
+
+
+def _cut(rows: Column, opens: Callable[[Column], Column] | Column) -> Column:
+    """array<array<string>>: the rows before the first that opens a slice, then each of those with the rows after it. Cuts are places, not marks within the
+    text, so rows may hold any character."""
+    flags = F.transform(rows, opens) if callable(opens) else opens
+    at = F.array_compact(F.transform(flags, lambda o, k: F.when(o, k + 1)))
+    # bound as a lambda's variable, the places are found once
+    return F.transform(F.array(F.struct(rows.alias("rows"), at.alias("at"))), lambda x: _slices(x["rows"], x["at"]))[0]
+
+
 def _has_any(text: Column, words: tuple[str, ...]) -> Column:
     out = F.lit(False)
     for word in words:
@@ -129,9 +161,7 @@ def segment_records(docs: DataFrame, pages: str, markers: tuple[str, ...], noise
     if absorb:
         cued = F.array_join("lines", " ").rlike(MATCHING)
         starts = F.coalesce(_opens(F.when(cued, F.col("lines"))), starts)
-    # lines hold no newline, so a mark before each opening line cuts the joined text into records
-    marked = F.zip_with("lines", starts, lambda x, s: F.concat(F.when(s, F.lit("\x00")).otherwise(""), x))
-    parts = F.slice(F.split(F.array_join(marked, " "), "\x00"), 2, 1 << 30)
+    parts = F.transform(F.slice(_cut(F.col("lines"), starts), 2, 1 << 30), lambda p: F.array_join(p, " "))
     records = F.transform(parts, lambda p: F.struct(F.regexp_extract(p, RECORD, 1).alias("number"), F.trim(F.regexp_replace(p, RECORD, "")).alias("body")))
     records = F.filter(records, lambda r: F.length(r["body"]) > 8)
     out = rows.select("doc.*", F.posexplode(records).alias("ord", "r"))
@@ -189,9 +219,8 @@ def explode_option_lines(text: Column) -> Column:
     mark = r"^\(?([A-Ea-e])[).]\s*(.*)$"
 
     def judged(rows: Column) -> Column:
-        joined = F.array_join(F.transform(rows, lambda x: F.concat(F.when(x.rlike(mark), F.lit("\x00")).otherwise(""), x)), " ")
-        parts = F.split(joined, "\x00", -1)
-        marked = F.transform(F.slice(parts, 2, 1 << 30), lambda x: F.trim(x))
+        parts = F.transform(_cut(rows, lambda x: x.rlike(mark)), lambda p: F.array_join(p, " "))
+        marked = F.slice(parts, 2, 1 << 30)
         choices = F.transform(marked, lambda x: F.struct(F.upper(F.regexp_extract(x, mark, 1)).alias("letter"), F.trim(F.regexp_extract(x, mark, 2)).alias("text"))).cast(kind)
         n, letters = F.size(choices), F.array_join(F.transform(choices, lambda c: c["letter"]), "")
         good = n.between(2, 5) & (letters == F.substring(F.lit("ABCDE"), F.lit(1), n)) & F.forall(choices, lambda c: c["text"] != "")
@@ -212,14 +241,11 @@ def merge_continuations(rows: Column) -> Column:
     """Rows without blanks to fill in; one without a marker joins the marked row before it, rows before any marker stay apart."""
     bare = F.filter(F.transform(F.coalesce(rows, F.array().cast("array<string>")), lambda x: F.trim(F.regexp_replace(F.trim(x), r"^_{2,}\s*", ""))), lambda x: x != "")
 
-    def merged(b: Column) -> Column:
-        first = F.array_position(F.transform(b, lambda x: x.rlike(ROW_MARK)), True).cast("int")
-        lead = F.when(first > 0, F.slice(b, F.lit(1), F.greatest(first - 1, F.lit(0)))).otherwise(b)
-        rest = F.slice(b, F.greatest(first, F.lit(1)), F.size(b))
-        joined = F.array_join(F.transform(rest, lambda x: F.concat(F.when(x.rlike(ROW_MARK), F.lit("\x00")).otherwise(""), x)), " ")
-        return F.when(first > 0, F.concat(lead, F.transform(F.slice(F.split(joined, "\x00"), 2, 1 << 30), lambda x: F.trim(x)))).otherwise(lead)
+    def merged(parts: Column) -> Column:
+        return F.concat(parts[0], F.transform(F.slice(parts, 2, 1 << 30), lambda p: F.array_join(p, " ")))
 
-    return F.transform(F.array(bare), merged)[0]
+    cut = F.transform(F.array(bare), lambda b: _cut(b, lambda x: x.rlike(ROW_MARK)))
+    return F.transform(cut, merged)[0]
 
 
 def label_rows(rows: Column, numeric: bool) -> Column:
@@ -275,24 +301,27 @@ def greedy_chunks(docs: DataFrame, key: str, text: str, most: int) -> DataFrame:
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     parts = F.split(whole, r"\n{2,}")
-    # one pass gives each paragraph's length within its chunk so far; a paragraph that starts a chunk is marked in front
-    state = F.struct(F.lit(0).alias("used"), F.lit(True).alias("first"), F.lit("").alias("out"))
+    # one pass over the paragraphs' lengths finds the places of those that start a chunk; the texts are cut there afterwards
+    state = F.struct(F.lit(0).alias("used"), F.lit(1).alias("place"), F.array().cast("array<int>").alias("cuts"))
 
     def step(s: Column, p: Column) -> Column:
-        cut = (s["used"] + F.length(p) > most) & ~s["first"]
+        cut = (s["used"] + F.length(p) > most) & (s["place"] > 1)
         used = F.when(cut, F.length(p)).otherwise(s["used"] + F.length(p) + 2)
-        mark = F.when(s["first"], "").when(cut, F.lit("\x00")).otherwise(F.lit("\n\n"))
-        return F.struct(used.alias("used"), F.lit(False).alias("first"), F.concat(s["out"], mark, p).alias("out"))
+        cuts = F.when(cut, F.concat(s["cuts"], F.array(s["place"]))).otherwise(s["cuts"])
+        return F.struct(used.alias("used"), (s["place"] + 1).alias("place"), cuts.alias("cuts"))
 
-    chunks = F.split(F.aggregate(parts, state, step, lambda s: s["out"]), "\x00", -1)
+    placed = F.transform(F.array(parts), lambda b: F.struct(b.alias("rows"), F.aggregate(b, state, step, lambda s: s["cuts"]).alias("at")))
+    chunks = F.transform(F.transform(placed, lambda x: _slices(x["rows"], x["at"]))[0], lambda c: F.array_join(c, "\n\n"))
     return docs.select(key, F.posexplode(F.when(F.length(whole) <= most, F.array(whole)).otherwise(chunks)).alias("chunk_no", "chunk"))
 
 
 def chapters(docs: DataFrame, key: str, markdown: str) -> DataFrame:
     """(key, chapter_no, title, start_page, end_page) from heading lines and the page marks before them; the end is one before the next start, not
     below the own start, and for the last the last page. Documents without headings have no rows."""
-    marked = F.array_join(F.transform(_lines(F.col(markdown)), lambda x: F.concat(F.when(x.rlike(PAGE_MARK), F.lit("\x00")).otherwise(""), x)), "\n")
-    pages = F.transform(F.split(marked, "\x00", -1), lambda p: F.struct(F.coalesce(F.regexp_extract(F.split(p, "\n")[0], PAGE_MARK, 1).try_cast("int"), F.lit(1)).alias("page"), F.filter(F.split(p, "\n"), lambda x: x.rlike(HEADING)).alias("titles")))
+    # what stands before the first mark is page 1
+    cut = _cut(_lines(F.col(markdown)), lambda x: x.rlike(PAGE_MARK))
+    number = lambda p: F.coalesce(F.regexp_extract(F.try_element_at(p, F.lit(1)), PAGE_MARK, 1).try_cast("int"), F.lit(1))
+    pages = F.transform(cut, lambda p: F.struct(number(p).alias("page"), F.filter(p, lambda x: x.rlike(HEADING)).alias("titles")))
     rows = docs.select(key, pages.alias("pages"))
     heads = F.flatten(F.transform("pages", lambda p: F.transform(p["titles"], lambda t: F.struct(t.alias("title"), p["page"].alias("page")))))
     last = F.array_max(F.transform("pages", lambda p: p["page"]))

@@ -142,3 +142,14 @@ def test_images(spark):
     said = spark.createDataFrame([("d", "c", "PREV"), ("d", "e", "9")], "doc string, image string, number string")
     call = lambda s: {r.image: r.number for r in layout.assign_images(frame, "doc", ["y", "image"], "page", F.col("number"), F.col("image"), s).collect()}
     assert call(None) == {"a": "1", "b": "2", "c": "3", "e": "3", "z": None} and call(said) == {"a": "1", "b": "2", "c": "2", "e": "9", "z": None}
+
+
+def test_any_character_within_a_text(spark):
+    body = "1. What \x00 is it?\nmore \x00\n2. Another question here"
+    assert segments(spark, [body]) == [("1", "What \x00 is it? more \x00"), ("2", "Another question here")]
+    assert options(one(spark, shape.explode_option_lines, "st\x00em\na. o\x00ne\nb. two")) == ("st\x00em", [("A", "o\x00ne"), ("B", "two")])
+    assert one(spark, shape.merge_continuations, ["le\x00ad", "1. a\x00", "b"]) == ["le\x00ad", "1. a\x00 b"]
+    docs = spark.createDataFrame([(1, "a\x00b\n\n" + "c" * 9 + "\n\nd\x00")], "k int, t string")
+    assert [r.chunk for r in shape.greedy_chunks(docs, "k", "t", 12).orderBy("chunk_no").collect()] == ["a\x00b", "c" * 9 + "\n\nd\x00"]
+    got = shape.chapters(spark.createDataFrame([("d", "## Page 2\nChapter 1: O\x00ne\n## Page 5\nend")], "d string, m string"), "d", "m").collect()
+    assert [(r.title, r.start_page, r.end_page) for r in got] == [("Chapter 1: O\x00ne", 2, 5)]
