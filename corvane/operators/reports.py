@@ -242,13 +242,17 @@ def canonical_item(options: Column, answers: Column, text_answers: Column) -> Co
     return F.struct(choices.alias("choices"), answer.alias("answer"))
 
 
+def plain_key(name: Column, longest: int = 32) -> Column:
+    """The name's letters and digits in lower case, s in front of a digit, student for none, cut to longest."""
+    slug = F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), "[^a-z0-9]", "")
+    return F.substring(F.when(slug == "", "student").when(slug.rlike("^[0-9]"), F.concat(F.lit("s"), slug)).otherwise(slug), 1, longest)
+
+
 def unique_keys(rows: DataFrame, name: str, order: str, existing: DataFrame, key: str, longest: int = 32) -> DataFrame:
-    """rows with username: the name's letters and digits in lower case, s in front of a digit, student for none, cut to longest; the first free one of
+    """rows with username: the name's plain_key; the first free one of
     name, name2, name3, ... for each row by order. A numbered name takes no existing key and no other row's plain name. Numbers come from ranks in two levels, so a name that a third of all rows share
     is no task's alone. Where the numbers of two plain names make one name, as bo and bo1 can, the shorter plain name has it and the other goes on. Runs jobs when called."""
-    slug = F.regexp_replace(F.lower(F.coalesce(F.col(name), F.lit(""))), "[^a-z0-9]", "")
-    base = F.substring(F.when(slug == "", "student").when(slug.rlike("^[0-9]"), F.concat(F.lit("s"), slug)).otherwise(slug), 1, longest)
-    based = rows.select(F.struct("*").alias("row"), F.col(order).alias("by"), base.alias("base"))
+    based = rows.select(F.struct("*").alias("row"), F.col(order).alias("by"), plain_key(F.col(name), longest).alias("base"))
     # numbered names leave room for five digits where they would pass the limit
     based = based.withColumn("stem", F.when(F.length("base") > longest - 5, F.substring("base", 1, longest - 5)).otherwise(F.col("base")))
     taken = existing.select(F.col(key).alias("taken")).union(based.select("base")).distinct()

@@ -8,7 +8,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.storage import removed, written
@@ -175,3 +175,23 @@ def take_kept(judged: DataFrame, types: Column, count: int) -> tuple[DataFrame,
     if last.n == count:
         rejected = rejected.where(F.col("by") < F.struct(F.lit(last.end[0]).alias("type"), F.lit(last.end[1]).alias("doc_id")))
     return taken.drop("by"), rejected.select(*judged.columns)
+
+
+def collect_kept(rows: DataFrame, key: str, kind: str, place: str, text: str, kinds: list[str], count: int, known: DataFrame, bank: DataFrame, percent: int = 40, most: int = 50) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(taken, rejected, skipped) of rows gathered kind by kind: of each of kinds, in their order, the first rows by place up to a quota of three times its share of count and ten
+    more, never over most; of those, keys of known are skipped and blank texts left out; then texts similar to the bank or an earlier kept row are rejected, until count are kept.
+
+    Quotas and count are the feature. What lies behind the last taken row is in neither of taken (key, kind, at) and rejected (key, kind, at, matched); skipped (key, kind) has
+    all of the quotas. at is the order of visit. places are unique within a kind; rows of other kinds or without one are not asked for. Runs jobs when called.
+    """
+    quota = min(3 * max(1, -(-count // len(kinds))) + 10, most)
+    visited = F.array_position(F.lit(kinds), F.col(kind))
+    asked = rows.where(F.col(kind).isin(kinds)).withColumn("_nth", F.row_number().over(Window.partitionBy(kind).orderBy(place))).where(F.col("_nth") <= quota)
+    # at most a quota of each kind
+    asked = written(asked.select(F.col(key), F.col(kind), F.coalesce(text, F.lit("")).alias("text"), (visited * (most + 1) + F.col("_nth")).cast("long").alias("at")), "asked")
+    ids = known.select(key).distinct()
+    fresh = asked.join(ids, key, "left_anti").where("trim(text) <> ''")
+    judged = dedup_greedy(fresh.select(F.col("at").alias("doc_id"), "text"), bank, percent, 0)
+    taken, rejected = take_kept(judged, F.lit(0), count)
+    named = lambda found, *more: fresh.join(found.select(F.col("doc_id").alias("at"), *more), "at").select(key, kind, "at", *more)
+    return named(taken), named(rejected, "matched"), asked.join(ids, key, "left_semi").select(key, kind)

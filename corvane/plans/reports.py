@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.operators import items, lookup, reports, similar
 from corvane.operators.dedup import word_shingles
+from corvane.sources import bank
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -237,9 +238,31 @@ def d6_taken(spark, sf_dir):
     return taken.select("doc_id", F.lit("taken").alias("outcome")).union(rejected.select("doc_id", F.lit("rejected")))
 
 
+def d6_quotas(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    known = docs.where("doc_id % 7 = 0").select("doc_id")
+    taken, rejected, skipped = similar.collect_kept(docs, "doc_id", "lang", "doc_id", "text", ["fr", "en", "de"], 45, known, _t(spark, sf_dir, "benchmark"))
+    label = lambda found, outcome: found.select("doc_id", "lang", F.lit(outcome).alias("outcome"))
+    return label(taken, "taken").union(label(rejected, "rejected")).union(label(skipped, "skipped"))
+
+
+def s7_imported(spark, sf_dir):
+    k, topics = F.col("doc_id"), F.concat(F.lit("topic "), (F.col("doc_id") % 40).cast("string"))
+    topic = F.when(k % 3 == 0, topics).when(k % 3 == 1, "unknown")
+    choices = F.when(k % 4 == 0, F.array(*[F.struct(F.lit(letter).alias("letter"), F.lit(text).alias("text")) for letter, text in (("c", "(2 pts) one"), ("a", " "), ("b", "two"))]))
+    item = F.to_json(F.struct("text", topic.alias("topic"), choices.alias("choices"), F.when(k % 5 == 0, " as said ").alias("rationale")))
+    raw = F.when(k % 2 == 0, F.concat(F.lit("["), item, F.lit("]"))).otherwise(F.concat(F.lit('{"candidates": ['), item, F.lit("]}")))
+    bank_ = _t(spark, sf_dir, "benchmark").select("item_id", "text")
+    items, rejected, _, _ = bank.import_candidates(_t(spark, sf_dir, "documents").select("doc_id", raw.alias("raw")), "doc_id", "raw", bank_, _keywords(spark, sf_dir), 1001)
+    shown = F.array_join(F.transform("choices", lambda c: F.concat(c["letter"], F.lit("="), c["text"])), "|")
+    added = items.select("doc_id", F.lit("added").alias("outcome"), F.col("number").cast("long").alias("number"), "topic", "type", shown.alias("choices"), F.col("validation.rationale").alias("rationale"))
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("number", "long"), ("topic", "string"), ("type", "string"), ("choices", "string"), ("rationale", "string"))]
+    return added.union(rejected.select("doc_id", "outcome", *none))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (p1_item_flags, p3_practice_pool, p3_matching_pool, p4_builder_page, p5_attention, p7_clean_items, p9_pair_verdicts, a2_doc_status, a3_collections, a4_taxonomy_counts, a6_nested_counts, a11_token_cost, a12_conversation_cost, a13_active_jobs, a14_over_quota, a15_import_report, r1_blank_years, r2_clusters, r3_latest_jobs, r4_truncated_log, r4_log_tail, r5_sample, r6_group_sample, r8_page, k2_numbers, k3_canonical, k4_unique_keys, a2_status_page, a3_coach_page, a3_helper_page, a6_outline, a5_table, j16_price_table, d3_similar_pairs, d3_jaccard, d5_greedy, d6_taken, w6_interrupted)
+    for f in (d6_quotas, s7_imported, p1_item_flags, p3_practice_pool, p3_matching_pool, p4_builder_page, p5_attention, p7_clean_items, p9_pair_verdicts, a2_doc_status, a3_collections, a4_taxonomy_counts, a6_nested_counts, a11_token_cost, a12_conversation_cost, a13_active_jobs, a14_over_quota, a15_import_report, r1_blank_years, r2_clusters, r3_latest_jobs, r4_truncated_log, r4_log_tail, r5_sample, r6_group_sample, r8_page, k2_numbers, k3_canonical, k4_unique_keys, a2_status_page, a3_coach_page, a3_helper_page, a6_outline, a5_table, j16_price_table, d3_similar_pairs, d3_jaccard, d5_greedy, d6_taken, w6_interrupted)
 }
 
 _I = """i AS (SELECT CASE p_size % 5 WHEN 0 THEN '_generated_' WHEN 1 THEN '_scraped_' ELSE '' END || p_brand AS doc, p_partkey AS number, p_type AS topic, p_name AS text, p_size % 3 = 0 AS mcq, p_size % 4 = 0 AS img,
@@ -322,3 +345,17 @@ SQL = {
     "d6_taken": f"""{_GREEDY}, t AS (SELECT lang, doc_id FROM j WHERE reason IS NULL ORDER BY lang, doc_id LIMIT 300), m AS (SELECT max((lang, doc_id)) AS last, count(*) AS n FROM t)
         SELECT doc_id, 'taken' AS outcome FROM t UNION ALL SELECT doc_id, 'rejected' FROM j, m WHERE reason IN ('bank', 'batch') AND (n < 300 OR (lang, doc_id) < last)""",
 }
+SQL["d6_quotas"] = (
+    _GREEDY.replace("documents", "gathered").replace(">= 12", ">= 0").replace("< 12", "< 0").replace(
+        "WITH RECURSIVE", """WITH RECURSIVE asked AS (SELECT doc_id AS own, lang, coalesce(text, '') AS text, list_position(['fr', 'en', 'de'], lang) * 51 + row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS at FROM documents
+            WHERE lang IN ('fr', 'en', 'de') QUALIFY row_number() OVER (PARTITION BY lang ORDER BY doc_id) <= 50),
+        gathered AS (SELECT at AS doc_id, lang, text FROM asked WHERE own % 7 <> 0 AND trim(text) <> ''),""")
+    + """, t AS (SELECT doc_id FROM j WHERE reason IS NULL ORDER BY doc_id LIMIT 45), m AS (SELECT max(doc_id) AS last, count(*) AS n FROM t),
+        o AS (SELECT doc_id AS at, 'taken' AS outcome FROM t UNION ALL SELECT doc_id, 'rejected' FROM j, m WHERE reason IS NOT NULL AND (n < 45 OR doc_id < last))
+        SELECT own AS doc_id, lang, outcome FROM o JOIN asked USING (at) UNION ALL SELECT own, lang, 'skipped' FROM asked WHERE own % 7 = 0"""
+)
+SQL["s7_imported"] = f"""{_GREEDY}, told AS ({SQL["a5_table"]}), names AS (SELECT DISTINCT 'topic ' || item_id AS topic FROM benchmark WHERE regexp_matches(lower(text), '[a-z]{{6,}}')),
+    added AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) + 1000 AS number, CASE doc_id % 3 WHEN 0 THEN 'topic ' || (doc_id % 40) WHEN 1 THEN 'unknown' ELSE 'Other / General' END AS given FROM j WHERE reason IS NULL)
+    SELECT doc_id, 'added' AS outcome, number, CASE WHEN given = 'Other / General' OR given IN (SELECT topic FROM names) THEN given ELSE told.topic END AS topic, CASE WHEN doc_id % 4 = 0 THEN 'mc' ELSE 'short' END AS type,
+        CASE WHEN doc_id % 4 = 0 THEN 'A=one|B=two' ELSE '' END AS choices, CASE WHEN doc_id % 5 = 0 THEN 'as said' END AS rationale FROM added JOIN told USING (doc_id)
+    UNION ALL SELECT doc_id, CASE reason WHEN 'too short' THEN 'invalid' ELSE 'duplicate' END, NULL, NULL, NULL, NULL, NULL FROM j WHERE reason IS NOT NULL"""

@@ -132,6 +132,17 @@ def s6_rostered(spark, sf_dir):
     return _roster(spark, sf_dir)[2]
 
 
+def s6_blank_usernames(spark, sf_dir):
+    c, n = _t(spark, sf_dir, "customer"), _t(spark, sf_dir, "nation")
+    own = F.regexp_replace(F.lower("n_name"), "[^a-z0-9]", "")
+    k = F.col("c_custkey")
+    given = F.when(k % 5 == 0, F.concat(F.upper(own), (k % 50).cast("string"))).when(k % 10 == 1, F.concat(F.lit("9"), own))
+    rows = c.join(n, c["c_nationkey"] == n["n_nationkey"]).select(k.alias("row"), F.when(k % 9 != 0, F.col("n_name")).alias("display_name"), given.alias("username"), F.lit(None).cast("string").alias("events"))
+    users = n.where("n_nationkey % 2 = 0").select(own.alias("username")).union(n.select(F.concat(own, F.lit("7"))))
+    created, errors, _ = bank.import_roster(rows, users, n.select(F.col("n_name").alias("slug")))
+    return created.select("row", "username", F.lit(None).cast("string").alias("reason")).union(errors.select("row", F.lit(None), "reason"))
+
+
 def _answers(spark, sf_dir):
     size = F.col("p_size")
     body = F.concat(F.lit('[{"text": "'), "p_name", F.lit('", "topic": "'), "p_type", F.lit('", "choices": [{"letter": "A", "text": "x"}]},{"text": "'), "p_brand", F.lit('"}'))
@@ -193,7 +204,7 @@ def s13_article_text(spark, sf_dir):
     return out.select("page_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (s1_bank_items, s1_bank_contexts, s1_state_items, s1_state_contexts, s1_state_edits, s2_upgraded, s2_status, s3_manifest, s3_pending, s4_inventory, s5_sources, s6_created, s6_errors, s6_rostered, s7_candidates, s7_quarantine, s8_csv_round_trip, s9_json_round_trip, s10_snapshots, s13_page_text, s13_article_text)}
+QUERIES = {f.__name__: f for f in (s1_bank_items, s1_bank_contexts, s1_state_items, s1_state_contexts, s1_state_edits, s2_upgraded, s2_status, s3_manifest, s3_pending, s4_inventory, s5_sources, s6_created, s6_errors, s6_rostered, s6_blank_usernames, s7_candidates, s7_quarantine, s8_csv_round_trip, s9_json_round_trip, s10_snapshots, s13_page_text, s13_article_text)}
 
 _SOUND = "o_custkey % 50 <> 7"
 _M = """m AS (SELECT p_brand, p_partkey AS k, p_size FROM part WHERE contains(p_name, 'red') OR contains(p_name, 'gizmo')),
@@ -242,6 +253,16 @@ SQL = {
     "s6_created": f"WITH {_R} SELECT username, display_name, u * 2 + k % 2 AS row FROM j WHERE reason IS NULL",
     "s6_errors": f"WITH {_R} SELECT reason, count(*) AS n FROM j WHERE reason IS NOT NULL GROUP BY 1",
     "s6_rostered": f"WITH {_R}, w AS (SELECT DISTINCT username, unnest([n, k % 25]) AS slug FROM j WHERE reason IS NULL) SELECT slug::VARCHAR AS slug, count(*) AS n FROM w WHERE slug IN (SELECT n_nationkey FROM nation) GROUP BY 1",
+    "s6_blank_usernames": """WITH n AS (SELECT n_nationkey, regexp_replace(lower(n_name), '[^a-z0-9]', '', 'g') AS base FROM nation),
+        r AS (SELECT c_custkey AS row, base, c_custkey % 9 <> 0 AS named, CASE WHEN c_custkey % 5 = 0 THEN base || (c_custkey % 50) WHEN c_custkey % 10 = 1 THEN '9' || base ELSE '' END AS username FROM customer JOIN n ON c_nationkey = n_nationkey),
+        u AS (SELECT base AS username FROM n WHERE n_nationkey % 2 = 0 UNION ALL SELECT base || '7' FROM n),
+        e AS (SELECT row, username, CASE WHEN NOT named THEN 'display_name is required' WHEN starts_with(username, '9') THEN 'username is malformed'
+            WHEN username IN (SELECT username FROM u) OR row <> min(CASE WHEN named THEN row END) OVER (PARTITION BY username) THEN 'username is taken' END AS reason FROM r WHERE username <> '' OR NOT named),
+        t AS (SELECT username FROM u UNION SELECT username FROM e WHERE reason IS NULL),
+        b AS (SELECT row, base, base IN (SELECT username FROM t) AS held, row_number() OVER (PARTITION BY base ORDER BY row) AS k FROM r WHERE named AND username = ''),
+        f AS (SELECT base, i, row_number() OVER (PARTITION BY base ORDER BY i) AS k FROM (SELECT base, unnest(range(2, (SELECT count(*) + 200 FROM customer))) AS i FROM (SELECT DISTINCT base FROM b)) WHERE base || i NOT IN (SELECT username FROM t))
+        SELECT row, CASE WHEN b.k = 1 AND NOT held THEN b.base ELSE b.base || i END AS username, NULL::VARCHAR AS reason FROM b LEFT JOIN f ON f.base = b.base AND f.k = b.k - CASE WHEN held THEN 0 ELSE 1 END
+        UNION ALL SELECT row, CASE WHEN reason IS NULL THEN username END, reason FROM e""",
     "s7_candidates": "SELECT p_partkey, 0 AS ord, p_name AS text, p_type AS topic, 1 AS choices FROM part WHERE p_size % 6 < 4 UNION ALL SELECT p_partkey, 1, p_brand, NULL, 0 FROM part WHERE p_size % 6 < 4",
     "s7_quarantine": "SELECT p_partkey FROM part WHERE p_size % 6 >= 4",
     "s8_csv_round_trip": """SELECT p_partkey AS number, p_type AS topic, 'a "quoted", ' || p_name AS text, CASE WHEN p_size % 2 = 0 THEN 'A. ' || p_type || ' | B. say "hi", then' || chr(10) || 'go' ELSE '' END AS choices, CASE WHEN p_size % 3 = 0 THEN 'correct' ELSE '' END AS validation_status, p_brand AS doc FROM part""",

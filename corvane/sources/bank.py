@@ -5,14 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.functions.ranks import ranked
+from corvane.functions.storage import written
+from corvane.operators.lookup import classify_by_table
+from corvane.operators.reports import plain_key, unique_keys
+from corvane.operators.shape import normalize_text, normalize_texts
+from corvane.operators.similar import dedup_greedy
+from corvane.operators.text import OTHER
+
 ITEM = (
     "struct<number:string,topic:string,focus:string,text:string,choices:array<struct<letter:string,text:string>>,answer:string,images:array<string>,source:string,year:string,division:string,"
     "page:int,context_id:string,qtype:string,validation:struct<status:string,rationale:string>,lastEditedBy:string,lastEditedDateTime:string>"
 )
 #: One collection's state; sections that old files lack are null.
 STATE = f"_schema_version int, collection string, questions map<string,array<{ITEM}>>, contexts map<string,array<struct<id:string,title:string,text:string>>>, annotations map<string,string>, manual map<string,string>, pdf_meta map<string,struct<year:string,tournament:string>>, _corrupt_record string"
-CANDIDATE = "array<struct<text:string,answer:string,topic:string,choices:array<struct<letter:string,text:string>>>>"
-#: File roles and what of a file name tells year and division.
+CANDIDATE = "array<struct<text:string,answer:string,topic:string,choices:array<struct<letter:string,text:string>>,type:string,rationale:string,source_snippet:string,image_description:string,image_context:string>>"
+#: Usernames, file roles and what of a file name tells year and division.
+USERNAME = r"^[a-z][a-z0-9_]{1,31}$"
 ROLE = r"(?i)^.+_(test|key)\.(pdf|docx|doc)$"
 DOCUMENT = r"(?i)\.(pdf|docx|doc)$"
 YEAR, DIVISION = r"(19|20)\d{2}", r"(?<![a-zA-Z])(BC|B|C)(?![a-zA-Z])"
@@ -107,15 +116,25 @@ def read_roster(spark: SparkSession, path: str) -> DataFrame:
 
 
 def import_roster(rows: DataFrame, users: DataFrame, lineup: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(created, errors, rostered) of rows (row, display_name, username, events cut by ;): a row needs a name and a new username, the first row of equal ones wins; rostered counts
-    created students per event of the lineup. Blank usernames are to be filled by unique_keys before."""
+    """(created, errors, rostered) of rows (row, display_name, username, events cut by ;): a row needs a name and a sound, new username, the first row of equal ones wins; rostered
+    counts created students per event of the lineup.
+
+    A blank username is made of the name by unique_keys; names that rows of the file give themselves are theirs, in whatever order the rows stand. A name of one
+    letter or digit makes no sound username. Runs jobs when called if there are blank ones.
+    """
+    blank = F.coalesce("username", F.lit("")) == ""
     named = rows.withColumn("username", F.lower("username"))
-    first = named.where("display_name != '' and username != ''").groupBy("username").agg(F.min("row").alias("first"))
-    known = users.select("username", F.lit(True).alias("known"))
+    usable = (F.coalesce("display_name", F.lit("")) != "") & F.when(blank, F.length(plain_key(F.col("display_name"))) > 1).otherwise(F.col("username").rlike(USERNAME))
+    first = named.where(usable & ~blank).groupBy("username").agg(F.min("row").alias("first"))
+    known = users.select("username", F.lit(True).alias("known")).distinct()
     judged = named.join(first, "username", "left").join(known, "username", "left")
-    reason = F.when(F.coalesce("display_name", F.lit("")) == "", "display_name is required").when(F.coalesce("username", F.lit("")) == "", "username is required").when(F.col("known") | (F.col("row") != F.col("first")), "username is taken")
+    reason = F.when(F.coalesce("display_name", F.lit("")) == "", "display_name is required").when(~usable, "username is malformed").when(~blank & (F.col("known") | (F.col("row") != F.col("first"))), "username is taken")
     judged = judged.withColumn("reason", reason)
-    created = judged.where("reason is null").select("row", "username", "display_name", "events")
+    created = judged.where(F.col("reason").isNull() & ~blank).select("row", "username", "display_name", "events")
+    open_ = named.where(usable & blank).select("row", "display_name", "events")
+    if not open_.isEmpty():
+        made = unique_keys(open_, "display_name", "row", users.select("username").union(created.select("username")), "username")
+        created = created.unionByName(made)
     wanted = created.select("username", F.explode(F.array_distinct(F.filter(F.transform(F.split(F.coalesce("events", F.lit("")), ";"), lambda x: F.trim(x)), lambda e: e != ""))).alias("slug"))
     rostered = wanted.join(lineup.select("slug").distinct(), "slug", "left_semi").groupBy("slug").agg(F.count("*").alias("n"))
     return created, judged.where("reason is not null").select("row", "reason"), rostered
@@ -145,6 +164,47 @@ def parse_candidates(raw: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
     return rows, judged.where("found is null").select(*raw.columns)
 
 
+def import_candidates(raw: DataFrame, order: str, text: str, bank: DataFrame, keywords: DataFrame, start: int, marked: bool = False, percent: int = 40, least: int = 12) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(items, rejected, quarantine, counts) of raw (order, text): model answers from parsing to numbered items of a bank (item_id, text).
+
+    Candidates come by order, which is unique and not null, and by their place within a text. Texts under least characters, null ones too, are invalid; then texts,
+    answers and choices are normalised, choices are lettered anew without empty ones, and a text similar to one of the bank or to an earlier accepted one is a
+    duplicate. The accepted are numbered from start; a topic that keywords (topic, topic_ord, phrase, weight) do not know is told by the text, a lacking one is OTHER.
+    marked makes them validated ones, else those with a rationale or snippet are uncertain. rejected has (order, ord, outcome, reason, matched), where matched is a bank
+    item for reason bank and a candidate's rank among all for batch; counts is one row (added, duplicate, invalid, quarantined). Runs jobs when called.
+    """
+    rows, quarantine = parse_candidates(raw.select(order, text), text)
+    rows = rows.select(order, "ord", F.struct(*[c for c in rows.columns if c not in (order, "ord")]).alias("c"))
+    trimmed = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)^\s+|\s+$", "")
+    texts = F.filter(normalize_texts(F.transform(F.col("c.choices"), lambda x: x["text"])), lambda x: x != "")
+    clean = ranked(rows, [], [order, "ord"], "pos").select(
+        order, "ord", "pos", "c", (F.length(trimmed(F.col("c.text"))) >= least).alias("valid"), normalize_text(F.col("c.text")).alias("text"), normalize_text(F.col("c.answer")).alias("answer"), texts.alias("texts"))
+    clean = written(clean, "candidates")
+    found = dedup_greedy(clean.where("valid").select(F.col("pos").alias("doc_id"), "text"), bank, percent, 0)
+    judged = clean.join(found.select(F.col("doc_id").alias("pos"), "reason", "matched"), "pos", "left")
+    outcome = F.when(~F.col("valid"), "invalid").when(F.col("reason").isNotNull(), "duplicate").otherwise("added")
+    judged = written(judged.withColumn("outcome", outcome), "judged")
+    numbered = ranked(judged.where("outcome = 'added'"), [], ["pos"], "nth")
+    given = F.when(F.coalesce("c.topic", F.lit("")) == "", OTHER).otherwise(F.col("c.topic"))
+    names = keywords.select(F.col("topic").alias("given"), F.lit(True).alias("known")).where("given is not null").distinct()
+    told = classify_by_table(numbered.withColumn("given", given), "text", keywords, "told").join(names, "given", "left")
+    why, snippet = trimmed(F.col("c.rationale")), F.substring(trimmed(F.col("c.source_snippet")), 1, 240)
+    label = F.when(snippet != "", F.concat(F.lit("LLM-derived from: "), F.substring(snippet, 1, 80))).otherwise("LLM-derived")
+    if marked:
+        verdict = F.struct(F.lit("correct").alias("status"), F.when(why != "", why).otherwise("Marked validated on import.").alias("rationale"), F.lit("Imported (manually marked validated)").alias("source"))
+    else:
+        verdict = F.when((why != "") | (snippet != ""), F.struct(F.lit("uncertain").alias("status"), why.alias("rationale"), label.alias("source")))
+    hint = trimmed(F.when(F.coalesce("c.image_description", F.lit("")) == "", F.col("c.image_context")).otherwise(F.col("c.image_description")))
+    kind = F.when(F.coalesce("c.type", F.lit("")) != "", F.col("c.type")).when(F.size("texts") > 0, "mc").otherwise("short")
+    items = told.select(
+        order, "ord", (F.col("nth") + start - 1).cast("string").alias("number"), F.when(F.col("known") | (F.col("given") == OTHER), F.col("given")).otherwise(F.col("told")).alias("topic"), kind.alias("type"), "text",
+        F.transform("texts", lambda x, k: F.struct(F.chr(k + 65).alias("letter"), x.alias("text"))).alias("choices"), "answer", F.lit("Imported").alias("source"), F.lit("").alias("year"), F.lit("").alias("division"),
+        F.lit(1).alias("page"), F.when(hint != "", hint).alias("pending_image"), verdict.alias("validation"))
+    outcomes = judged.select("outcome").union(quarantine.select(F.lit("quarantined")))
+    counts = outcomes.agg(*[F.count_if(F.col("outcome") == o).alias(o) for o in ("added", "duplicate", "invalid", "quarantined")])
+    return items, judged.where("outcome <> 'added'").select(order, "ord", "outcome", "reason", "matched"), quarantine, counts
+
+
 def flat_items(items: DataFrame) -> DataFrame:
     """items as flat text columns: options as "A. x | B. y", verdict fields lifted, nothing null."""
     choices = F.array_join(F.transform(F.coalesce("choices", F.array().cast("array<struct<letter:string,text:string>>")), lambda c: F.concat(F.coalesce(c["letter"], F.lit("?")), F.lit(". "), F.coalesce(c["text"], F.lit("")))), " | ")
