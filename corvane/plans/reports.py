@@ -347,12 +347,12 @@ SQL = {
 }
 SQL["d6_quotas"] = (
     _GREEDY.replace("documents", "gathered").replace(">= 12", ">= 0").replace("< 12", "< 0").replace(
-        "WITH RECURSIVE", """WITH RECURSIVE asked AS (SELECT doc_id AS own, lang, coalesce(text, '') AS text, list_position(['fr', 'en', 'de'], lang) * 51 + row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS at FROM documents
+        "WITH RECURSIVE", """WITH RECURSIVE asked AS (SELECT doc_id AS own, lang, coalesce(text, '') AS text, list_position(['fr', 'en', 'de'], lang) * 51 + row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS spot FROM documents
             WHERE lang IN ('fr', 'en', 'de') QUALIFY row_number() OVER (PARTITION BY lang ORDER BY doc_id) <= 50),
-        gathered AS (SELECT at AS doc_id, lang, text FROM asked WHERE own % 7 <> 0 AND trim(text) <> ''),""")
+        gathered AS (SELECT spot AS doc_id, lang, text FROM asked WHERE own % 7 <> 0 AND trim(text) <> ''),""")
     + """, t AS (SELECT doc_id FROM j WHERE reason IS NULL ORDER BY doc_id LIMIT 45), m AS (SELECT max(doc_id) AS last, count(*) AS n FROM t),
-        o AS (SELECT doc_id AS at, 'taken' AS outcome FROM t UNION ALL SELECT doc_id, 'rejected' FROM j, m WHERE reason IS NOT NULL AND (n < 45 OR doc_id < last))
-        SELECT own AS doc_id, lang, outcome FROM o JOIN asked USING (at) UNION ALL SELECT own, lang, 'skipped' FROM asked WHERE own % 7 = 0"""
+        got AS (SELECT doc_id AS spot, 'taken' AS outcome FROM t UNION ALL SELECT doc_id, 'rejected' FROM j, m WHERE reason IS NOT NULL AND (n < 45 OR doc_id < last))
+        SELECT own AS doc_id, lang, outcome FROM got JOIN asked USING (spot) UNION ALL SELECT own, lang, 'skipped' FROM asked WHERE own % 7 = 0"""
 )
 SQL["s7_imported"] = f"""{_GREEDY}, told AS ({SQL["a5_table"]}), names AS (SELECT DISTINCT 'topic ' || item_id AS topic FROM benchmark WHERE regexp_matches(lower(text), '[a-z]{{6,}}')),
     added AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) + 1000 AS number, CASE doc_id % 3 WHEN 0 THEN 'topic ' || (doc_id % 40) WHEN 1 THEN 'unknown' ELSE 'Other / General' END AS given FROM j WHERE reason IS NULL)

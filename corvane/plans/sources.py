@@ -133,7 +133,8 @@ def s6_rostered(spark, sf_dir):
 
 
 def s6_blank_usernames(spark, sf_dir):
-    c, n = _t(spark, sf_dir, "customer"), _t(spark, sf_dir, "nation")
+    # digits at the end of names would be taken for numbers of others
+    c, n = _t(spark, sf_dir, "customer"), _t(spark, sf_dir, "nation").withColumn("n_name", F.translate("n_name", "0123456789", "abcdefghij"))
     own = F.regexp_replace(F.lower("n_name"), "[^a-z0-9]", "")
     k = F.col("c_custkey")
     given = F.when(k % 5 == 0, F.concat(F.upper(own), (k % 50).cast("string"))).when(k % 10 == 1, F.concat(F.lit("9"), own))
@@ -253,7 +254,7 @@ SQL = {
     "s6_created": f"WITH {_R} SELECT username, display_name, u * 2 + k % 2 AS row FROM j WHERE reason IS NULL",
     "s6_errors": f"WITH {_R} SELECT reason, count(*) AS n FROM j WHERE reason IS NOT NULL GROUP BY 1",
     "s6_rostered": f"WITH {_R}, w AS (SELECT DISTINCT username, unnest([n, k % 25]) AS slug FROM j WHERE reason IS NULL) SELECT slug::VARCHAR AS slug, count(*) AS n FROM w WHERE slug IN (SELECT n_nationkey FROM nation) GROUP BY 1",
-    "s6_blank_usernames": """WITH n AS (SELECT n_nationkey, regexp_replace(lower(n_name), '[^a-z0-9]', '', 'g') AS base FROM nation),
+    "s6_blank_usernames": """WITH n AS (SELECT n_nationkey, regexp_replace(translate(lower(n_name), '0123456789', 'abcdefghij'), '[^a-z0-9]', '', 'g') AS base FROM nation),
         r AS (SELECT c_custkey AS row, base, c_custkey % 9 <> 0 AS named, CASE WHEN c_custkey % 5 = 0 THEN base || (c_custkey % 50) WHEN c_custkey % 10 = 1 THEN '9' || base ELSE '' END AS username FROM customer JOIN n ON c_nationkey = n_nationkey),
         u AS (SELECT base AS username FROM n WHERE n_nationkey % 2 = 0 UNION ALL SELECT base || '7' FROM n),
         e AS (SELECT row, username, CASE WHEN NOT named THEN 'display_name is required' WHEN starts_with(username, '9') THEN 'username is malformed'
