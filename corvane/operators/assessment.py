@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvane.functions.parts import dealt
+
 
 def effective_window(tests: DataFrame, key: str, window: tuple[str, str], overrides: DataFrame) -> DataFrame:
     """(key, opens_at, closes_at): an override (key, opens_at, closes_at) replaces the class window outright, nulls included."""
@@ -35,9 +37,9 @@ def matching_credit(pairs: Column, picks: Column, max_points: float) -> Column:
 
 
 def overlay_rows(base: DataFrame, key: str, deletes: DataFrame, adds: DataFrame) -> DataFrame:
-    """base without the deleted keys, and the adds whose key is not there after that; missing columns become null."""
-    left = base.join(deletes.select(key).distinct(), key, "left_anti")
-    return left.unionByName(adds.join(left.select(key).distinct(), key, "left_anti"), allowMissingColumns=True)
+    """base without the deleted keys, and the adds whose key is not there after that; missing columns become null. Keys may repeat in each table: only sorts hold rows."""
+    left = dealt(base, [key]).join(dealt(deletes.select(key), [key]), key, "left_anti")
+    return left.unionByName(dealt(adds, [key]).join(left.select(key), key, "left_anti"), allowMissingColumns=True)
 
 
 def changed_since(old: DataFrame, new: DataFrame, key: str, stamp: str) -> DataFrame:

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvane.functions.parts import dealt
+
 
 def apply_deletes(items: DataFrame, deletes: DataFrame, keys: list[str]) -> DataFrame:
     """items without those whose keys are deleted; a null key is never deleted."""
-    return items.join(deletes.select(*keys).distinct(), keys, "left_anti")
+    return items.join(dealt(deletes.select(*keys), keys), keys, "left_anti")
 
 
 def apply_adds(items: DataFrame, adds: DataFrame, keys: list[str], order: str, defaults: dict[str, Column]) -> DataFrame:
