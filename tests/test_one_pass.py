@@ -22,6 +22,7 @@ def lines_read(df):
 
 def test_lines_are_read_once(spark):
     assert lines_read(plans.a9_complete(spark, SF)) == 1
+    assert lines_read(plans.g6_release(spark, SF)) == 0  # its responses are a table, made when called
 
 
 def test_responses_are_shuffled_by_their_own_keys_once(spark):
