@@ -33,8 +33,8 @@ def test_responses_are_shuffled_by_their_own_keys_once(spark):
 
 @pytest.mark.parametrize("graded", [(), (("t", 1, 1), ("t", 1, 3), ("t", 1, 3), ("t", 2, 1), ("t", 2, 3)), (("t", 1, 1), ("t", 1, 3), ("t", 2, 1), ("t", 2, 1)), (("t", 1, 1), ("t", 1, 3), ("t", 2, 3), ("t", 2, 1), ("v", None, 1))])
 def test_complete_as_by_the_grades(spark, graded):
-    snapshot = spark.createDataFrame([("t", k, ("mcq", "frq")[k % 2]) for k in range(5)] + [("u", 1, "mcq"), ("v", 1, "frq"), ("w", 1, "frq"), ("x", 1, None)], "test string, number long, qtype string")
-    taken = [(t, s, "in_progress" if s == 4 else "submitted") for t in "tu" for s in range(1, 5)] + [("v", None, "submitted"), ("w", 1, "in_progress"), ("x", 1, "submitted")]
+    snapshot = spark.createDataFrame([("t", k, ("mcq", "frq")[k % 2]) for k in range(5)] + [("u", 1, "mcq"), ("v", 1, "frq"), ("w", 1, "frq"), ("x", 1, None), ("y", None, "frq")], "test string, number long, qtype string")
+    taken = [(t, s, "in_progress" if s == 4 else "submitted") for t in "tu" for s in range(1, 5)] + [("v", None, "submitted"), ("w", 1, "in_progress"), ("x", 1, "submitted"), ("y", 1, "submitted")]
     responses = spark.createDataFrame(taken, "test string, student long, status string")
     manual = spark.createDataFrame([(*g, 1.0) for g in graded], "test string, student long, number long, points double")
     whole = spark.createDataFrame([("t", 3, 2.0), ("t", 1, None)], "test string, student long, points double")
@@ -43,6 +43,7 @@ def test_complete_as_by_the_grades(spark, graded):
     held = held.join(whole.withColumnRenamed("points", "each"), ["test", "student"], "left")
     want = exam.complete_tests(snapshot, responses, manual, whole)
     assert rows(exam.complete_by_response(snapshot, held)) == rows(want)
+    assert rows(want.where("test in ('u', 'v', 'w', 'x', 'y')")) == Counter({(True, "u"): 1, (False, "v"): 1, (True, "w"): 1, (True, "x"): 1, (False, "y"): 1})
     assert dict(rows(want.where("test = 't'").select("complete"))) == {(len({*graded} & {("t", s, k) for s in (1, 2) for k in (1, 3)}) == 4,): 1}
 
 
